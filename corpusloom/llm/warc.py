@@ -3,7 +3,7 @@
 Writing. Rows with equal payloads share one response, that of the largest id; the others become revisit records
 that name it. A payload above SEGMENT_BYTES is split over a first record and continuation records
 (WARC-Segment-Origin-ID, WARC-Segment-Number, and WARC-Segment-Total-Length on the last). An HTTP block
-carries its payload with chunked transfer coding. Files are plain WARC, records one after another.
+carries its payload with chunked transfer coding. Files are WARC, records one after another, as gzip streams.
 
 Reading. Records are cut out of the files by their Content-Length, so that payloads may hold anything.
 Continuation records are grouped by origin identifier wherever they lie, ordered by segment number, and
@@ -17,6 +17,7 @@ largest, unless all of a group's are null. An empty table gives no records. Colu
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -95,7 +96,7 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     rows = rows.join(shared, "digest", "left").withColumn("uid", F.monotonically_increasing_id().cast("string"))
     records = rows.select("page_id", "url", "html", F.when(F.col("n") >= min_bytes, F.col("holder")).alias("holder"), "uid").mapInArrow(_records, "record binary")
     # raw bytes as they are: the writer copies a string's bytes
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_BYTES // SEGMENT_BYTES).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_BYTES // SEGMENT_BYTES).text(path)
 
 
 def _parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -119,7 +120,7 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column("content"):
             rows = []
-            for head, block in _parsed(data.as_py()):
+            for head, block in _parsed(gzip.decompress(data.as_py())):
                 number = lambda k, h=head: int(h[k]) if k in h else None
                 refers = head.get("WARC-Refers-To")
                 rows.append((head["WARC-Record-ID"], number("X-Page-ID"), head["WARC-Type"], head.get("WARC-Payload-Digest", "")[5:], int(refers[len("<urn:page:") : -1]) if refers else None, head.get("WARC-Segment-Origin-ID"), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length") or number("X-Payload-Length"), block))
@@ -144,7 +145,7 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, kind, digest, refers_to, length, payload (null for revisits, whose length their header gives)."""
-    records = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content").mapInArrow(_files, _RECORD)
+    records = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_files, _RECORD)
     single = records.where("segment is null").select("page_id", "kind", "digest", "refers_to", F.col("total").alias("length"), "block")
     # one record's segments meet in one row; their number is bounded by that record's size
     segments = records.where("segment is not null").select(F.coalesce("origin", "uid").alias("origin"), "segment", "page_id", "digest", "kind", "total", "block")

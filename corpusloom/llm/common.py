@@ -21,7 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, so that long texts don't fill a worker's memory; let workers import this package."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    # workers give freed memory back instead of keeping it for later
+    for name, value in (("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", "1000000"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        spark.sparkContext.environment.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

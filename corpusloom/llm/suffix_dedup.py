@@ -92,7 +92,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each anchor and group of STEP offsets with a window inside the text: hashes of the span and core of its windows."""
+    """For each anchor and group of STEP offsets with a window inside the text: hashes of their span, null if an end of the text cuts it, and core."""
     group = np.arange(STEP)
     for batch in batches:
         some = {k: [] for k in ("row", "group", "span", "core", "whole")}
@@ -103,16 +103,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = (first >= 0) & (last + THRESHOLD <= len(raw))
             part = (last >= 0) & (first + THRESHOLD <= len(raw))
             span, core = np.zeros(STEP, dtype=np.uint64), np.zeros(STEP, dtype=np.uint64)
-            salt = mix(group[whole].astype(np.uint64) + np.uint64(_SALT))
-            span[whole] = mix(span_hashes(prefix, first[whole], last[whole] + THRESHOLD) ^ salt)
-            core[whole] = mix(span_hashes(prefix, last[whole], first[whole] + THRESHOLD) ^ salt)
+            salt = mix(group.astype(np.uint64) + np.uint64(_SALT))
+            span[whole] = mix(span_hashes(prefix, first[whole], last[whole] + THRESHOLD) ^ salt[whole])
+            core[part] = mix(span_hashes(prefix, last[part], first[part] + THRESHOLD) ^ salt[part])  # inside the text with any of its windows
             for name, value in (("row", np.full(part.sum(), i)), ("group", group[part]), ("span", span[part]), ("core", core[part]), ("whole", whole[part])):
                 some[name].append(value)
         if not batch.num_rows:
             continue
         some = {k: np.concatenate(v) for k, v in some.items()}
         row = pa.array(some["row"])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("key", "pos", "seed", "done")), pa.array(some["group"].astype(np.int32)), pa.array(as_long(some["span"]), mask=~some["whole"]), pa.array(as_long(some["core"]), mask=~some["whole"])], ["key", "pos", "seed", "done", "group", "span", "core"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("key", "pos", "seed", "done")), pa.array(some["group"].astype(np.int32)), pa.array(as_long(some["span"]), mask=~some["whole"]), pa.array(as_long(some["core"]))], ["key", "pos", "seed", "done", "group", "span", "core"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +157,12 @@ def repeated_runs(docs: DataFrame, id_column: str, text_column: str) -> tuple[Da
     spans = _twice(groups, "span", place).withColumnRenamed("span", "repeated_span")
     cores = _twice(groups, "core", place).withColumnRenamed("core", "repeated_core")
     groups = groups.join(spans, F.col("span") == F.col("repeated_span"), "left").join(cores, F.col("core") == F.col("repeated_core"), "left")
-    state = F.when(F.col("repeated_span").isNotNull() | F.col("done"), "done").when(F.col("span").isNull() | F.col("repeated_core").isNotNull(), "open").otherwise("out")
+    state = F.when(F.col("repeated_span").isNotNull() | F.col("done"), "done").when(F.col("repeated_core").isNotNull(), "open").otherwise("out")
     groups = materialise(groups.select("key", "pos", "seed", "group", "span", F.col("done").alias("partner"), state.alias("state")), "states")
 
-    # a group cut by a document's end has no core: what its windows equal may be a group that is out by its own core
-    near = groups.join(groups.where("state = 'open'").select("seed", "group").distinct(), ["seed", "group"], "left_semi")
-    open_ = near.where("state <> 'done'").select("key", "pos", "group", F.lit(True).alias("open"))
-    beside = near.where("state = 'done'").groupBy("seed", "group", "span").agg(F.min(F.struct("key", "pos")).alias("x")).select("x.key", "x.pos", "group", F.lit(False).alias("open"))
+    open_ = groups.where("state = 'open'").select("key", "pos", "group", F.lit(True).alias("open"))
+    near = groups.where("state = 'done'").join(groups.where("state = 'open'").select("seed", "group").distinct(), ["seed", "group"], "left_semi")
+    beside = near.groupBy("seed", "group", "span").agg(F.min(F.struct("key", "pos")).alias("x")).select("x.key", "x.pos", "group", F.lit(False).alias("open"))
     listed = open_.unionByName(beside).groupBy("key", "pos").agg(F.collect_list(F.struct("group", "open")).alias("listed"))  # STEP at most
     windows = materialise(contexts.join(listed, ["key", "pos"]).select("key", "pos", "left", "bytes", "listed").mapInArrow(_windows, "key long, start int, hash long, wanted boolean"), "windows")
     single = windows.where("wanted").join(_twice(windows, "hash", F.xxhash64("key", "start")), "hash", "left_semi").select("key", F.col("start").alias("low"), (F.col("start") + THRESHOLD).alias("high"))

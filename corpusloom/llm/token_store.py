@@ -106,11 +106,11 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, vocabulary: str | None = None) -> None:
     spark = docs.sparkSession
     staged = docs.select(docs[id_column].cast("long"), text_bytes(text_column)).mapInArrow(lambda b: _staged(b, end_id, vocabulary), _STAGED)
-    staged.write.parquet(f"{path}/staged")
+    staged.write.option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.schema(_STAGED).parquet(f"{path}/staged")
     # copies of a chunk meet before the shuffle first: a very common one is one row from each task
     chunks = staged.select(F.explode(F.arrays_zip("addresses", "blobs")).alias("x")).select(F.col("x.addresses").alias("address"), F.col("x.blobs").alias("blob"))
-    chunks.dropDuplicates(["address"]).write.parquet(f"{path}/chunks")
+    chunks.dropDuplicates(["address"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = staged.drop("blobs").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     recipes.mapInArrow(_sharded, _RECIPE).write.parquet(f"{path}/recipes")

@@ -17,8 +17,9 @@ import public_tokenizers
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
-#: A worker forgets its words beyond this many, to bound its memory.
-MOST_WORDS = 600_000
+#: A worker forgets its words, and the parts that they are made of, beyond so many, to bound its memory.
+MOST_WORDS = 700_000
+MOST_PARTS = 1_200_000
 _CUT = re.compile(r"^(.*[a-z0-9à-öø-ÿ])([.,;:!?|%&$#*]+)$", re.S)
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -28,11 +29,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(0, dtype=np.uint32)
         self.start = np.zeros(1, dtype=np.int64)
 
@@ -60,6 +61,8 @@ class WordEncoder:
         """Ids of each UTF-8 text, as unsigned 32-bit numbers."""
         if len(self.index) > MOST_WORDS:
             self.clear()
+        if len(self.parts) > MOST_PARTS:
+            self.parts.clear()
         index, new, codes, ends = self.index, [], [], []
         for text in texts:
             for word in text.split():  # of bytes: at ASCII white space only

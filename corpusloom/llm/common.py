@@ -40,11 +40,19 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(column: str = "text") -> F.Column:
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

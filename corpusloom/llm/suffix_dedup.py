@@ -6,8 +6,8 @@ full depth is a repeated window. To order no suffix that can't matter, the passe
 positions whose SEED bytes have the least hash of all in some window. Equal windows have their anchor at the
 same offset, so every repeated window is found in a group of anchors.
 
-Passes. 1: anchors by their SEED bytes. 2: by the span of all windows that hold the anchor; if that repeats, so do
-all of them. The few anchors left, at ends of copies and of documents, take along that span's bytes. 3: by
+Passes. 1: anchors by their SEED bytes. 2: by the span of all windows that hold the anchor, cut at the ends of the
+document; if that repeats, so do all of them. The few anchors left, at ends of copies, take along that span's bytes. 3: by
 the spans of STEP windows at once: repeated ones are done, those whose common core is unique are out.
 4: by single windows. Anchors and groups that are done stay in as partners, one of each content.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, materialise, mix, prefix_hashes, powers, span_hashes, text_bytes
+from .common import as_long, discard, materialise, mix, prefix_hashes, powers, span_hashes, text_bytes
 
 THRESHOLD = 200
 SEED = 32
@@ -46,20 +46,19 @@ def _sliding(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(a[: len(a) - (width - size)], a[width - size :]) if size < width else a
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes of their seeds, hashes of their whole spans, and which of those spans lie within the text."""
+def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, hashes of their seeds, and hashes of their spans with the place of the anchor therein."""
     n = len(raw)
     if n < THRESHOLD:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     prefix = prefix_hashes(raw)
     seeds = mix((prefix[SEED:] - prefix[:-SEED]) * powers(n)[1][: n - SEED + 1])
     least = _sliding(seeds, OFFSETS, np.minimum)
     pad = np.zeros(OFFSETS - 1, dtype=np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), OFFSETS, np.maximum) == seeds)
-    inside = (at >= OFFSETS - 1) & (at + THRESHOLD <= n)
-    spans = np.zeros(len(at), dtype=np.uint64)
-    spans[inside] = span_hashes(prefix, at[inside] - (OFFSETS - 1), at[inside] + THRESHOLD)
-    return at, seeds[at], spans, inside
+    low, high = np.maximum(at - (OFFSETS - 1), 0), np.minimum(at + THRESHOLD, n)
+    place = ((at - low) * (THRESHOLD + 1) + high - at).astype(np.uint64)
+    return at, seeds[at], mix(span_hashes(prefix, low, high) ^ mix(place + np.uint64(_SALT)))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +67,8 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(begin, 100)
             rows = []
             for text in part.column("text").to_pylist():
-                at, seeds, spans, inside = anchors(np.frombuffer(text, dtype=np.uint8))
-                rows.append((len(text), hashlib.sha256(text).hexdigest(), at.astype(np.int32), as_long(seeds), pa.array(as_long(spans), pa.int64(), mask=~inside).to_pylist()))
+                at, seeds, spans = anchors(np.frombuffer(text, dtype=np.uint8))
+                rows.append((len(text), hashlib.sha256(text).hexdigest(), at.astype(np.int32), as_long(seeds), as_long(spans)))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "doc_id", "n_bytes", "sha256", "pos", "seed", "span"])
@@ -91,46 +90,49 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["key", "pos", "seed", "done", "left", "bytes"])
 
 
+def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix hashes of a batch's spans one after the other; where each starts and ends there, and where its anchor is."""
+    spans = batch.column("bytes").to_pylist()
+    ends = np.cumsum([len(x) for x in spans], dtype=np.int64)
+    starts = np.concatenate([np.zeros(1, dtype=np.int64), ends[:-1]])
+    return prefix_hashes(np.frombuffer(b"".join(spans), dtype=np.uint8)), starts, ends, starts + batch.column("left").to_numpy()
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each anchor and group of STEP offsets with a window inside the text: hashes of their span, null if an end of the text cuts it, and core."""
     group = np.arange(STEP)
+    salt = mix(group.astype(np.uint64) + np.uint64(_SALT))
     for batch in batches:
-        some = {k: [] for k in ("row", "group", "span", "core", "whole")}
-        for i, (left, raw) in enumerate(zip(batch.column("left").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
-            prefix = prefix_hashes(np.frombuffer(raw, dtype=np.uint8))
-            first = left - group * STEP - (STEP - 1)  # start of the group's first window
-            last = first + STEP - 1
-            whole = (first >= 0) & (last + THRESHOLD <= len(raw))
-            part = (last >= 0) & (first + THRESHOLD <= len(raw))
-            span, core = np.zeros(STEP, dtype=np.uint64), np.zeros(STEP, dtype=np.uint64)
-            salt = mix(group.astype(np.uint64) + np.uint64(_SALT))
-            span[whole] = mix(span_hashes(prefix, first[whole], last[whole] + THRESHOLD) ^ salt[whole])
-            core[part] = mix(span_hashes(prefix, last[part], first[part] + THRESHOLD) ^ salt[part])  # inside the text with any of its windows
-            for name, value in (("row", np.full(part.sum(), i)), ("group", group[part]), ("span", span[part]), ("core", core[part]), ("whole", whole[part])):
-                some[name].append(value)
         if not batch.num_rows:
             continue
-        some = {k: np.concatenate(v) for k, v in some.items()}
-        row = pa.array(some["row"])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("key", "pos", "seed", "done")), pa.array(some["group"].astype(np.int32)), pa.array(as_long(some["span"]), mask=~some["whole"]), pa.array(as_long(some["core"]))], ["key", "pos", "seed", "done", "group", "span", "core"])
+        prefix, starts, ends, at = _spans(batch)
+        first = at[:, None] - group * STEP - (STEP - 1)  # start of the group's first window
+        last = first + STEP - 1
+        row, of = np.nonzero((last >= starts[:, None]) & (first + THRESHOLD <= ends[:, None]))
+        first, last = first[row, of], last[row, of]
+        whole = (first >= starts[row]) & (last + THRESHOLD <= ends[row])
+        span = np.zeros(len(row), dtype=np.uint64)
+        span[whole] = mix(span_hashes(prefix, first[whole], last[whole] + THRESHOLD) ^ salt[of[whole]])
+        core = mix(span_hashes(prefix, last, first + THRESHOLD) ^ salt[of])  # inside the text with any of its windows
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("key", "pos", "seed", "done")), pa.array(of.astype(np.int32)), pa.array(as_long(span), mask=~whole), pa.array(as_long(core))], ["key", "pos", "seed", "done", "group", "span", "core"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash of each window of the listed groups; wanted where the group still is open."""
     for batch in batches:
-        keys, starts, hashes, wanted = [], [], [], []
-        for key, pos, left, raw, listed in zip(*(batch.column(c).to_pylist() for c in ("key", "pos", "left", "bytes", "listed")), strict=True):
-            prefix = prefix_hashes(np.frombuffer(raw, dtype=np.uint8))
-            offsets = np.concatenate([np.arange(x["group"] * STEP, (x["group"] + 1) * STEP) for x in listed])
-            open_ = np.repeat([x["open"] for x in listed], STEP)
-            ok = (left - offsets >= 0) & (left - offsets + THRESHOLD <= len(raw))
-            at = left - offsets[ok]
-            keys.append(np.full(len(at), key, dtype=np.int64))
-            starts.append(pos - offsets[ok])
-            hashes.append(span_hashes(prefix, at, at + THRESHOLD))
-            wanted.append(open_[ok])
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(as_long(np.concatenate(hashes))), pa.array(np.concatenate(wanted).astype(bool))], ["key", "start", "hash", "wanted"])
+        if not batch.num_rows:
+            continue
+        prefix, starts, ends, at = _spans(batch)
+        listed = batch.column("listed").combine_chunks() if isinstance(batch.column("listed"), pa.ChunkedArray) else batch.column("listed")
+        some = listed.flatten()
+        row = np.repeat(np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy()), STEP)
+        offset = (some.field("group").to_numpy().astype(np.int64)[:, None] * STEP + np.arange(STEP)).ravel()
+        open_ = np.repeat(some.field("open").to_numpy(zero_copy_only=False), STEP)
+        first = at[row] - offset
+        ok = (first >= starts[row]) & (first + THRESHOLD <= ends[row])
+        row, first = row[ok], first[ok]
+        pos = batch.column("pos").to_numpy()[row] - offset[ok]
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(as_long(span_hashes(prefix, first, first + THRESHOLD))), pa.array(open_[ok].astype(bool))], ["key", "start", "hash", "wanted"])
 
 
 def _twice(rows: DataFrame, column: str, place: F.Column) -> DataFrame:
@@ -145,26 +147,29 @@ def repeated_runs(docs: DataFrame, id_column: str, text_column: str) -> tuple[Da
     place = F.xxhash64("key", "pos")
     found = scanned.select("key", F.explode(F.arrays_zip("pos", "seed", "span")).alias("x")).select("key", "x.pos", "x.seed", "x.span")
     common = found.join(_twice(found, "seed", place), "seed", "left_semi")
-    common = materialise(common.select("key", "pos", "seed", "span"), "seeds")
-    whole = _twice(common, "span", place).withColumnRenamed("span", "repeated")
-    common = materialise(common.join(whole, F.col("span") == F.col("repeated"), "left").select("key", "pos", "seed", "span", F.col("repeated").isNotNull().alias("done")), "spans")
+    seeds = materialise(common.select("key", "pos", "seed", "span"), "seeds")
+    whole = _twice(seeds, "span", place).withColumnRenamed("span", "repeated")
+    common = materialise(seeds.join(whole, F.col("span") == F.col("repeated"), "left").select("key", "pos", "seed", "span", F.col("repeated").isNotNull().alias("done")), "spans")
+    discard(seeds)
 
     left = common.where("not done").select("key", "pos", "seed", "done")
     partners = common.where("done").join(left.select("seed").distinct(), "seed", "left_semi").groupBy("span").agg(F.min(F.struct("key", "pos", "seed", "done")).alias("x")).select("x.*")
     by_key = left.unionByName(partners).groupBy("key").agg(F.collect_list(F.struct("pos", "seed", "done")).alias("found"))  # bounded by a document
     contexts = materialise(texts.select("key", "text").join(by_key, "key").mapInArrow(_contexts, "key long, pos int, seed long, done boolean, left int, bytes binary"), "contexts")
-    groups = materialise(contexts.mapInArrow(_groups, "key long, pos int, seed long, done boolean, group int, span long, core long"), "groups")
-    spans = _twice(groups, "span", place).withColumnRenamed("span", "repeated_span")
-    cores = _twice(groups, "core", place).withColumnRenamed("core", "repeated_core")
-    groups = groups.join(spans, F.col("span") == F.col("repeated_span"), "left").join(cores, F.col("core") == F.col("repeated_core"), "left")
-    state = F.when(F.col("repeated_span").isNotNull() | F.col("done"), "done").when(F.col("repeated_core").isNotNull(), "open").otherwise("out")
-    groups = materialise(groups.select("key", "pos", "seed", "group", "span", F.col("done").alias("partner"), state.alias("state")), "states")
+    groups = contexts.mapInArrow(_groups, "key long, pos int, seed long, done boolean, group int, span long, core long")
+    # a group whose core is unique is out, as is what it could be a partner of; a repeated span has a repeated core
+    cores = materialise(groups.join(_twice(groups.select("key", "pos", "core"), "core", place), "core", "left_semi").select("key", "pos", "seed", "done", "group", "span"), "cores")
+    spans = _twice(cores, "span", place).withColumnRenamed("span", "repeated")
+    state = F.when(F.col("repeated").isNotNull() | F.col("done"), "done").otherwise("open")
+    groups = materialise(cores.join(spans, F.col("span") == F.col("repeated"), "left").select("key", "pos", "seed", "group", "span", F.col("done").alias("partner"), state.alias("state")), "states")
+    discard(cores)
 
     open_ = groups.where("state = 'open'").select("key", "pos", "group", F.lit(True).alias("open"))
     near = groups.where("state = 'done'").join(groups.where("state = 'open'").select("seed", "group").distinct(), ["seed", "group"], "left_semi")
     beside = near.groupBy("seed", "group", "span").agg(F.min(F.struct("key", "pos")).alias("x")).select("x.key", "x.pos", "group", F.lit(False).alias("open"))
     listed = open_.unionByName(beside).groupBy("key", "pos").agg(F.collect_list(F.struct("group", "open")).alias("listed"))  # STEP at most
     windows = materialise(contexts.join(listed, ["key", "pos"]).select("key", "pos", "left", "bytes", "listed").mapInArrow(_windows, "key long, start int, hash long, wanted boolean"), "windows")
+    discard(contexts)
     single = windows.where("wanted").join(_twice(windows, "hash", F.xxhash64("key", "start")), "hash", "left_semi").select("key", F.col("start").alias("low"), (F.col("start") + THRESHOLD).alias("high"))
 
     every = common.where("done").select("key", (F.col("pos") - (OFFSETS - 1)).alias("low"), (F.col("pos") + THRESHOLD).alias("high"))
@@ -176,10 +181,10 @@ def repeated_runs(docs: DataFrame, id_column: str, text_column: str) -> tuple[Da
     return texts, facts, runs
 
 
-def merged(runs: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of intervals; those that touch are one."""
+def merged(runs: list[dict], n: int) -> list[tuple[int, int]]:
+    """Maximal runs of intervals, cut at 0 and n; those that touch are one."""
     out: list[tuple[int, int]] = []
-    for low, high in sorted((x["low"], x["high"]) for x in runs):
+    for low, high in sorted((max(0, x["low"]), min(n, x["high"])) for x in runs):
         if out and low <= out[-1][1]:
             out[-1] = out[-1][0], max(high, out[-1][1])
         else:
@@ -191,7 +196,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, spans = [], []
         for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            cut = merged(runs)
+            cut = merged(runs, len(text))
             at = [0, *(x for run in cut for x in run), len(text)]
             kept.append(b"".join(text[at[i] : at[i + 1]] for i in range(0, len(at), 2)))
             spans.append(len(cut))
@@ -224,7 +229,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
         out = []
         for text, some in zip(texts, found, strict=True):
-            at = [0, *(x for run in merged([] if some is None else list(some)) for x in run), len(text)]
+            at = [0, *(x for run in merged([] if some is None else list(some), len(text)) for x in run), len(text)]
             out.append(b"".join(text[at[i] : at[i + 1]] for i in range(0, len(at), 2)).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 

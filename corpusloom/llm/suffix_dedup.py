@@ -8,7 +8,7 @@ same offset, so every repeated window is found in a group of anchors.
 
 Passes. 1: anchors by their SEED bytes. 2: by the span of all windows that hold the anchor, cut at the ends of the
 document; if that repeats, so do all of them. The few anchors left, at ends of copies, take along that span's bytes. 3: by
-the spans of STEP windows at once: repeated ones are done, those whose common core is unique are out.
+the spans of STEP windows at once, cut likewise: repeated ones are done, those whose common core is unique are out.
 4: by single windows. Anchors and groups that are done stay in as partners, one of each content.
 
 Keys of documents are hashes of id and text; rows that repeat both are whole copies of each other.
@@ -99,7 +99,7 @@ def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each anchor and group of STEP offsets with a window inside the text: hashes of their span, null if an end of the text cuts it, and core."""
+    """For each anchor and group of STEP offsets with a window inside the text: hashes of their span, cut at the ends of the text and with the place of the anchor therein, and core."""
     group = np.arange(STEP)
     salt = mix(group.astype(np.uint64) + np.uint64(_SALT))
     for batch in batches:
@@ -110,11 +110,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = first + STEP - 1
         row, of = np.nonzero((last >= starts[:, None]) & (first + THRESHOLD <= ends[:, None]))
         first, last = first[row, of], last[row, of]
-        whole = (first >= starts[row]) & (last + THRESHOLD <= ends[row])
-        span = np.zeros(len(row), dtype=np.uint64)
-        span[whole] = mix(span_hashes(prefix, first[whole], last[whole] + THRESHOLD) ^ salt[of[whole]])
+        low, high = np.maximum(first, starts[row]), np.minimum(last + THRESHOLD, ends[row])
+        place = ((at[row] - low) * (THRESHOLD + 1) + high - at[row]).astype(np.uint64)
+        span = mix(span_hashes(prefix, low, high) ^ mix(place + salt[of]))
         core = mix(span_hashes(prefix, last, first + THRESHOLD) ^ salt[of])  # inside the text with any of its windows
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("key", "pos", "seed", "done")), pa.array(of.astype(np.int32)), pa.array(as_long(span), mask=~whole), pa.array(as_long(core))], ["key", "pos", "seed", "done", "group", "span", "core"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("key", "pos", "seed", "done")), pa.array(of.astype(np.int32)), pa.array(as_long(span)), pa.array(as_long(core))], ["key", "pos", "seed", "done", "group", "span", "core"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,6 +106,20 @@ def test_suffix_dedup(docs, plain):
     assert collections.Counter(tuple(r) for r in suffix_dedup.repeats(docs).collect()) == want
 
 
+def test_suffix_dedup_cut_partners(spark):
+    """Two contents at a text's end are done and differ in a byte; an open text repeats a window of one only."""
+    random.seed(3)
+    text = lambda n: "".join(random.choices("abcdefghij", k=n))
+    rows, want = [], {}
+    for i in range(0, 80, 10):
+        a = text(205)
+        b = "z" + a[1:]
+        rows += [(i, a), (i + 1, a), (i + 2, b), (i + 3, b), (i + 4, b[:200] + "x" + text(99)), (i + 5, a[:200] + "y" + text(99)), (i + 6, text(89) + "x" + a[5:])]
+        want |= {i + j: 205 if j < 4 else 200 for j in range(7)}
+    found = {r.doc_id: r.n_removed for r in suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want
+
+
 def _ids(plain, end):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +23,16 @@ def dot(a: str, b: str) -> Column:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """qid, rank, vec_id, score of the k best vectors of each query (qid, qvec); ties by id.
 
-    queries: MOST_QUERIES rows at most, which is what one block of a stated query set holds.
+    Queries are broadcast in blocks of about MOST_QUERIES, dealt by a hash of qid; each block meets all vectors.
     """
-    block = F.broadcast(queries.limit(MOST_QUERIES))
-    scored = vectors.join(block, F.lit(True)).select("qid", "vec_id", dot("embedding", "qvec").alias("score"))
+    blocks = max(1, math.ceil(queries.count() / MOST_QUERIES))
+    dealt = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    best = [_best(queries.where(dealt == i) if blocks > 1 else queries, vectors, k) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, best)
+
+
+def _best(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    scored = vectors.join(F.broadcast(block), F.lit(True)).select("qid", "vec_id", dot("embedding", "qvec").alias("score"))  # block: about MOST_QUERIES rows
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 

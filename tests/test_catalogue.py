@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusloom.operators import index
 from corpusloom.plans import catalogue
 from tests.compare import expected, rows_of
 
@@ -16,3 +17,13 @@ def test_query(spark, name):
         assert rows == expected(catalogue.oracle_sql()[name], SF)
     else:
         assert rows[1]
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    """More queries than a block holds all get their rows."""
+    vectors = catalogue.table(spark, SF, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS qid", "embedding AS qvec")
+    whole = sorted(tuple(r) for r in index.top_k(asked, vectors, 3).select("qid", "rank", "vec_id").collect())
+    assert len(whole) == 3 * asked.count()
+    monkeypatch.setattr(index, "MOST_QUERIES", 7)
+    assert sorted(tuple(r) for r in index.top_k(asked, vectors, 3).select("qid", "rank", "vec_id").collect()) == whole

@@ -3,7 +3,8 @@
 A character trigram model is counted over all documents. Tokens that look disguised (look-alike digits or signs
 between letters, letters three times or more in a row, single letters spaced or dotted apart, masked letters) are
 decoded: a Viterbi search over the lattice of the letters that each sign may stand for, be it an
-inserted separator or a repetition, finds the likeliest word under the model. The restored words of a bounded sample of
+inserted separator or a repetition, finds the likeliest word under the model. Where there are separators, a second search lets each
+be the end of a word too; in what is spelled letter by letter, the words of the features are also looked for at any place. The restored words of a bounded sample of
 labelled documents give the features that tell label 1 best by log-likelihood ratio, each a word or a
 stem that makes up a part of all words, and a logistic regression over them scores the restored text.
 
@@ -35,6 +36,7 @@ from .common import materialise, text_bytes
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = ".-_ "
 ANY = "*#"
+_SEPARATED = re.compile(rb"[._ -]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: The classifier is fitted on the labelled rows with the smallest hashes of their ids, so many at most.
 MOST_LABELLED = 20_000
@@ -44,9 +46,11 @@ STEMS = (4, 5, 6, 7, 8)
 STEM_RATE = 100
 RIDGE = 0.3
 THRESHOLD = 0.7
-#: The longest word that is decoded; longer tokens stay as they are.
-LONGEST = 40
-_REPEAT, _SIGN, _SKIP, _SEPARATOR = math.log(0.2), math.log(0.3), math.log(1e-5), math.log(0.5)
+#: Feature words of so many bytes at least are looked for inside runs that are spelled letter by letter.
+LEAST_FOUND = 4
+#: Longer tokens are decoded each time; shorter ones are remembered.
+KNOWN_BYTES = 100
+_REPEAT, _SIGN, _SKIP, _SEPARATOR, _BOUNDARY = math.log(0.2), math.log(0.3), math.log(1e-5), math.log(0.5), math.log(0.1)
 _SYMBOLS = 28  # boundary, 26 letters, all else
 _CLASS = bytes(b - 96 if 97 <= b < 123 else b - 64 if 65 <= b < 91 else 27 if b >= 128 else 0 for b in range(256))
 _PLAIN = bytes(b if 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -60,28 +64,43 @@ class Restorer:
 
     def __init__(self, table: np.ndarray):
         self.table = table.tolist()
-        self.known: dict[bytes, bytes] = {}
+        self.cube = table.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
+        self.known: dict[tuple[bytes, bool], bytes] = {}
 
     def _score(self, a: int, b: int, c: int) -> float:
         return self.table[(a * _SYMBOLS + b) * _SYMBOLS + c]
 
-    def decode(self, token: bytes) -> bytes:
-        found = self.known.get(token)
+    def decode(self, token: bytes, apart: bool = False) -> bytes:
+        """The likeliest word; if apart, the likeliest words with blanks between, which may part at separators."""
+        found = self.known.get((token, apart))
         if found is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            found = self.known[token] = self._viterbi(token.decode("latin-1"))
+            found = self._viterbi(token.decode("latin-1"), apart)
+            if len(token) <= KNOWN_BYTES:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[token, apart] = found
         return found
 
-    def _viterbi(self, token: str) -> bytes:
-        """Best path; a state is the last two symbols, and holds its log probability and letters so far."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def restored(self, token: bytes, lexicon: list[bytes]) -> list[bytes]:
+        """The token as one word; then the words that separators part it into, and those of the lexicon in it where it is spelled letter by letter."""
+        out = [self.decode(token)]
+        pieces = _SEPARATED.split(token)
+        if len(pieces) > 1:
+            parts = self.decode(token, True).split()
+            out += parts if len(parts) > 1 else []
+            if max(map(len, pieces)) == 1:
+                out += [w for w in lexicon if w in out[0] and w not in out]
+        return out
+
+    def _viterbi(self, token: str, apart: bool) -> bytes:
+        """Best path; a state is the last two symbols, and holds its log probability and its letters so far, last first, as a chain."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, sign in enumerate(token):
             if sign in LETTERS or ord(sign) >= 128:
                 options = [(sign, 0.0)]
                 silent = _REPEAT if i and token[i - 1] == sign else None
             elif sign in ANY:
-                options = [(c, _SIGN - math.log(26)) for c in LETTERS]
+                options = []
                 silent = _SKIP
             else:
                 looks = LOOKS.get(sign, "")
@@ -89,39 +108,58 @@ class Restorer:
                 silent = _SEPARATOR if sign in SEPARATORS else _SKIP if options else _SEPARATOR
                 if i and token[i - 1] == sign:
                     silent = max(silent, _REPEAT)
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after = self._any(states) if sign in ANY else {}
+            parts = apart and sign in SEPARATORS
             for (a, b), (p, letters) in states.items():
                 for letter, cost in options:
                     c = ord(letter) - 96 if letter in LETTERS else 27
                     q = p + cost + self._score(a, b, c)
                     if (b, c) not in after or q > after[b, c][0]:
-                        after[b, c] = (q, letters + letter)
+                        after[b, c] = (q, (letters, letter))
+                if parts and b:
+                    q = p + _BOUNDARY + self._score(a, b, 0)
+                    if (b, 0) not in after or q > after[b, 0][0]:
+                        after[b, 0] = (q, (letters, " "))
                 if silent is not None:
                     q = p + silent
                     if (a, b) not in after or q > after[a, b][0]:
                         after[a, b] = (q, letters)
             states = after
-        return max((p + self._score(a, b, 0), letters) for (a, b), (p, letters) in states.items())[1].encode("latin-1")
-
-    def words(self, text: bytes) -> list[bytes]:
-        """Plain words of a text and the restored forms of disguised ones."""
+        chain = max(((p + self._score(a, b, 0), letters) for (a, b), (p, letters) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while chain is not None:
+            chain, letter = chain
+            out.append(letter)
+        return "".join(reversed(out)).encode("latin-1")
+
+    def _any(self, states: dict) -> dict:
+        """States after a sign that may stand for any letter."""
+        dense = np.full((_SYMBOLS, _SYMBOLS), -np.inf)
+        for at, (p, _) in states.items():
+            dense[at] = p
+        scores = dense[:, :, None] + (_SIGN - math.log(26)) + self.cube[:, :, 1:27]
+        best, score = scores.argmax(axis=0), scores.max(axis=0)
+        froms = best.tolist()
+        return {(b, c + 1): (q, (states[froms[b][c], b][1], LETTERS[c])) for b, row in enumerate(score.tolist()) for c, q in enumerate(row) if q > -math.inf}
+
+    def words(self, text: bytes, lexicon: list[bytes] = []) -> list[bytes]:  # noqa: B006
+        """Plain words of a text and the restored forms of disguised ones. lexicon: words that are found in any spelled run of letters."""
         out = text.translate(_PLAIN).split()
         low = text.lower()
         tokens = low.split()
         triple = _TRIPLE.search(low)
         for token in set(tokens):
-            if token.isalpha() and not triple or len(token) > LONGEST:
+            if token.isalpha() and not triple:
                 continue
             core = token.strip(_EDGE)
             if triple and _TRIPLE.search(core) or not core.isalpha() and _MIXED.search(core.rstrip(b"!")):
-                out.append(self.decode(core.rstrip(b"!") if core.rstrip(b"!") else core))
+                out += self.restored(core.rstrip(b"!") if core.rstrip(b"!") else core, lexicon)
         single = bytes([len(t) == 1 for t in tokens])
         at = single.find(b"\x01\x01\x01\x01")
         while at >= 0:
             end = single.find(b"\x00", at)
             end = len(single) if end < 0 else end
-            if end - at <= LONGEST:
-                out.append(self.decode(b" ".join(tokens[at:end])))
+            out += self.restored(b" ".join(tokens[at:end]), lexicon)
             at = single.find(b"\x01\x01\x01\x01", end)
         return out
 
@@ -167,7 +205,8 @@ class Model(NamedTuple):
 
     def score(self, restorer: Restorer, text: bytes) -> float:
         lengths = tuple({len(f) - 1 for f in self.weights if f[:1] == b"p"})
-        found = features(restorer.words(text), lengths, self.weights)
+        lexicon = [f[1:] for f in self.weights if f[:1] == b"w" and len(f) > LEAST_FOUND]
+        found = features(restorer.words(text, lexicon), lengths, self.weights)
         x = self.odds + math.fsum(self.weights[f] for f in found)
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, x))))
 

@@ -253,6 +253,22 @@ def test_toxicity(spark):
     assert {r.predicted for r in empty} == {0}
 
 
+def test_toxicity_spelled_apart(spark):
+    """Runs beside single-letter words, several words in one run, and tokens and runs of any length."""
+    table = toxicity.trigram_table(common.read(spark, "/root/testdata/sf0.1", "documents"))
+    model, restorer = toxicity.Model(table, {b"widiot": 8.0, b"wworthless": 8.0}, -4.0), toxicity.Restorer(table)
+    apart = lambda x, sign=" ": sign.join(x.replace(" ", "")).encode()
+    for text in (
+        b"you are " + apart("a idiot"), apart("i am a idiot"), apart("stupid idiot") + b" he said", apart("idiot i say"),
+        apart("you are a worthless moron and a stupid idiot who knows nothing"), apart("worthless worthless idiot", "."),
+        b"an idi" + b"o" * 60 + b"t", b"an 1d10t" + b"t" * 300, b"x " + apart("well " * 400 + "you idiot"),
+    ):
+        assert model.score(restorer, text) > 0.9, text
+    for text in (b"you are a pilot", apart("you are a pilot"), b"a" + b"*" * 500 + b"b", apart("well " * 400)):
+        assert model.score(restorer, text) < 0.1, text
+    assert b"idiot" in restorer.words(apart("stupid idiot"))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     found = queries.queries()[name](spark, SF)

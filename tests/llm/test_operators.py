@@ -239,6 +239,15 @@ def test_jaccard(docs, plain):
     assert collections.Counter(tuple(r) for r in found) == collections.Counter((d, len(sets[d]), root(d)) for d, _ in plain)
 
 
+def test_jaccard_null_ids(spark):
+    """Sets that only rows of null id hold link as others do."""
+    words = [f"w{i}" for i in range(200)]
+    near, other = [*words[:-1], "x"], [f"v{i}" for i in range(100)]
+    rows = [(7, words), (None, near), (None, near), (None, other), (None, [*other[:-1], "y"]), (9, ["a"] * 3)]
+    found = jaccard.jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in found) == {(7, 7): 1, (None, 7): 2, (None, None): 2, (9, 9): 1}
+
+
 def test_toxicity(spark):
     docs, labels = common.read(spark, "/root/testdata/sf0.1", "documents"), common.read(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.learn(docs, labels)

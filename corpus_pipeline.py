@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The tokenizer and the learned model have no SQL form; tests hold the stages against plain versions.
+#: The tokenizer and the learned model have no SQL form; tests hold the operators beneath against plain versions, but not yet the stages or run().
 ORACLE_SQL = None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -28,29 +29,67 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which the cluster shares.
+
+    Where that is unset, a temporary folder will do for a local master alone; on a cluster other machines wouldn't see it.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
+        _local[spark.sparkContext.applicationId] = top
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+_local: dict[str, str] = {}
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more, and the shuffles behind them."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """A materialised table that joins on key without being shuffled again. discard() deletes its files."""
     spark = df.sparkSession
-    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"scratch_{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", scratch(spark, name))
+    writer.bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_bytes(column: str = "text") -> F.Column:

@@ -1,40 +1,44 @@
 """Suffix-array dedup, depth-limited: removes every byte that a repeated string of THRESHOLD bytes covers.
 
-Only the order of suffixes down to THRESHOLD bytes matters, and of that only which suffixes are equal so deep. So
-suffixes are dealt by digit strings, most significant first, and groups of one leave at once; what is equal at
-full depth is a repeated window. To order no suffix that can't matter, the passes run over anchors: the
-positions whose SEED bytes have the least hash of all in some window. Equal windows have their anchor at the
-same offset, so every repeated window is found in a group of anchors.
-
-Passes. 1: anchors by their SEED bytes. 2: by the span of all windows that hold the anchor, cut at the ends of the
-document; if that repeats, so do all of them. The few anchors left, at ends of copies, take along that span's bytes. 3: by
-the spans of STEP windows at once, cut likewise: repeated ones are done, those whose common core is unique are out.
-4: by single windows. Anchors and groups that are done stay in as partners, one of each content.
-
-Keys of documents are hashes of id and text; rows that repeat both are whole copies of each other.
-
-Cases: a null text is as an empty one. Texts below THRESHOLD bytes keep all, whole repeated rows above it lose all.
-Nulls as ids are ids like others. An empty table gives an empty result. Columns beside the named ones are dropped by
-repeats, kept by drop_repeats.
+Only the order of suffixes down to THRESHOLD bytes matters, and of that only which of them are equal so deep. They
+are dealt by most-significant-digit passes: each pass takes further bytes as its digit, carries the number of the group
+that the digits so far have made, and lets what is alone in its group go; groups that are left at full depth are the
+repeated windows.
+
+An exact filter stands in front, as a row for each suffix would be many times the input. A window's anchor is the position in it
+whose SEED bytes have the least hash. Equal windows have theirs at the same offset, so a window repeats only if its anchor's seed does, and
+the suffixes to order are those that start up to THRESHOLD - SEED bytes before such an anchor. They go through the
+passes as ranges of offsets. All windows of a range share a core of bytes; the first digit is the seed, a pass halves each range,
+and its digit is what a half's core has beyond the core of the whole. A core that no other anchor has lets its whole range go. The windows
+of a range fill its hull; where another anchor of the same group has the same hull, all of them are repeated and
+done, and one anchor for each hull goes on as a partner of the open ones. After eight halvings a range is one window.
+
+Digits of up to 15 bytes are themselves, longer ones their 128-bit BLAKE2b; group numbers are numbers of anchors and documents are told by a
+number of their row, so nothing rests on short hashes: those of the seeds only rule pairs out.
+
+Cases: a null text is as an empty one. Texts below THRESHOLD bytes keep all; repeated rows above it lose all.
+Nulls as ids are ids like others. Very long and periodic texts are treated whole, with as many rows as they have anchors (at most one a byte).
+An empty table gives an empty result. Columns beside the named ones are dropped by repeats, kept by drop_repeats, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, discard, materialise, mix, prefix_hashes, powers, span_hashes, text_bytes
+from .common import as_long, bucketed, discard, fresh, materialise, mix, powers, prefix_hashes, text_bytes
 
 THRESHOLD = 200
 SEED = 32
-STEP = 13
-OFFSETS = THRESHOLD - SEED + 1  # windows that hold an anchor, 169: STEP groups of STEP
-_SALT = 0xD6E8FEB86659FD93
+OFFSETS = THRESHOLD - SEED + 1  # windows that hold an anchor
+_LITERAL = 15
+_KIDS = "gid long, a int, b int, core binary, hull binary, anchor long, id long, pos int, open boolean"
 
 
 def _sliding(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -46,139 +50,114 @@ def _sliding(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(a[: len(a) - (width - size)], a[width - size :]) if size < width else a
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes of their seeds, and hashes of their spans with the place of the anchor therein."""
+def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a text's anchors and hashes of their seeds."""
     n = len(raw)
     if n < THRESHOLD:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     prefix = prefix_hashes(raw)
     seeds = mix((prefix[SEED:] - prefix[:-SEED]) * powers(n)[1][: n - SEED + 1])
     least = _sliding(seeds, OFFSETS, np.minimum)
     pad = np.zeros(OFFSETS - 1, dtype=np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), OFFSETS, np.maximum) == seeds)
-    low, high = np.maximum(at - (OFFSETS - 1), 0), np.minimum(at + THRESHOLD, n)
-    place = ((at - low) * (THRESHOLD + 1) + high - at).astype(np.uint64)
-    return at, seeds[at], mix(span_hashes(prefix, low, high) ^ mix(place + np.uint64(_SALT)))
+    return at, seeds[at]
+
+
+def digit(raw: bytes) -> bytes:
+    """Bytes as one digit: equal for equal bytes only."""
+    return raw if len(raw) <= _LITERAL else hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def hull(text: bytes, pos: int, a: int, b: int) -> bytes:
+    """Digit of the bytes that the windows with the anchor at pos at offsets a to b fill beyond their core, cut at the ends of the text."""
+    low = pos - b if pos > b else 0
+    return digit(bytes((pos - a - low,)) + text[low : pos - a] + text[pos - b + THRESHOLD : pos - a + THRESHOLD])
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor, with the digit of its hull."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, 100):
-            part = batch.slice(begin, 100)
-            rows = []
-            for text in part.column("text").to_pylist():
-                at, seeds, spans = anchors(np.frombuffer(text, dtype=np.uint8))
-                rows.append((len(text), hashlib.sha256(text).hexdigest(), at.astype(np.int32), as_long(seeds), as_long(spans)))
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "doc_id", "n_bytes", "sha256", "pos", "seed", "span"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the spans of a document's listed anchors, cut at its ends."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            key, text, found = (batch.column(c)[i].as_py() for c in ("key", "text", "found"))
-            lows = [max(0, x["pos"] - OFFSETS + 1) for x in found]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([key] * len(found), pa.int64()),
-                pa.array([x["pos"] for x in found], pa.int32()),
-                pa.array([x["seed"] for x in found], pa.int64()),
-                pa.array([x["done"] for x in found], pa.bool_()),
-                pa.array([x["pos"] - low for x, low in zip(found, lows, strict=True)], pa.int32()),
-                pa.array([text[low : x["pos"] + THRESHOLD] for x, low in zip(found, lows, strict=True)], pa.binary()),
-            ], ["key", "pos", "seed", "done", "left", "bytes"])
-
-
-def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix hashes of a batch's spans one after the other; where each starts and ends there, and where its anchor is."""
-    spans = batch.column("bytes").to_pylist()
-    ends = np.cumsum([len(x) for x in spans], dtype=np.int64)
-    starts = np.concatenate([np.zeros(1, dtype=np.int64), ends[:-1]])
-    return prefix_hashes(np.frombuffer(b"".join(spans), dtype=np.uint8)), starts, ends, starts + batch.column("left").to_numpy()
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each anchor and group of STEP offsets with a window inside the text: hashes of their span, cut at the ends of the text and with the place of the anchor therein, and core."""
-    group = np.arange(STEP)
-    salt = mix(group.astype(np.uint64) + np.uint64(_SALT))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        prefix, starts, ends, at = _spans(batch)
-        first = at[:, None] - group * STEP - (STEP - 1)  # start of the group's first window
-        last = first + STEP - 1
-        row, of = np.nonzero((last >= starts[:, None]) & (first + THRESHOLD <= ends[:, None]))
-        first, last = first[row, of], last[row, of]
-        low, high = np.maximum(first, starts[row]), np.minimum(last + THRESHOLD, ends[row])
-        place = ((at[row] - low) * (THRESHOLD + 1) + high - at[row]).astype(np.uint64)
-        span = mix(span_hashes(prefix, low, high) ^ mix(place + salt[of]))
-        core = mix(span_hashes(prefix, last, first + THRESHOLD) ^ salt[of])  # inside the text with any of its windows
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("key", "pos", "seed", "done")), pa.array(of.astype(np.int32)), pa.array(as_long(span)), pa.array(as_long(core))], ["key", "pos", "seed", "done", "group", "span", "core"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of each window of the listed groups; wanted where the group still is open."""
+        for begin in range(0, batch.num_rows, 50):
+            part = batch.slice(begin, 50)
+            ids, places, seeds, hulls = [], [], [], []
+            for number, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                at, some = anchors(np.frombuffer(text, dtype=np.uint8))
+                ids.append(np.full(len(at), number, dtype=np.int64))
+                places.append(at.astype(np.int32))
+                seeds.append(as_long(some))
+                # the root's core is the seed, so its hull is all the rest; the seed is in it once more, as its hash alone may mislead
+                hulls += [hashlib.blake2b(bytes((p - low,)) + text[low : p + THRESHOLD], digest_size=16).digest() for p, low in zip(at.tolist(), np.maximum(at - (OFFSETS - 1), 0).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(seeds)), pa.array(hulls, pa.binary())], ["id", "pos", "seed", "hull"])
+
+
+def _halved(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """The halves of the ranges listed for a text, those that hold a window inside it, with the digits of their cores and hulls."""
+    names = [x.split()[0] for x in _KIDS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        prefix, starts, ends, at = _spans(batch)
-        listed = batch.column("listed").combine_chunks() if isinstance(batch.column("listed"), pa.ChunkedArray) else batch.column("listed")
-        some = listed.flatten()
-        row = np.repeat(np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy()), STEP)
-        offset = (some.field("group").to_numpy().astype(np.int64)[:, None] * STEP + np.arange(STEP)).ravel()
-        open_ = np.repeat(some.field("open").to_numpy(zero_copy_only=False), STEP)
-        first = at[row] - offset
-        ok = (first >= starts[row]) & (first + THRESHOLD <= ends[row])
-        row, first = row[ok], first[ok]
-        pos = batch.column("pos").to_numpy()[row] - offset[ok]
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(as_long(span_hashes(prefix, first, first + THRESHOLD))), pa.array(open_[ok].astype(bool))], ["key", "start", "hash", "wanted"])
-
-
-def _twice(rows: DataFrame, column: str, place: F.Column) -> DataFrame:
-    """Values of a column that stand at two places at least; summed before the shuffle, so no value is too common."""
-    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select(column)
-
-
-def repeated_runs(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keyed texts (key, doc_id, text); facts of each row (key, doc_id, n_bytes, sha256, twin); intervals by key."""
-    texts = docs.select(docs[id_column].cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    scanned = materialise(texts.mapInArrow(_scanned, "key long, doc_id long, n_bytes long, sha256 string, pos array<int>, seed array<long>, span array<long>"), "anchors")
-    place = F.xxhash64("key", "pos")
-    found = scanned.select("key", F.explode(F.arrays_zip("pos", "seed", "span")).alias("x")).select("key", "x.pos", "x.seed", "x.span")
-    common = found.join(_twice(found, "seed", place), "seed", "left_semi")
-    seeds = materialise(common.select("key", "pos", "seed", "span"), "seeds")
-    whole = _twice(seeds, "span", place).withColumnRenamed("span", "repeated")
-    common = materialise(seeds.join(whole, F.col("span") == F.col("repeated"), "left").select("key", "pos", "seed", "span", F.col("repeated").isNotNull().alias("done")), "spans")
-    discard(seeds)
-
-    left = common.where("not done").select("key", "pos", "seed", "done")
-    partners = common.where("done").join(left.select("seed").distinct(), "seed", "left_semi").groupBy("span").agg(F.min(F.struct("key", "pos", "seed", "done")).alias("x")).select("x.*")
-    by_key = left.unionByName(partners).groupBy("key").agg(F.collect_list(F.struct("pos", "seed", "done")).alias("found"))  # bounded by a document
-    contexts = materialise(texts.select("key", "text").join(by_key, "key").mapInArrow(_contexts, "key long, pos int, seed long, done boolean, left int, bytes binary"), "contexts")
-    groups = contexts.mapInArrow(_groups, "key long, pos int, seed long, done boolean, group int, span long, core long")
-    # a group whose core is unique is out, as is what it could be a partner of; a repeated span has a repeated core
-    cores = materialise(groups.join(_twice(groups.select("key", "pos", "core"), "core", place), "core", "left_semi").select("key", "pos", "seed", "done", "group", "span"), "cores")
-    spans = _twice(cores, "span", place).withColumnRenamed("span", "repeated")
-    state = F.when(F.col("repeated").isNotNull() | F.col("done"), "done").otherwise("open")
-    groups = materialise(cores.join(spans, F.col("span") == F.col("repeated"), "left").select("key", "pos", "seed", "group", "span", F.col("done").alias("partner"), state.alias("state")), "states")
-    discard(cores)
-
-    open_ = groups.where("state = 'open'").select("key", "pos", "group", F.lit(True).alias("open"))
-    near = groups.where("state = 'done'").join(groups.where("state = 'open'").select("seed", "group").distinct(), ["seed", "group"], "left_semi")
-    beside = near.groupBy("seed", "group", "span").agg(F.min(F.struct("key", "pos")).alias("x")).select("x.key", "x.pos", "group", F.lit(False).alias("open"))
-    listed = open_.unionByName(beside).groupBy("key", "pos").agg(F.collect_list(F.struct("group", "open")).alias("listed"))  # STEP at most
-    windows = materialise(contexts.join(listed, ["key", "pos"]).select("key", "pos", "left", "bytes", "listed").mapInArrow(_windows, "key long, start int, hash long, wanted boolean"), "windows")
-    discard(contexts)
-    single = windows.where("wanted").join(_twice(windows, "hash", F.xxhash64("key", "start")), "hash", "left_semi").select("key", F.col("start").alias("low"), (F.col("start") + THRESHOLD).alias("high"))
-
-    every = common.where("done").select("key", (F.col("pos") - (OFFSETS - 1)).alias("low"), (F.col("pos") + THRESHOLD).alias("high"))
-    first = F.col("pos") - F.col("group") * STEP - (STEP - 1)
-    some = groups.where("state = 'done' and not partner").select("key", first.alias("low"), (first + STEP - 1 + THRESHOLD).alias("high"))
-    runs = every.unionByName(some).unionByName(single).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))  # bounded by a document
-    twins = scanned.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("twin"))
-    facts = scanned.select("key", "doc_id", "n_bytes", "sha256").join(twins, "key", "left").withColumn("twin", F.coalesce("twin", F.lit(False)) & (F.col("n_bytes") >= THRESHOLD))
-    return texts, facts, runs
+        rows = []
+        for number, text, found in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("found"), strict=True):
+            n = len(text)
+            fields = [found.values.field(c).to_pylist() for c in ("gid", "a", "b", "anchor", "pos", "open")]
+            for gid, a, b, anchor, pos, open_ in zip(*fields, strict=True):
+                mid = (a + b) // 2
+                least, most = pos + THRESHOLD - n, pos  # offsets of windows inside the text
+                if a <= most and mid >= least:
+                    core = text[pos - a : pos - mid + THRESHOLD] if first else text[pos - b + THRESHOLD : pos - mid + THRESHOLD]
+                    rows.append((gid, a, mid, digit(core), hull(text, pos, a, mid), anchor, number, pos, open_))
+                if mid < b and mid + 1 <= most and b >= least:
+                    core = text[pos - mid - 1 : pos - b + THRESHOLD] if first else text[pos - mid - 1 : pos - a]
+                    rows.append((gid, mid + 1, b, digit(core), hull(text, pos, mid + 1, b), anchor, number, pos, open_))
+                if len(rows) >= 20_000:
+                    yield packed(rows)
+                    rows = []
+        if rows:
+            yield packed(rows)
+
+
+def _pass(kids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass: intervals (id, low, high) that are known to be repeated now; ranges that go on, with their groups' numbers.
+
+    Rows of a group are counted before they are shuffled; the joins meet a group's rows with one row for the group, which
+    lets Spark split a large group over tasks.
+    """
+    key = ["gid", "a", "core"]
+    hulls = kids.groupBy(*key, "b", "hull").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("anchor", "id", "pos")), F.max(F.col("open").cast("int")).alias("open"))
+    hulls = materialise(hulls, "hulls")
+    again = hulls.where("n > 1 AND open = 1").select(*key, "hull")
+    done = kids.where("open").join(again, [*key, "hull"], "left_semi").select("id", (F.col("pos") - F.col("b")).alias("low"), (F.col("pos") - F.col("a") + THRESHOLD).alias("high"))
+    done = materialise(done, "runs")
+    left = (F.col("open") == 1) & (F.col("n") == 1)
+    groups = hulls.groupBy(*key).agg(F.min("anchor").alias("group"), F.count("*").alias("k"), F.max(left.cast("int")).alias("left")).where("k > 1 AND left = 1").select(*key, "group")
+    state = materialise(hulls.join(groups, key).select(F.col("group").alias("gid"), "a", "b", "anchor", "id", "pos", left.alias("open")), "ranges")
+    discard(hulls, kids)
+    return done, state
+
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """id, runs (low, high) of the texts (id, text as bytes) with repeated windows; ids are unique, texts is bucketed by id."""
+    scanned = materialise(texts.select("id", "text").mapInArrow(_scanned, "id long, pos int, seed long, hull binary"), "anchors")
+    again = scanned.groupBy("seed").count().where("count > 1").select("seed")
+    common = scanned.join(again, "seed", "left_semi")
+    range_ = [F.lit(0).cast("long").alias("gid"), F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b")]
+    kids = materialise(common.select(*range_, F.col("seed").cast("string").cast("binary").alias("core"), "hull", F.monotonically_increasing_id().alias("anchor"), "id", "pos", F.lit(True).alias("open")), "ranges")
+    discard(scanned)
+    found, first, width = [], True, OFFSETS
+    while True:
+        done, state = _pass(kids)
+        found.append(done)
+        if width == 1:
+            break
+        listed = state.groupBy("id").agg(F.collect_list(F.struct("gid", "a", "b", "anchor", "pos", "open")).alias("found"))  # bounded by a document
+        kids = materialise(texts.select("id", "text").join(listed, "id").mapInArrow(lambda x, f=first: _halved(x, f), _KIDS), "halves")
+        discard(state)
+        first, width = False, (width + 1) // 2
+    runs = reduce(DataFrame.unionByName, found)
+    return runs.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("runs"))  # bounded by a document
 
 
 def merged(runs: list[dict], n: int) -> list[tuple[int, int]]:
@@ -192,26 +171,35 @@ def merged(runs: list[dict], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(text: bytes, cut: list[tuple[int, int]]) -> bytes:
+    at = [0, *(x for run in cut for x in run), len(text)]
+    return b"".join(text[at[i] : at[i + 1]] for i in range(0, len(at), 2))
+
+
+def _numbered(docs: DataFrame, number: str) -> DataFrame:
+    """docs with a number for each row, bucketed by it. The rows are written first, so that a lost task can't number them anew."""
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    out = bucketed(rows, "rows", number)
+    discard(rows)
+    return out
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept, spans = [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            cut = merged(runs, len(text))
-            at = [0, *(x for run in cut for x in run), len(text)]
-            kept.append(b"".join(text[at[i] : at[i + 1]] for i in range(0, len(at), 2)))
-            spans.append(len(cut))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.int64())], ["key", "doc_id", "n_bytes", "kept", "n_spans"])
+        rows = []
+        for doc_id, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
+            cut = merged(runs or [], len(text))
+            kept = _kept(text, cut)
+            rows.append((doc_id, len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    texts, facts, runs = repeated_runs(docs, id_column, text_column)
-    twin = facts.where("twin").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
-    same = facts.where("not twin").join(runs.select("key"), "key", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
-    whole = facts.where("twin").select("key").distinct()
-    cut = texts.join(runs.join(whole, "key", "left_anti"), "key").select("key", "doc_id", "text", "runs").mapInArrow(_cut, "key long, doc_id long, n_bytes long, kept binary, n_spans long")
-    cut = cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return cut.unionByName(same).unionByName(twin)
+    texts = _numbered(docs.select(docs[id_column].cast("long").alias("doc_id"), text_bytes(text_column).alias("text")), "id")
+    runs = repeated_runs(texts)
+    return texts.join(runs, "id", "left").select("doc_id", "text", "runs").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = None) -> DataFrame:
@@ -219,24 +207,19 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Texts that were empty before stay. length_column, if given, becomes the new length in characters.
     """
-    _, facts, runs = repeated_runs(docs, id_column, text_column)
-    twins = facts.where("twin").select(F.col("key").alias("_twin")).distinct()
-    runs = runs.select(F.col("key").alias("_run_key"), F.col("runs").alias("_runs"))
+    number, found = fresh(docs, "row_number", "found_runs")
+    rows = _numbered(docs, number)
+    runs = repeated_runs(rows.select(F.col(number).alias("id"), text_bytes(text_column).alias("text"))).select(F.col("id").alias(number), F.col("runs").alias(found))
 
     @F.pandas_udf("string")
     def cut(texts, found):
         import pandas as pd
 
-        out = []
-        for text, some in zip(texts, found, strict=True):
-            at = [0, *(x for run in merged([] if some is None else list(some), len(text)) for x in run), len(text)]
-            out.append(b"".join(text[at[i] : at[i + 1]] for i in range(0, len(at), 2)).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
+        return pd.Series([_kept(t, merged([] if some is None else list(some), len(t))).decode("utf-8", "ignore") for t, some in zip(texts, found, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("_key", F.xxhash64(docs[id_column].cast("long"), text_bytes(text_column)))
-    keyed = keyed.join(twins, F.col("_key") == F.col("_twin"), "left_anti").join(runs, F.col("_key") == F.col("_run_key"), "left")
-    text = F.when(F.col("_runs").isNotNull(), cut(text_bytes(text_column), F.col("_runs"))).otherwise(F.col(text_column))
-    keyed = keyed.withColumn(text_column, text).where(F.col("_runs").isNull() | (F.length(text_column) > 0))
+    rows = rows.join(runs, number, "left")
+    has = F.col(found).isNotNull()
+    rows = rows.withColumn(text_column, F.when(has, cut(text_bytes(text_column), F.col(found))).otherwise(F.col(text_column))).where(~has | (F.length(text_column) > 0))
     if length_column:
-        keyed = keyed.withColumn(length_column, F.when(F.col("_runs").isNotNull(), F.length(text_column).cast(docs.schema[length_column].dataType)).otherwise(F.col(length_column)))
-    return keyed.select(*docs.columns)
+        rows = rows.withColumn(length_column, F.when(has, F.length(text_column).cast(docs.schema[length_column].dataType)).otherwise(F.col(length_column)))
+    return rows.select(*docs.columns)

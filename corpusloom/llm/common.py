@@ -101,29 +101,29 @@ def text_bytes(column: str = "text") -> F.Column:
 # 64-bit numbers first, so that low bits are as good as high ones.
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
+def powers(n: int, base: int = _BASE) -> list[np.ndarray]:
+    """Powers 0..n-1 of a base and of its inverse."""
+    found = _powers.get(base)
+    if found is None or len(found[0]) < n:
         size = max(1 << 16, 1 << int(n).bit_length())
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, dtype=np.uint64)])) for b in (np.uint64(_BASE), np.uint64(_INVERSE))]
-    return _powers[0][:n], _powers[1][:n]
+        found = _powers[base] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, dtype=np.uint64)])) for b in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64)))]
+    return [x[:n] for x in found]
 
 
-def prefix_hashes(raw: np.ndarray) -> np.ndarray:
+def prefix_hashes(raw: np.ndarray, table: np.ndarray = _TABLE, base: int = _BASE) -> np.ndarray:
     """P with P[j] - P[i] the hash of raw[i:j] times base^i."""
     out = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[raw] * powers(len(raw))[0], out=out[1:])
+    np.cumsum(table[raw] * powers(len(raw), base)[0], out=out[1:])
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Mixed hashes of the spans [start, end)."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+    return mix((prefix[end] - prefix[start]) * powers(len(prefix), base)[1][start])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -199,8 +199,9 @@ def _pass(kids: DataFrame) -> tuple[DataFrame, DataFrame]:
     done = materialise(done, "runs")
     left = (F.col("open") == 1) & (F.col("n") == 1)
     groups = hulls.groupBy(*key).agg(F.min("anchor").alias("group"), F.count("*").alias("k"), F.max(left.cast("int")).alias("left")).where("k > 1 AND left = 1").select(*key, "group", "k")
+    groups = materialise(groups, "groups")
     state = materialise(hulls.join(groups, key).select(F.col("group").alias("gid"), "a", "b", "anchor", "id", "pos", left.alias("open"), "k"), "ranges")
-    discard(hulls, kids)
+    discard(hulls, kids, groups)
     return done, state
 
 
@@ -208,11 +209,11 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     """id, runs (low, high) of the texts (id, text as bytes) with repeated windows; ids are unique, texts is bucketed by id."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scanned = materialise(texts.select("id", "text").mapInArrow(_scanned, "id long, pos int, seed long, hull binary"), "anchors")
-    again = scanned.groupBy("seed").count().where("count > 1").select("seed")
+    again = materialise(scanned.groupBy("seed").count().where("count > 1").select("seed"), "seeds")  # written first, so that Spark can split a common seed's rows in the join
     common = scanned.join(again, "seed", "left_semi")
     range_ = [F.lit(0).cast("long").alias("gid"), F.lit(0).alias("a"), F.lit(OFFSETS - 1).alias("b")]
     kids = materialise(common.select(*range_, F.col("seed").cast("string").cast("binary").alias("core"), "hull", F.monotonically_increasing_id().alias("anchor"), "id", "pos", F.lit(True).alias("open")), "ranges")
-    discard(scanned)
+    discard(scanned, again)
     found, states, first, width = [], [], True, OFFSETS
     listed = lambda rows, *more: rows.groupBy("id").agg(F.collect_list(F.struct("gid", "a", "b", *more, "pos", "open")).alias("found"))  # noqa: E731  # bounded by a document
     while True:

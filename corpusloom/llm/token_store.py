@@ -9,10 +9,12 @@ manifest (shard, first, n_docs, n_tokens, root): first counts all ids before the
 Merkle root of its documents' roots in order.
 
 Chunks end where a rolling hash of the last WINDOW ids says so, so equal passages become equal chunks
-wherever they stand. Reading verifies every address, length and root, and raises on a difference.
+wherever they stand. Reading verifies every address, length and root, and raises on a difference; read_ids puts the ids of each document
+together again, read_store their number and checksum, which follow from those of the chunks.
 
 Cases: a null text is as an empty one: its only id is the end id. Repeated rows and doc_ids keep a recipe each,
-in the order of their roots; null doc_ids come first. An empty table gives an empty store.
+in the order of their roots; null doc_ids come first. A very long text has as many chunks as it needs, and one recipe. An empty table gives an empty store.
+Columns beside the named ones are dropped.
 """
 
 from __future__ import annotations
@@ -38,27 +40,32 @@ _STAGED = "doc_id long, n_tokens long, addresses array<binary>, lengths array<in
 _RECIPE = "shard int, doc_id long, start long, n_tokens long, addresses array<binary>, lengths array<int>, root binary"
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n, out, last = len(ids), [], 0
-    if n > LEAST:
+def cuts(flat: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each id stream, within it; the streams lie in flat between bounds."""
+    marks = np.zeros(0, dtype=np.int64)
+    if len(flat) >= WINDOW:
         with np.errstate(over="ignore"):
-            terms = mix(ids.astype(np.uint64) + np.uint64(1))
-            rolling = np.zeros(n - WINDOW + 1, dtype=np.uint64)
+            terms = mix(flat.astype(np.uint64) + np.uint64(1))
+            rolling = np.zeros(len(flat) - WINDOW + 1, dtype=np.uint64)
             for k in range(WINDOW):
-                rolling = rolling * _BASE + terms[k : n - WINDOW + 1 + k]
-            ends = np.flatnonzero(mix(rolling) % np.uint64(MEAN) == 0) + WINDOW
-        for end in ends.tolist():
+                rolling = rolling * _BASE + terms[k : len(flat) - WINDOW + 1 + k]
+            marks = np.flatnonzero(mix(rolling) % np.uint64(MEAN) == 0) + WINDOW
+    first, last_ = np.searchsorted(marks, bounds[:-1] + LEAST), np.searchsorted(marks, bounds[1:])
+    out = []
+    for start, n, i, j in zip(bounds[:-1].tolist(), np.diff(bounds).tolist(), first.tolist(), last_.tolist(), strict=True):
+        ends, last = [], 0
+        for end in (marks[i:j] - start).tolist():
             while end - last > MOST:
                 last += MOST
-                out.append(last)
-            if end - last >= LEAST and end < n:
-                out.append(end)
+                ends.append(last)
+            if end - last >= LEAST:
+                ends.append(end)
                 last = end
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    return [*out, n]
+        while n - last > MOST:
+            last += MOST
+            ends.append(last)
+        out.append([*ends, n])
+    return out
 
 
 def blob(ids: np.ndarray) -> bytes:
@@ -69,25 +76,49 @@ def ids_of(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, dtype=f"<u{stored[0]}", offset=1).astype("<u4")
 
 
+class Merkle:
+    """Root over leaves as they come: pairs are hashed level by level, an odd one goes up as it is. Holds one hash for each level."""
+
+    def __init__(self):
+        self.held: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, hashlib.sha256(b"\x00" + leaf).digest()
+        while self.held and self.held[-1][0] == level:
+            node = hashlib.sha256(b"\x01" + self.held.pop()[1] + node).digest()
+            level += 1
+        self.held.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.held:
+            return hashlib.sha256(b"").digest()
+        node = self.held[-1][1]
+        for _, left in reversed(self.held[:-1]):
+            node = hashlib.sha256(b"\x01" + left + node).digest()
+        return node
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root over leaves: pairs are hashed level by level, an odd one goes up as it is."""
-    level = [hashlib.sha256(b"\x00" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\x01" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 def _staged(batches: Iterator[pa.RecordBatch], end_id: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
     words = encoder(vocabulary)
     for batch in batches:
-        rows = []
-        for ids in words.encode(batch[1].to_pylist()):
-            ids = np.append(ids, np.uint32(end_id))
-            ends = cuts(ids)
-            blobs = [blob(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-            addresses = [hashlib.sha256(x).digest() for x in blobs]
-            rows.append((len(ids), addresses, np.diff([0, *ends]).tolist(), merkle(addresses), blobs))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
+        flat, ends = words.encode_flat(batch[1].to_pylist())
+        flat = np.insert(flat, ends, np.uint32(end_id))
+        bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int64)
+        addresses, lengths, roots, blobs = [], [], [], []
+        for start, stops in zip(bounds.tolist(), cuts(flat, bounds), strict=False):
+            mine = [blob(flat[start + a : start + b]) for a, b in zip([0, *stops], stops, strict=False)]
+            blobs.append(mine)
+            addresses.append([hashlib.sha256(x).digest() for x in mine])
+            lengths.append([b - a for a, b in zip([0, *stops], stops, strict=False)])
+            roots.append(merkle(addresses[-1]))
+        columns = (np.diff(bounds), addresses, lengths, roots, blobs)
         kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "addresses", "lengths", "root", "blobs"])
 
@@ -124,16 +155,17 @@ def _roots(recipes: DataFrame) -> DataFrame:
     """Each shard's Merkle root, of its documents' roots in order; the order statistic is (start, doc_id, root)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, leaves = None, []
+        shard, tree = None, Merkle()
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([tree.root()], pa.binary())], ["shard", "root"])
         for batch in batches:
             for s, root in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                if s != shard and leaves:
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([merkle(leaves)], pa.binary())], ["shard", "root"])
-                    leaves = []
-                shard = s
-                leaves.append(root)
-        if leaves:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([merkle(leaves)], pa.binary())], ["shard", "root"])
+                if s != shard:
+                    if shard is not None:
+                        yield row()
+                    shard, tree = s, Merkle()
+                tree.add(root)
+        if shard is not None:
+            yield row()
 
     return recipes.repartition("shard").sortWithinPartitions("shard", "start").select("shard", "root").mapInArrow(rows, "shard int, root binary")
 
@@ -168,37 +200,79 @@ def _apply(images: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Each document's doc_id, start among all ids, n_tokens and ids_crc32, from the verified files."""
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, crc = [], []
-            for address, stored in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                if hashlib.sha256(stored).digest() != address:
-                    raise ValueError(f"chunk {address.hex()} has changed")
-                ids = ids_of(stored)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["address", "n", "crc"])
-
-    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(checked, "address binary, n long, crc long")
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of each recipe, with the number of ids behind it. Recipes are verified."""
+    for batch in batches:
+        shard, start, addresses, lengths, root, total = (batch.column(c) for c in ("shard", "start", "addresses", "lengths", "root", "n_tokens"))
+        n = addresses.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = lengths.flatten().to_numpy().astype(np.int64)
+        if (lengths.value_lengths().to_numpy(zero_copy_only=False) != n).any():
+            raise ValueError("a recipe has changed")
+        for mine, said in zip(addresses.to_pylist(), root.to_pylist(), strict=True):
+            if merkle(mine) != said:
+                raise ValueError("a recipe has changed")
+        until = np.concatenate([[0], np.cumsum(sizes)])
+        last = np.cumsum(n)
+        if (until[last] - until[last - n] != total.to_numpy()).any():
+            raise ValueError("a recipe has changed")
+        row = np.repeat(np.arange(len(n)), n)
+        after, i = until[last][row] - until[1:], np.arange(len(row)) - (last - n)[row]
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([shard.take(take), batch.column("doc_id").take(take), start.take(take), addresses.flatten(), pa.array(sizes), pa.array(after), pa.array(i)], ["shard", "doc_id", "start", "address", "length", "after", "i"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """address, number of ids and crc32 of each chunk; chunks are verified."""
+    for batch in batches:
+        n, crc = [], []
+        for address, stored in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            if hashlib.sha256(stored).digest() != address:
+                raise ValueError(f"chunk {address.hex()} has changed")
+            ids = ids_of(stored)
+            n.append(len(ids))
+            crc.append(zlib.crc32(ids.tobytes()))
+        yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["address", "n", "crc"])
+
+
+def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks' places in the documents; each shard's first id. Roots of shards are verified."""
     recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/manifest")
-    root = F.udf(lambda xs: merkle([bytes(x) for x in xs]), "binary")
-    found = manifest.select("shard", "first", F.col("root").alias("said")).join(_roots(recipes), "shard")
-    first = found.select("shard", F.when(F.col("said") == F.col("root"), F.col("first")).otherwise(F.raise_error(F.lit("a shard's recipes have changed"))).alias("first"))
-    parts = recipes.select("shard", "start", "n_tokens", F.posexplode("addresses").alias("i", "address"), "lengths")
-    parts = parts.select("shard", "start", "address", F.get("lengths", F.col("i")).alias("length"), F.aggregate(F.slice("lengths", F.col("i") + 2, F.size("lengths")), F.lit(0).cast("long"), lambda a, x: a + x).alias("after"))
+    found = manifest.select("shard", "first", F.col("root").alias("said")).join(_roots(recipes), "shard", "left")
+    first = found.select("shard", F.when(F.col("said").eqNullSafe(F.col("root")), F.col("first")).otherwise(F.raise_error(F.lit("a shard's recipes have changed"))).alias("first"))
+    return recipes.mapInArrow(_parts, "shard int, doc_id long, start long, address binary, length long, after long, i long"), first
+
+
+def _whole(value: F.Column) -> F.Column:
+    return F.when(F.col("n") == F.col("length"), value).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Each document's doc_id, start among all ids, n_tokens and ids_crc32, from the verified files."""
+    parts, first = _opened(spark, path)
+    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, "address binary, n long, crc long")
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series(crc_shift(crc.to_numpy(), after.to_numpy() * 4).astype(np.int64))
 
-    whole = F.when(F.col("n") == F.col("length"), F.col("length")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")))
-    digests = parts.join(chunks, "address", "left").groupBy("shard", "start").agg(F.sum(whole).alias("n"), F.bit_xor(shifted("crc", "after")).alias("ids_crc32"))
-    checked_docs = recipes.select("shard", "start", "doc_id", F.when(root("addresses") == F.col("root"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe has changed"))).alias("n_tokens"))
-    return checked_docs.join(digests, ["shard", "start"]).join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("start")).alias("start"), F.col("n").cast("long").alias("n_tokens"), "ids_crc32")
+    digests = parts.join(chunks, "address", "left").groupBy("shard", "doc_id", "start").agg(F.sum(_whole(F.col("length"))).alias("n_tokens"), F.bit_xor(shifted(F.coalesce("crc", F.lit(0)), "after")).alias("ids_crc32"))
+    return digests.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")  # first: a row for each shard
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Each document's doc_id, start among all ids, and ids, put together from the verified files."""
+    parts, first = _opened(spark, path)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    sizes = chunks.select("address", "blob").mapInArrow(_checked, "address binary, n long, crc long").select("address", "n")
+    some = parts.join(chunks.join(sizes, "address"), "address", "left").select("shard", "doc_id", "start", F.struct("i", _whole(F.col("blob")).alias("blob")).alias("x"))
+    rows = some.groupBy("shard", "doc_id", "start").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["blob"]).alias("blobs"))  # bounded by a document
+
+    @F.pandas_udf("array<long>")
+    def ids(blobs: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate([ids_of(x) for x in some]).astype(np.int64) for some in blobs])
+
+    return rows.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("start")).alias("start"), ids("blobs").alias("ids"))
 
 
 def store_and_read(docs: DataFrame, path: str | None = None, **options: object) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A tokenizer of this family never joins characters across ASCII white space, so a text's ids are
 those of its words in turn. Each distinct word is encoded once in a worker and its ids are gathered for
-every place it stands at. Words that differ in ASCII case or in a trailing run of plain
-punctuation share the work further.
+every place it stands at. Words that differ in case or in a trailing run of plain
+punctuation share the work further. Words of Latin letters alone are one piece for the tokenizer's model and go
+to it directly. The file's normaliser and pre-tokenizer are checked on loading: another family is refused.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -21,65 +23,111 @@ VOCABULARY = "word_bpe_49k.json"
 MOST_WORDS = 700_000
 MOST_PARTS = 1_200_000
 _CUT = re.compile(r"^(.*[a-z0-9à-öø-ÿ])([.,;:!?|%&$#*]+)$", re.S)
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+# What the file has to say for words to be independent and case not to matter.
+_NORMALISER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters of the model for each Latin-1 letter: its UTF-8 bytes, where those that don't print stand for themselves from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    sign = {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+class _Index(dict):
+    """A number for each word; new words are listed."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self._check(json.loads(self.tokenizer.to_str()))
+        self.letters = _byte_letters()
         self.parts: dict[str, tuple[int, ...]] = {}
         self.clear()
 
+    def _check(self, said: dict) -> None:
+        normaliser, pre = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+        steps = [x["type"] for x in normaliser.get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in pre.get("pretokenizers", [])]
+        if steps != _NORMALISER or split[:1] != [_SPLIT]:
+            raise ValueError("the tokenizer doesn't take a text word by word, without regard to case")
+
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Index()
         self.ids = np.zeros(0, dtype=np.uint32)
         self.start = np.zeros(1, dtype=np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
         cut: list[tuple[str, ...]] = []
+        known, unknown = self.parts, []
         for word in words:
-            text = word.decode("utf-8", "replace")
-            low = text.lower() if text.isascii() else text
+            low = word.decode("utf-8", "replace")
+            if not low or max(low) <= "ÿ":
+                low = low.lower()
+            if low in known:
+                cut.append((low,))
+                continue
             m = None if "<|" in low else _CUT.match(low)
-            cut.append(m.groups() if m else (low,))
-        new = list({p for ps in cut for p in ps if p not in self.parts})
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
+            ps = m.groups() if m else (low,)
+            cut.append(ps)
+            for p in ps:
+                if p not in known:
+                    if _LETTERS.fullmatch(p):
+                        known[p] = tuple([t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.letters))])
+                    else:
+                        unknown.append(p)
+        unknown = list(set(unknown))
+        for at in range(0, len(unknown), 1000):
+            some = unknown[at : at + 1000]
             found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             each: list[list[int]] = [[] for _ in some]
             for i, w in zip(found.ids, found.word_ids, strict=True):
                 each[w].append(i)
-            self.parts.update(zip(some, map(tuple, each), strict=True))
-        rows = [sum((self.parts[p] for p in ps), ()) for ps in cut]
+            known.update(zip(some, map(tuple, each), strict=True))
+        rows = [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for ps in cut]
         lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for r in rows for i in r), dtype=np.uint32, count=int(lengths.sum()))])
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each UTF-8 text, as unsigned 32-bit numbers."""
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all UTF-8 texts one after the other, as unsigned 32-bit numbers, and the end of each text's."""
         if len(self.index) > MOST_WORDS:
             self.clear()
         if len(self.parts) > MOST_PARTS:
             self.parts.clear()
-        index, new, codes, ends = self.index, [], [], []
+        words, ends = [], []
         for text in texts:
-            for word in text.split():  # of bytes: at ASCII white space only
-                code = index.get(word)
-                if code is None:
-                    code = index[word] = len(index)
-                    new.append(word)
-                codes.append(code)
-            ends.append(len(codes))
-        if new:
-            self._learn(new)
-        at = np.array(codes, dtype=np.int64)
+            words += text.split()  # of bytes: at ASCII white space only
+            ends.append(len(words))
+        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         lengths = self.start[at + 1] - self.start[at]
         until = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.ids[np.repeat(self.start[at] - until[:-1], lengths) + np.arange(until[-1])]
-        bounds = [0, *until[np.array(ends, dtype=np.int64)]] if ends else [0]
-        return [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        return flat, until[np.array(ends, dtype=np.int64)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text."""
+        flat, ends = self.encode_flat(texts)
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if texts else []
 
 
 def encoder(path: str | None = None) -> WordEncoder:

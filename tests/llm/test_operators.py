@@ -177,6 +177,58 @@ def test_token_store(docs, plain, spark):
     assert [r[0] for r in sorted(found, key=lambda r: r[1])] == sorted(d for d, _ in ids)
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("address").distinct().count()
+    back = collections.Counter((r.doc_id, tuple(r.ids)) for r in token_store.read_ids(spark, path).collect())
+    assert back == collections.Counter((d, tuple(x)) for d, x in ids)
+    # a changed byte, a lost chunk, a changed recipe, a changed manifest
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    one = chunks.orderBy("address").first()["address"]
+    longest = recipes.orderBy(F.size("addresses").desc()).first()["start"]
+    for changed, table in (
+        (chunks.withColumn("blob", F.when(F.col("address") == F.lit(bytes(one)), F.concat("blob", F.lit(b"\0\0"))).otherwise(F.col("blob"))), "chunks"),
+        (chunks.where(F.col("address") != F.lit(bytes(one))), "chunks"),
+        (recipes.withColumn("addresses", F.when(F.col("start") == longest, F.reverse("addresses")).otherwise(F.col("addresses"))), "recipes"),
+        (manifest.withColumn("root", F.lit(bytes(one))), "manifest"),
+    ):
+        other = common.scratch(spark, "test-changed")
+        for name, df in (("chunks", chunks), ("recipes", recipes), ("manifest", manifest)):
+            (changed if name == table else df).write.parquet(f"{other}/{name}")
+        with pytest.raises(Exception, match="changed|missing"):
+            token_store.read_store(spark, other).collect()
+
+
+def test_merkle_grows():
+    """The growing tree has the root of the plain one, level by level."""
+    for n in range(20):
+        leaves = [bytes([i]) for i in range(n)]
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert token_store.merkle(leaves) == level[0]
+
+
+def test_word_encoder():
+    """Ids of odd words are the library's."""
+    import public_tokenizers
+    from corpusloom.llm import tokens
+    from tokenizers import Tokenizer
+
+    random.seed(5)
+    signs = "abzAZéÉñßÿÀ0179.,;:!?|%&$#*'-_ \t\n\u0130\u0301\u03a3\u4e2d\ud55c\u00b5\u00aa\u200b\xa0<|>"
+    texts = ["".join(random.choices(signs, k=random.randrange(1, 30))) for _ in range(3000)]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    found = tokens.encoder().encode([t.encode() for t in texts])
+    assert [x.tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError, match="word by word"):
+        tokens.encoder(public_tokenizers.path(next(n for n in public_tokenizers.names() if n.endswith(".json") and n != "word_bpe_49k.json")) if hasattr(public_tokenizers, "names") else _other_tokenizer())
+
+
+def _other_tokenizer():
+    from pathlib import Path
+
+    import public_tokenizers
+
+    folder = Path(public_tokenizers.path("word_bpe_49k.json")).parent
+    return str(next(p for p in sorted(folder.glob("*.json")) if p.name != "word_bpe_49k.json"))
 
 
 def test_fingerprints(docs, plain):

@@ -4,7 +4,8 @@ Modular prefix arrays over code points answer whether any two spans are equal, a
 gives longest common extensions (PrefixHashes). A fingerprint keeps a bounded choice of them: the hash of
 the whole text, and hashes of the prefixes and suffixes whose lengths are multiples of a step, the
 smallest power of two that leaves at most MARKS of them. Steps of two texts nest, so the longest common prefix
-and suffix of two texts are found to within a step from their fingerprints alone.
+and suffix of two texts are found to within a step from their fingerprints alone; edited_prefix and edited_suffix
+are their exact lengths for a text and its edit, by the arrays.
 
 Cases: a null text is as an empty one; two empty texts have likeness 1, an empty and another 0. Texts of any length
 are hashed whole. Repeated ids are told apart by their text; null ids sort before the others. A table of
@@ -17,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,6 @@ BASES = (1103515245, 1664525)
 MARKS = 32
 #: Rows of a shard of the ordered documents, about.
 SHARD_ROWS = 4_000
-MOST_SHARDS = 4_096
 _powers: list[np.ndarray] = []
 
 
@@ -82,6 +83,14 @@ class PrefixHashes:
             low, high = (mid, high) if self.equal(i, other, j, mid) else (low, mid - 1)
         return low
 
+    def extension_back(self, other: PrefixHashes) -> int:
+        """Length of the longest common ending of both texts."""
+        low, high = 0, min(self.n, other.n)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.equal(self.n - mid, other, other.n - mid, mid) else (low, mid - 1)
+        return low
+
     def fingerprint(self) -> str:
         """Length, whole hash, then the hashes of prefixes and of suffixes at multiples of the step; in hexadecimal."""
         step = step_of(self.n)
@@ -119,13 +128,13 @@ def likeness(a: str, b: str) -> float:
     return min(1.0, both / max(n, m))
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_prefix long, edited_suffix long"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by shard in ascending order, each shard after a copy of the row that precedes it (own false)."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     text, mark = "", PrefixHashes("").fingerprint()
     for batch in batches:
         rows = []
@@ -135,8 +144,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own:
                 cut = hashes.n // 3
                 edited = this[: hashes.n - cut] + text[:cut]
-                other = PrefixHashes(edited).fingerprint()
-                rows.append((doc_id, hashes.n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint, other, likeness(fingerprint, other), likeness(fingerprint, mark)))
+                other = PrefixHashes(edited)
+                prefix = hashes.extension(0, other, 0)
+                print_ = other.fingerprint()
+                rows.append((doc_id, hashes.n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint, print_, likeness(fingerprint, print_), likeness(fingerprint, mark), prefix, hashes.extension_back(other)))
             text, mark = this, fingerprint
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -151,12 +162,16 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = docs.sparkSession
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
     n = docs.count()
-    shards = max(1, min(MOST_SHARDS, n // SHARD_ROWS))
+    shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // SHARD_ROWS))
     bounds = docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards) if n and shards > 1 else []
     bounds = sorted({int(b) for b in bounds})
     # a shard: how many bounds lie below; equal ids, and so their order, stay in one shard
-    shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    docs = docs.withColumns({"shard": F.when(F.col("doc_id").isNull(), 0).otherwise(shard), "tie": F.xxhash64("text")})
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(bounds, dtype=np.int64), ids.to_numpy(), side="left").astype(np.int32))
+
+    number = shard(F.coalesce("doc_id", F.lit(-(1 << 63)))) if bounds else F.lit(0)
+    docs = docs.withColumns({"shard": number, "tie": F.xxhash64("text")})
     last = docs.groupBy("shard").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "tie")).alias("x")).select("shard", "x.doc_id", "x.tie").collect()  # a row for each shard
     if not last:
         return spark.createDataFrame([], SCHEMA)

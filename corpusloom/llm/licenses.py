@@ -42,7 +42,7 @@ NOTICES = {
     "public domain": ("public-domain", 0.4),
     "all rights reserved": ("all-rights-reserved", 0.5),
 }
-# Label and openness (1: no conditions, 0: no use) of identifiers, by their start.
+# Label and openness (1: no conditions, 0: no use) of identifiers, by their name without a version.
 IDENTIFIERS = {
     "mit": ("mit", 1.0),
     "apache": ("apache", 0.9),
@@ -61,6 +61,10 @@ IDENTIFIERS = {
     "gpl": ("gpl", 0.4),
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
+# Exceptions that loosen the licence beside them, by their name without a version.
+EXCEPTIONS = ("autoconf-exception", "bison-exception", "classpath-exception", "font-exception", "gcc-exception", "linux-syscall-note", "llvm-exception", "openssl-exception")
+#: What may follow an identifier's name: a version, a variant, or "or later".
+_VERSION = re.compile(r"(?:[-.]?v?[0-9][a-z0-9.+-]*|-[a-z0-9][a-z0-9.+-]*|\+)?")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 BASE_WEIGHT, TAG_WEIGHT, BROKEN_TAG_WEIGHT = 0.9, 0.95, 0.4
 
@@ -106,24 +110,29 @@ def parse(text: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def named(token: str, names) -> str | None:
+    """The longest of names that an identifier is, but for its version."""
+    return max((k for k in names if token.startswith(k) and _VERSION.fullmatch(token[len(k) :])), key=len, default=None)
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     """Labels and openness: an offer (or) is as open as its best side, a sum (and) as its worst.
 
-    An exception (with) loosens the licence that it stands beside, to 0.6 at least.
+    A known exception (with) loosens the licence that it stands beside, to 0.6 at least. Identifiers that aren't listed count as unknown.
     """
-    stack: list[tuple[set[str], float]] = []
+    stack: list[tuple[set[str], float, str]] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            start = max((k for k in IDENTIFIERS if token.startswith(k)), key=len, default=None)
-            label, openness = IDENTIFIERS[start] if start else ("other", 0.5)
-            stack.append(({label}, openness))
+            name = named(token, IDENTIFIERS)
+            label, openness = IDENTIFIERS[name] if name else ("unknown", 0.5)
+            stack.append(({label}, openness, token))
             continue
-        (right, b), (left, a) = stack.pop(), stack.pop()
+        (right, b, exception), (left, a, _) = stack.pop(), stack.pop()
         if token == "with":
-            stack.append((left, max(a, 0.6)))
+            stack.append((left, max(a, 0.6) if named(exception, EXCEPTIONS) else a, ""))
         else:
-            stack.append((left | right, min(a, b) if token == "and" else max(a, b)))
-    return stack[0]
+            stack.append((left | right, min(a, b) if token == "and" else max(a, b), ""))
+    return stack[0][:2]
 
 
 def _automaton(keys: dict[str, object]) -> ahocorasick.Automaton:

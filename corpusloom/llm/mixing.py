@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, materialise
+from .common import BLANK, fresh, materialise
 
 # Weights of the sources, repeating in their order.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,7 +100,7 @@ def _round(units: DataFrame, seed: int) -> DataFrame:
     """doc_id, ordinal, taken (0 or 1) of units (source, size, key, doc_id, ordinal, p) with 0 < p < 1."""
     done, left, level = None, units, 0
     while True:
-        per = left.groupBy(F.col("source").alias("its_source")).agg(F.count("*").alias("units"))
+        per = materialise(left.groupBy(F.col("source").alias("its_source")).agg(F.count("*").alias("units")), "mixing-sources")  # written, so that Spark knows its size and broadcasts it where it is small
         dealt = left.join(per, F.col("source").eqNullSafe(F.col("its_source"))).select("source", "size", "key", "doc_id", "ordinal", "p", F.pmod(F.xxhash64("key", F.lit(level), F.lit(seed)), F.ceil(F.col("units") / BLOCK)).alias("block"))
         unit = F.struct((-F.col("size")).alias("order"), "key", _unit(F.col("size"), F.col("key"), F.col("doc_id"), F.col("ordinal"), F.col("p"), F.lit(None).cast("int")).alias("unit"))
         folded = dealt.groupBy("source", "block").agg(F.transform(F.sort_array(F.collect_list(unit)), lambda x: x["unit"]).alias("units")).select("source", _fold(F.col("units"), level, seed).alias("f"))
@@ -120,7 +120,7 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[source_column].alias("source"), words_of(docs[text_column]).alias("size"), F.xxhash64(docs[source_column], docs[text_column]).alias("same"))
     rows = rows.withColumn("ordinal", F.row_number().over(ordinal_window()).cast("long"))
     rows = materialise(rows, "mixing")
-    by = targets(rows, weights, most).withColumnRenamed("source", "its_source")
+    by = materialise(targets(rows, weights, most).withColumnRenamed("source", "its_source"), "mixing-targets")
     joined = rows.join(by, F.col("source").eqNullSafe(F.col("its_source"))).select("doc_id", "ordinal", "source", "size", "source_size", "target", F.xxhash64("doc_id", "ordinal", "same").alias("key"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("expected", F.least(expected, F.lit(float(most)))).withColumns({"whole": F.floor("expected"), "p": F.col("expected") - F.floor("expected")})
@@ -131,6 +131,7 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     first = materialise(_round(open_.where(long).select(unit), seed), "mixing-long")
     mine = open_.where(long).select("source", "size", "p", "doc_id", "ordinal").join(first.select(F.col("doc_id").alias("d"), F.col("ordinal").alias("o"), "taken"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("ordinal") == F.col("o")))
     excess = mine.groupBy(F.col("source").alias("its_source")).agg(F.sum((F.col("taken") - F.col("p")) * F.col("size")).alias("excess"), F.sum("size").alias("long_size"))
+    excess = materialise(excess, "mixing-excess")
     rest = open_.where(~long).join(excess, F.col("source").eqNullSafe(F.col("its_source")), "left")
     shift = F.coalesce(F.col("excess") / (F.col("source_size") - F.col("long_size")), F.lit(0.0))
     rest = rest.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - shift)))
@@ -148,8 +149,9 @@ def ordinal_window() -> Window:
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0, **options: object) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; all columns stay."""
-    plan = mix_plan(docs, id_column, text_column, source_column, seed, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("ordinal").alias("_mix_ordinal"), F.col("copies").alias("_mix_copies"))
+    mine, nth, copies, row, copy = fresh(docs, "mix_id", "mix_ordinal", "mix_copies", "mix_row", "mix_copy")
+    plan = mix_plan(docs, id_column, text_column, source_column, seed, **options).where("copies > 0").select(F.col("doc_id").alias(mine), F.col("ordinal").alias(nth), F.col("copies").alias(copies))
     same = Window.partitionBy(docs[id_column].cast("long")).orderBy(F.xxhash64(docs[source_column], docs[text_column]))
-    numbered = docs.withColumn("_mix_row", F.row_number().over(same).cast("long"))
-    taken = numbered.join(plan, numbered[id_column].cast("long").eqNullSafe(plan["_mix_id"]) & (numbered["_mix_row"] == plan["_mix_ordinal"]))
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
+    numbered = docs.withColumn(row, F.row_number().over(same).cast("long"))
+    taken = numbered.join(plan, numbered[id_column].cast("long").eqNullSafe(plan[mine]) & (numbered[row] == plan[nth]))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

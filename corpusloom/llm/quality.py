@@ -7,8 +7,8 @@ ratio of its n-grams against one threshold: the TRUSTED_LOSS quantile of the tru
 means, so all documents are judged alike and reruns agree.
 
 Cases: a null or empty text has no words and fails the base rules. Without trusted rows the
-ratio is 0 everywhere and the base rules alone decide. Equal texts get equal verdicts. Input columns other
-than the named ones are dropped. An empty table gives an empty result.
+ratio is 0 everywhere and the base rules alone decide. Equal texts get equal verdicts; null ids are never trusted, repeated rows get a row each. A very long text is
+one row like any other. Input columns other than the named ones are dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import BLANK, materialise
 
 BUCKETS = 1 << 13
-#: The trusted rows are a bounded sample of the labelled ones: those with the smallest hashes of their ids.
-MOST_TRUSTED = 20_000
+#: The threshold is found to within 1 / STEPS of the ratio, from a histogram of all trusted rows.
+STEPS = 1000
 TRUSTED_LOSS = 0.003
 SMOOTHING = 1.0
 MIN_WORDS = 50
@@ -65,6 +65,17 @@ def with_score(docs: DataFrame, ratios: list[float]) -> DataFrame:
     return docs.withColumn("llr", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)).drop("grams")
 
 
+def threshold(trusted: DataFrame) -> float | None:
+    """The largest step of the ratio that TRUSTED_LOSS of the trusted rows at most lie below; null without rows."""
+    steps = {r["step"]: r["count"] for r in trusted.groupBy(F.floor(F.col("llr") * STEPS).alias("step")).count().collect()}  # the ratio is bounded, so its steps are
+    lost, rows = 0, sum(steps.values())
+    for step in sorted(steps):
+        if lost + steps[step] > TRUSTED_LOSS * rows:
+            return step / STEPS
+        lost += steps[step]
+    return None
+
+
 def with_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Adds the base counts. Needs the column words."""
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -92,13 +103,13 @@ def with_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
 def quality(docs: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each document with the base counts, base_failed, llr and kept.
 
-    trusted_ids: one column of ids of trusted rows, of which MOST_TRUSTED are used.
+    trusted_ids: one column of ids of trusted rows.
     """
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    ids = trusted_ids.select(trusted_ids[trusted_ids.columns[0]].cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRUSTED)
-    trusted = materialise(docs.join(F.broadcast(ids), "doc_id", "left_semi"), "trusted")  # ids: MOST_TRUSTED at most
+    ids = trusted_ids.select(trusted_ids[trusted_ids.columns[0]].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    trusted = materialise(docs.join(ids, "doc_id", "left_semi"), "trusted")
     ratios = log_ratios(counts(trusted), counts(docs))
-    floor = with_score(with_words(trusted), ratios).where(F.size("words") >= MIN_WORDS).agg(F.percentile("llr", F.lit(TRUSTED_LOSS))).first()[0]
+    floor = threshold(with_score(with_words(trusted), ratios).where(F.size("words") >= MIN_WORDS))
     out = with_score(with_rules(with_words(docs)), ratios)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= F.lit(floor if floor is not None else -math.inf))).alias("kept"), "llr")

@@ -13,7 +13,8 @@ are a text's own words alone.
 
 Cases: null and empty texts have no words and score as such. Without labels of both kinds every score is the
 share of label 1 (0 without labels). Several labels of an id: the largest counts. Repeated rows get equal scores. Empty tables
-give an empty result. Columns beside the named ones are dropped by toxicity, kept by drop_toxic.
+give an empty result. Very long texts are decoded token by token, whole. Columns beside the named ones are dropped by toxicity, kept by drop_toxic,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import fresh, materialise, text_bytes
 
 # The letters that a digit or sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
@@ -40,7 +41,6 @@ _SEPARATED = re.compile(rb"[._ -]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: The classifier is fitted on the labelled rows with the smallest hashes of their ids, so many at most.
 MOST_LABELLED = 20_000
-MOST_FEATURES = 256
 #: A stem is a word's start of so many bytes; it counts where at least 1 / STEM_RATE of the words have it.
 STEMS = (4, 5, 6, 7, 8)
 STEM_RATE = 100
@@ -213,7 +213,7 @@ class Model(NamedTuple):
 
 def fit(rows: list[tuple[int, list[int]]], size: int) -> np.ndarray:
     """Ridge logistic regression by Newton's steps; the intercept is last and free. rows: label and its features."""
-    x = np.zeros((len(rows), size + 1))
+    x = np.zeros((len(rows), size + 1), dtype=np.float32)
     x[:, size] = 1
     for i, (_, found) in enumerate(rows):
         x[i, found] = 1
@@ -222,7 +222,11 @@ def fit(rows: list[tuple[int, list[int]]], size: int) -> np.ndarray:
     ridge[size] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        curve = np.diag(ridge)
+        for i in range(0, len(x), 1000):
+            part = x[i : i + 1000].astype(float)
+            curve += (part * (p * (1 - p))[i : i + 1000, None]).T @ part
+        step = np.linalg.solve(curve, x.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -254,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     part = lambda k, of: F.when(k > 0, k * F.log(k * (p + n) / (F.col("n") * of))).otherwise(0.0)
     counts = counts.withColumn("gain", 2 * (part(pos, p) + part(neg, n))).where(pos * n > neg * p)
     bar = 2 * math.log(max(2, counts.count()))
-    chosen = [bytes(r["f"]) for r in counts.where(F.col("gain") > bar).orderBy(F.desc("gain"), "f").limit(MOST_FEATURES).collect()]
+    chosen = [bytes(r["f"]) for r in counts.where(F.col("gain") > bar).orderBy(F.desc("gain"), "f").collect()]  # of MOST_LABELLED texts at most
     number = {f: i for i, f in enumerate(chosen)}
     hits = texts.select("toxic", F.filter("found", lambda f: f.isin(chosen)).alias("found") if chosen else F.array().cast("array<binary>").alias("found"))
     rows = sorted((r["toxic"], sorted(number[bytes(f)] for f in r["found"])) for r in hits.collect())  # MOST_LABELLED rows at most
@@ -285,4 +289,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns."""
     score = scorer(learn(docs, labels, id_column, text_column))
-    return docs.withColumn("_toxicity", score(text_bytes(text_column))).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    (name,) = fresh(docs, "toxicity")
+    return docs.withColumn(name, score(text_bytes(text_column))).where(F.col(name) < THRESHOLD).select(*docs.columns)

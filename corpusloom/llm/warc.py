@@ -71,11 +71,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records of each row; their ends are the line separator that the text writer adds."""
     for batch in batches:
         out = []
-        for page_id, url, html, holder, uid in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "holder", "uid")), strict=True):
+        for page_id, url, html, holder, holder_uid, uid in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "holder", "holder_uid", "uid")), strict=True):
             key = f"urn:page:{'' if page_id is None else page_id}:{uid}"
             head = {"WARC-Type": "response", "WARC-Record-ID": f"<{key}>", "WARC-Date": _DATE, "WARC-Target-URI": re.sub(r"[\x00-\x20]", "%20", url or "urn:page"), "WARC-Payload-Digest": f"sha1:{base32_sha1(html)}", "X-Page-ID": page_id, "X-Payload-Length": len(html)}
             if holder is not None and holder != page_id:
-                out.append(_record(head | {"WARC-Type": "revisit", "WARC-Refers-To": f"<urn:page:{holder}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, b"HTTP/1.1 200 OK\r\n\r\n"))
+                out.append(_record(head | {"WARC-Type": "revisit", "WARC-Refers-To": f"<urn:page:{holder}:{holder_uid}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, b"HTTP/1.1 200 OK\r\n\r\n"))
                 continue
             block = _HTTP + chunked(html)
             parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
@@ -90,11 +90,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_bytes: int = MIN_BYTES) -> None:
     html = F.coalesce(pages[html_column].cast("binary"), F.lit(b""))
-    rows = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].alias("url"), html.alias("html")).withColumns({"digest": F.unhex(F.sha1("html")), "n": F.length("html")})
+    rows = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].alias("url"), html.alias("html"), F.monotonically_increasing_id().cast("string").alias("uid")).withColumns({"digest": F.unhex(F.sha1("html")), "n": F.length("html")})
     # the largest id of each payload that more than one row has; counted before the shuffle
-    shared = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.join(shared, "digest", "left").withColumn("uid", F.monotonically_increasing_id().cast("string"))
-    records = rows.select("page_id", "url", "html", F.when(F.col("n") >= min_bytes, F.col("holder")).alias("holder"), "uid").mapInArrow(_records, "record binary")
+    shared = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("x"), F.count("*").alias("copies")).where("copies > 1").select("digest", F.col("x.page_id").alias("holder"), F.col("x.uid").alias("holder_uid"))
+    rows = rows.join(shared, "digest", "left")
+    records = rows.select("page_id", "url", "html", F.when(F.col("n") >= min_bytes, F.col("holder")).alias("holder"), "holder_uid", "uid").mapInArrow(_records, "record binary")
     # raw bytes as they are: the writer copies a string's bytes
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_BYTES // SEGMENT_BYTES).text(path)
 
@@ -123,7 +123,7 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for head, block in _parsed(gzip.decompress(data.as_py())):
                 number = lambda k, h=head: int(h[k]) if k in h else None
                 refers = head.get("WARC-Refers-To")
-                rows.append((head["WARC-Record-ID"], number("X-Page-ID"), head["WARC-Type"], head.get("WARC-Payload-Digest", "")[5:], int(refers[len("<urn:page:") : -1]) if refers else None, head.get("WARC-Segment-Origin-ID"), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length") or number("X-Payload-Length"), block))
+                rows.append((head["WARC-Record-ID"], number("X-Page-ID"), head["WARC-Type"], head.get("WARC-Payload-Digest", "")[5:], int(refers[len("<urn:page:") : -1].split(":")[0]) if refers else None, head.get("WARC-Segment-Origin-ID"), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length") or number("X-Payload-Length"), block))
             for i in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 500], strict=True), kinds, strict=True)], names)
 
@@ -132,7 +132,10 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole HTTP blocks to payloads, checked against the digest."""
     for batch in batches:
         found = []
-        for kind, digest, block in zip(*(batch.column(n).to_pylist() for n in ("kind", "digest", "block")), strict=True):
+        for kind, digest, blocks, total in zip(*(batch.column(n).to_pylist() for n in ("kind", "digest", "blocks", "total")), strict=True):
+            block = b"".join(blocks)
+            if total is not None and len(block) != total:
+                raise ValueError("a segment is missing")
             head, _, body = block.partition(b"\r\n\r\n")
             payload = None
             if kind == "response":
@@ -146,7 +149,7 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, kind, digest, refers_to, length, payload (null for revisits, whose length their header gives)."""
     records = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_files, _RECORD)
-    single = records.where("segment is null").select("page_id", "kind", "digest", "refers_to", F.col("total").alias("length"), "block")
+    single = records.where("segment is null").select("page_id", "kind", "digest", "refers_to", F.col("total").alias("length"), F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"))
     # one record's segments meet in one row; their number is bounded by that record's size
     segments = records.where("segment is not null").select(F.coalesce("origin", "uid").alias("origin"), "segment", "page_id", "digest", "kind", "total", "block")
     joined = segments.groupBy("origin").agg(
@@ -157,10 +160,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.max(F.when(F.col("kind") == "continuation", F.col("total"))).alias("total"),
         F.max("segment").alias("most"),
     )
-    block = F.aggregate("parts.block", F.lit(b""), lambda a, b: F.concat(a, b))
-    joined = joined.withColumn("block", block)
-    whole = F.when((F.length("block") == F.col("total")) & (F.size("parts") == F.col("most")), F.col("block")).otherwise(F.raise_error(F.lit("a segment is missing")).cast("binary"))
-    joined = joined.select("page_id", F.lit("response").alias("kind"), "digest", F.lit(None).cast("long").alias("refers_to"), "length", whole.alias("block"))
+    whole = F.when(F.col("total").isNotNull() & (F.size("parts") == F.col("most")), F.col("parts.block")).otherwise(F.raise_error(F.lit("a segment is missing")).cast("array<binary>"))
+    joined = joined.select("page_id", F.lit("response").alias("kind"), "digest", F.lit(None).cast("long").alias("refers_to"), "length", whole.alias("blocks"), "total")
     return single.unionByName(joined).mapInArrow(_payloads, "page_id long, kind string, digest string, refers_to long, length long, payload binary")
 
 

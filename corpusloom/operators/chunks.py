@@ -1,4 +1,8 @@
-"""Chunking: fixed windows over joined sections, windows of one text, packed sub-sections."""
+"""Chunking: fixed windows over joined sections, windows of one text, packed sub-sections.
+
+Sections are ordered by a number; positions are summed within runs of RUN numbers first and then over runs, without the texts, so
+that a large act isn't one task's. Null and blank texts are left out, as are null orders. A section's (act, order) is unique.
+"""
 
 from __future__ import annotations
 
@@ -6,36 +10,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, STEP, GAP = 1000, 850, 2
+RUN = 4096
+_BLANK = r"(?U)^\s*$"
 
 
 def spans(sections: DataFrame, act: str, order: str, text: str) -> DataFrame:
-    """Sections with the start of each in its act's joined text, pieces GAP characters apart, and that text's length."""
-    length = F.length(text).cast("long")
-    before = Window.partitionBy(act).orderBy(order)
-    whole = Window.partitionBy(act)
-    start = F.sum(length + GAP).over(before) - (length + GAP)
-    return sections.where(F.trim(text) != "").withColumns({"start": start, "end": start + length, "total": F.sum(length + GAP).over(whole) - GAP})
+    """act, order, start and end of each section in its act's joined text, pieces GAP characters apart, and that text's length."""
+    lengths = sections.where(~F.col(text).rlike(_BLANK) & F.col(order).isNotNull()).select(act, order, F.length(text).cast("long").alias("_n"), F.floor(F.col(order) / RUN).alias("_run"))
+    runs = lengths.groupBy(act, "_run").agg(F.sum(F.col("_n") + GAP).alias("_sum"))
+    runs = runs.select(act, "_run", (F.sum("_sum").over(Window.partitionBy(act).orderBy("_run")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy(act)).alias("_all"))
+    within = F.sum(F.col("_n") + GAP).over(Window.partitionBy(act, "_run").orderBy(order)) - F.col("_n") - GAP
+    placed = lengths.withColumn("_within", within).withColumnRenamed(act, "_act").join(runs, F.col("_act").eqNullSafe(F.col(act)) & (lengths["_run"] == runs["_run"]))
+    start = F.col("_before") + F.col("_within")
+    return placed.select(act, order, start.alias("start"), (start + F.col("_n")).alias("end"), (F.col("_all") - GAP).alias("total"))
 
 
 def windows(sections: DataFrame, act: str, order: str, text: str, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """act, i, begin, length of the windows over each act's joined text; also the sections that hold each end.
+    """act, i, begin, length and piece of the windows over each act's joined text; blank ones are left out but counted.
 
-    A position between sections belongs to the act's last one. Every section offers the windows that begin in it, so
-    that no act's text is put together anywhere.
+    Every section gives its part of the windows that meet it, so that no act's text is put together anywhere.
     """
+    placed = spans(sections, act, order, text).withColumnsRenamed({act: "_a", order: "_o"})
+    both = sections.where(F.col(order).isNotNull()).join(placed, F.col(act).eqNullSafe(F.col("_a")) & (F.col(order) == F.col("_o")))
+    last = F.col("end") == F.col("total")
+    body = F.when(last, F.col(text)).otherwise(F.concat(text, F.lit("\n" * GAP)))
+    stop = F.when(last, F.col("end")).otherwise(F.col("end") + GAP)
+    rows = both.select(act, order, "start", "total", body.alias("_body"), stop.alias("_stop"))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - size) / step) + 1)
+    rows = rows.select("*", F.explode(F.sequence(first, F.floor((F.col("_stop") - 1) / step))).alias("i")).withColumn("begin", F.col("i") * step)
+    low, high = F.greatest("begin", "start"), F.least(F.col("begin") + size, "_stop")
+    rows = rows.where(high > low).select(act, "i", "begin", "total", F.struct(F.col(order).alias("o"), F.substr("_body", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("t")).alias("x"))
+    found = rows.groupBy(act, "i", "begin", "total").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "").alias("piece"))  # size characters at most
+    return found.where(~F.col("piece").rlike(_BLANK)).select(act, "i", "begin", F.length("piece").cast("long").alias("length"), "piece")
+
+
+def owners(sections: DataFrame, act: str, order: str, text: str, size: int = SIZE, step: int = STEP) -> DataFrame:
+    """act, i, owner, end_owner, crosses: the sections that hold a window's ends. A position between sections belongs to the act's last one."""
     placed = spans(sections, act, order, text)
     last = placed.groupBy(act).agg(F.max(order).alias("last_section"), F.max("total").alias("total"))
     listed = last.select(act, "last_section", "total", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(step).cast("long"))).alias("i", "begin"))
-    listed = listed.withColumns({"length": F.least(F.lit(size), F.col("total") - F.col("begin")).cast("long")}).withColumn("stop", F.col("begin") + F.col("length") - 1)
-    own = placed.select(act, F.col(order).alias("section"), "start", "end")
-    grid = own.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor(F.col("end") / step))))  # equi-join on cells of a range join
-
-    def owner(rows: DataFrame, at: str, name: str) -> DataFrame:
-        rows = rows.withColumn("cell", F.floor(F.col(at) / step))
-        hit = rows.join(grid, [act, "cell"], "left").where((F.col(at) >= F.col("start")) & (F.col(at) < F.col("end"))).select(act, "i", F.col("section").alias(name))
-        return rows.drop("cell").join(hit, [act, "i"], "left").withColumn(name, F.coalesce(name, "last_section"))
-
-    return owner(owner(listed, "begin", "owner"), "stop", "end_owner").withColumn("crosses", F.col("owner") != F.col("end_owner"))
+    listed = listed.withColumn("stop", F.least(F.col("begin") + size, "total") - 1)
+    # every section offers the windows that begin or end in it; the rest stand in gaps
+    hit = lambda shift: (F.ceil((F.col("start") - shift) / step), F.floor((F.col("end") - 1 - shift) / step))
+    starts, (low, high) = placed, hit(0)
+    starts = starts.where(low <= high).select(act, F.col(order).alias("owner"), F.explode(F.sequence(low, high)).alias("i"))
+    low, high = hit(size - 1)
+    ends = placed.where((F.greatest(F.lit(0), low) <= high)).select(act, F.col(order).alias("end_owner"), F.explode(F.sequence(F.greatest(F.lit(0), low), high)).alias("i"))
+    out = listed.join(starts, [act, "i"], "left").join(ends, [act, "i"], "left")
+    # a window that the end cuts ends in the last section
+    end = F.when(F.col("begin") + size > F.col("total"), F.col("last_section")).otherwise(F.coalesce("end_owner", "last_section"))
+    return out.select(act, "i", F.coalesce("owner", "last_section").alias("owner"), end.alias("end_owner")).withColumn("crosses", F.col("owner") != F.col("end_owner"))
 
 
 def upload_windows(docs: DataFrame, text: str, size: int = 1200, step: int = 1050) -> DataFrame:
@@ -53,3 +77,16 @@ def packed(text: Column, limit: int = 1400) -> Column:
     pieces = F.aggregate(parts, empty, step, lambda a: F.concat(a["done"], F.array(a["open"])))
     whole = F.when(F.length(text) <= limit, F.array(text)).otherwise(pieces)
     return F.filter(F.transform(whole, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def described(chunks: DataFrame, document: str, number: str, note: str, text: str) -> DataFrame:
+    """Adds citation, identifier, heading, embedding_text and content_hash of chunks."""
+    label = F.regexp_replace(F.coalesce(F.col(note), F.lit("")), r"\.+$", "")
+    heading = F.when(label == "", F.concat(F.lit("Section "), number)).otherwise(F.concat(F.lit("Section "), number, F.lit(". "), label))
+    return chunks.withColumns({
+        "citation": F.concat(document, F.lit(" s. "), number),
+        "identifier": F.concat(document, F.lit(":"), number),
+        "heading": heading,
+        "embedding_text": F.concat(heading, F.lit("\n"), text),
+        "content_hash": F.sha2(text, 256),
+    })

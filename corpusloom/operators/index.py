@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ def dot(a: str, b: str) -> Column:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """qid, rank, vec_id, score of the k best vectors of each query (qid, qvec); ties by id.
 
-    Queries are broadcast in blocks of about MOST_QUERIES, dealt by a hash of qid; each block meets all vectors.
+    Queries meet all vectors in blocks of about MOST_QUERIES, dealt by a hash of qid, of which each is broadcast; a task keeps
+    the k best of a query before anything is shuffled.
     """
     blocks = max(1, math.ceil(queries.count() / MOST_QUERIES))
     dealt = F.pmod(F.xxhash64("qid"), F.lit(blocks))
@@ -38,8 +42,58 @@ def _best(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def fingerprint(chunks: DataFrame, group: str, id_column: str, hash_column: str) -> DataFrame:
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(id_column).cast("string").alias("id"), F.col(hash_column).alias("h")))), lambda x: F.concat(x["id"], F.lit("\0"), x["h"], F.lit("\0")))
-    return chunks.groupBy(group).agg(F.substring(F.sha2(F.array_join(parts, ""), 256), 1, 12).alias("fp12"))
+    """group, fp12: SHA-256 over (id, hash) in order. A group's sorted rows stream through one running hash."""
+    rows = chunks.select(F.col(group).alias("group"), F.col(id_column).cast("string").alias("id"), F.col(hash_column).alias("h")).na.fill("", ["id", "h"])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, running = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([running.hexdigest()[:12]])], [group, "fp12"])
+        for batch in batches:
+            for g, i, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if running is None or g != key:
+                    if running is not None:
+                        yield row()
+                    key, running = g, hashlib.sha256()
+                running.update(f"{i}\0{h}\0".encode())
+        if running is not None:
+            yield row()
+
+    return rows.repartition("group").sortWithinPartitions("group", "id", "h").mapInArrow(digests, f"{group} string, fp12 string")
+
+
+def shape(chunks: DataFrame) -> DataFrame:
+    """document, strategies (without the rows of tables, sorted), with_schedule of chunks (document, strategy); more than one strategy is an error."""
+    main = F.array_sort(F.collect_set(F.when(F.col("strategy") != "schedule_rows", F.col("strategy"))))
+    found = chunks.groupBy("document").agg(main.alias("s"), F.bool_or(F.col("strategy") == "schedule_rows").alias("with_schedule"))
+    mixed = F.raise_error(F.concat(F.lit("mixed strategies in "), "document")).cast("string")
+    return found.select("document", F.when(F.size("s") > 1, mixed).otherwise(F.array_join("s", ",")).alias("strategies"), "with_schedule")
+
+
+def desired(acts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks (act_id, ...) of acts (act_id, role) that are operative."""
+    return chunks.join(acts.where("role = 'operative'").select("act_id"), "act_id", "left_semi")
+
+
+def converge(old: DataFrame, new: DataFrame, embed: Column) -> DataFrame:
+    """The next state of an index: rows of new (chunk_id, content_hash, more) with old's vector where the hash is the same, else embed; reused says which."""
+    kept = old.select("chunk_id", F.col("content_hash").alias("_was"), F.col("vector").alias("_vector"))
+    same = F.coalesce(F.col("_was") == F.col("content_hash"), F.lit(False))
+    return new.join(kept, "chunk_id", "left").select(*new.columns, F.when(same, F.col("_vector")).otherwise(embed).alias("vector"), same.alias("reused"))
+
+
+def report(states: DataFrame) -> DataFrame:
+    """embedded, total, summary of the states of diff()."""
+    found = states.agg(F.count_if(F.col("status").isin("added", "changed")).alias("embedded"), F.count_if(F.col("status") != "removed").alias("total"))
+    share = F.try_divide(100 * (F.col("total") - F.col("embedded")), F.col("total"))
+    shown = F.when((share > 99.5) & (F.col("embedded") > 0), F.format_string("%.1f", share)).otherwise(F.format_string("%.0f", share))
+    return found.withColumn("summary", F.concat(F.lit("embedded "), "embedded", F.lit(" of "), "total", F.lit(" chunks ("), shown, F.lit("% reused)")))
+
+
+def embedded(text: Column, size: int = 64) -> Column:
+    """A vector of length 1 by hashed words, for use without a model."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)) == i)).cast("double"))
+    return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: (x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12))).cast("float")))[0]
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

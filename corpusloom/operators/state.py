@@ -1,61 +1,116 @@
-"""Order-dependent state in batch: a sliding-window limiter and a token bucket, one key's ordered events at a time.
+"""Order-dependent state in batch: a sliding-window limiter, a token bucket and a least-recently-used cache, one key's ordered events at a time.
 
 A key's events are split over no groups, as each decision depends on the ones before; keys run side by side. Rows come as sorted
-Arrow batches, so a key's events stream through and only its state is held.
+Arrow batches, so a key's events stream through and only its state is held. Null keys are one key; ties go by event_id.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _sorted(events: DataFrame) -> DataFrame:
-    return events.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+class Limiter:
+    """At most limit events in any window (microseconds); refused ones don't count. A limit of 0 or less allows all."""
 
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window, self.hits = limit, window, deque()
 
-def limited(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """event_id, allowed, remaining, retry_after (seconds) of events (user_id, event_id, at in microseconds)."""
+    def __call__(self, event: int, at: int) -> tuple:
+        while self.hits and self.hits[0] <= at - self.window:
+            self.hits.popleft()
+        if self.limit <= 0:
+            return event, True, -1, 0.0
+        if len(self.hits) >= self.limit:
+            return event, False, 0, (self.hits[0] + self.window - at) / 1e6
+        self.hits.append(at)
+        return event, True, self.limit - len(self.hits), 0.0
+
+    def forget(self) -> None:
+        """Take back the last event that counted."""
+        if self.hits:
+            self.hits.pop()
+
+
+class Bucket:
+    """Tokens that come back over time: share of per_minute is the capacity, which a minute fills.
+
+    acquire: a wish, cut to the capacity, waits until it can be met; what follows counts from then. reconcile gives back or charges.
+    """
+
+    def __init__(self, per_minute: float, share: float = 0.9):
+        self.capacity = max(1.0, per_minute * share)
+        self.level, self.at = self.capacity, None
+
+    def _refill(self, at: float) -> None:
+        if self.at is not None and at > self.at:
+            self.level = min(self.capacity, self.level + (at - self.at) / 60e6 * self.capacity)
+        self.at = at if self.at is None else max(at, self.at)
+
+    def __call__(self, event: int, at: int, want: int) -> tuple:
+        want = min(want, self.capacity)
+        self._refill(at)
+        lacks = max(0.0, want - self.level)
+        if lacks:
+            self.at += lacks / self.capacity * 60e6
+            self.level = want
+        waited = (self.at - at) / 1e6
+        self.level -= want
+        return event, round(self.level, 4), round(waited, 4)
+
+    def reconcile(self, at: float, reserved: float, actual: float) -> float:
+        self._refill(at)
+        self.level = max(0.0, min(self.capacity, self.level + reserved - actual))
+        return self.level
+
+
+class Recent:
+    """Whether a value was among the last distinct ones that fit; a look keeps it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, hits, span = None, deque(), window * 1_000_000
+    def __init__(self, size: int):
+        self.size, self.kept = size, OrderedDict()
+
+    def __call__(self, event: int, at: int, value: object) -> tuple:
+        hit = value in self.kept
+        self.kept[value] = True
+        self.kept.move_to_end(value)
+        if len(self.kept) > self.size:
+            self.kept.popitem(last=False)
+        return event, hit
+
+
+def run(events: DataFrame, state: Callable[[], Callable], schema: str) -> DataFrame:
+    """What a key's state answers to each of its events in order. events: user_id, event_id, at in microseconds, more."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, answer = object(), None
         for batch in batches:
             out = []
-            for key, event, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != user:
-                    user, hits = key, deque()
-                while hits and hits[0] <= at - span:
-                    hits.popleft()
-                allowed = limit <= 0 or len(hits) < limit
-                retry = 0.0 if allowed else (hits[0] + span - at) / 1e6
-                if allowed and limit > 0:
-                    hits.append(at)
-                out.append((event, allowed, limit - len(hits) if limit > 0 else 0, retry))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.float64()), strict=True)], ["event_id", "allowed", "remaining", "retry_after"])
-
-    return _sorted(events).mapInArrow(run, "event_id long, allowed boolean, remaining long, retry_after double")
+            for user, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if user != key:
+                    key, answer = user, state()
+                out.append(answer(*event))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+    return events.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInArrow(rows, schema)
+
+
+def limited(events: DataFrame, limit: int, window: int) -> DataFrame:
+    """event_id, allowed, remaining (-1: no limit), retry_after (seconds) of events (user_id, event_id, at)."""
+    return run(events, lambda: Limiter(limit, window * 1_000_000), "event_id long, allowed boolean, remaining long, retry_after double")
 
 
 def bucket(events: DataFrame, per_minute: int, share: float = 0.9) -> DataFrame:
-    """event_id, available after each event of (user_id, event_id, at, want): continuous refill; a wish above the capacity is cut to it."""
-    capacity = per_minute * share
+    """event_id, available after it and seconds waited of events (user_id, event_id, at, want)."""
+    return run(events, lambda: Bucket(per_minute, share), "event_id long, available double, waited double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, level, last = None, capacity, 0
-        for batch in batches:
-            out = []
-            for key, event, at, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != user:
-                    user, level, last = key, capacity, at
-                level = min(capacity, level + (at - last) / 60e6 * per_minute)
-                level = max(0.0, level - min(want, capacity))
-                last = at
-                out.append((event, round(level, 4)))
-            columns = list(zip(*out, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64())], ["event_id", "available"])
-
-    return _sorted(events).mapInArrow(run, "event_id long, available double")
+
+def cached(events: DataFrame, size: int) -> DataFrame:
+    """event_id, hit of events (user_id, event_id, at, value)."""
+    return run(events, lambda: Recent(size), "event_id long, hit boolean")

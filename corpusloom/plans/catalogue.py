@@ -27,13 +27,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _others()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _others()
     return dict(_SQL)
 
 
+def _others() -> None:
+    """The modules that register the rest; they use what is defined here."""
+    from corpusloom.plans import answers, parsing  # noqa: F401
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,13 +113,12 @@ def q12_ditto_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.dittos(table(spark, sf_dir, "events"), "user_id", "event_id", value, d).select("event_id", "resolved")
 
 
-@query("""WITH b AS (SELECT unnest(range(0, 120000, 1000)) AS low)
+@query("""WITH b AS (SELECT unnest(range(0, (SELECT max(l_extendedprice) FROM lineitem)::BIGINT + 1, 1000)) AS low)
 SELECT low::BIGINT AS band, count(*) AS n FROM lineitem JOIN b ON l_extendedprice >= low AND l_extendedprice < low + 1000 GROUP BY 1""")
 def q13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # bands are equal in width here, so the range join is an equality on the band's number
-    words = table(spark, sf_dir, "lineitem").select((F.floor(F.col("l_extendedprice") / 1000) * 1000).alias("low"))
-    bands = spark.range(0, 120_000, 1_000).select(F.col("id").alias("low"))
-    return words.join(bands, "low").groupBy(F.col("low").alias("band")).agg(F.count("*").alias("n"))
+    # bands are equal in width here, so the range join is a division; operators.tables.banded takes any bounds
+    words = table(spark, sf_dir, "lineitem").where("l_extendedprice >= 0")
+    return words.groupBy((F.floor(F.col("l_extendedprice") / 1000) * 1000).cast("long").alias("band")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
@@ -130,18 +136,18 @@ x AS (SELECT source, b // 850 AS i, b, least(1000, total - b) AS len, last_secti
 """
 
 
-@query(WINDOWS + "SELECT source, i::BIGINT AS i, b::BIGINT AS start, len::BIGINT AS len FROM x")
+@query(WINDOWS + """, j AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS whole FROM documents WHERE trim(text) <> '' GROUP BY 1)
+SELECT x.source, x.i::BIGINT AS i, x.b::BIGINT AS start, x.len::BIGINT AS len, sha256(substr(whole, x.b + 1, x.len::BIGINT)) AS sha FROM x JOIN j USING (source) WHERE trim(substr(whole, x.b + 1, x.len::BIGINT)) <> ''""")
 def q15_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.windows(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
-    return found.select("source", F.col("i").cast("long").alias("i"), F.col("begin").alias("start"), F.col("length").alias("len"))
+    return found.select("source", "i", F.col("begin").alias("start"), F.col("length").alias("len"), F.sha2("piece", 256).alias("sha"))
 
 
 @query(WINDOWS + """SELECT x.source, x.i::BIGINT AS i, coalesce(p.doc_id, last_section) AS owner, coalesce(q.doc_id, last_section) AS end_owner, coalesce(p.doc_id, last_section) <> coalesce(q.doc_id, last_section) AS crosses FROM x
 LEFT JOIN s p ON p.source = x.source AND x.b >= p.st AND x.b < p.st + p.len
 LEFT JOIN s q ON q.source = x.source AND x.b + x.len - 1 >= q.st AND x.b + x.len - 1 < q.st + q.len""")
 def q16_window_owner_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunks.windows(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
-    return found.select("source", F.col("i").cast("long").alias("i"), "owner", "end_owner", "crosses")
+    return chunks.owners(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query()
@@ -167,7 +173,7 @@ def q20_l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(index.norm("embedding"), 4).alias("norm"))
 
 
-TOP = """WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20),
+TOP = """WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT qid, vec_id, list_dot_product(embedding::DOUBLE[], qv::DOUBLE[]) AS score FROM embeddings, q),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
 """
@@ -175,7 +181,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)
 
 def _top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return index.top_k(vectors.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), vectors, k)
+    return index.top_k(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), vectors, k)
 
 
 @query(TOP + "SELECT qid, rank, vec_id, round(score, 4) AS score4 FROM t WHERE rank <= 8")
@@ -195,7 +201,9 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.diff(old, new)
 
 
-STATES = """WITH d AS (SELECT CASE WHEN doc_id % 10 = 0 AND doc_id % 7 = 0 THEN NULL WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 11 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM documents)
+STATES = """WITH old AS (SELECT doc_id AS id, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 0),
+new AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0),
+d AS (SELECT CASE WHEN old.id IS NULL THEN 'added' WHEN new.id IS NULL THEN 'removed' WHEN old.hash <> new.hash THEN 'changed' ELSE 'unchanged' END AS status FROM old FULL OUTER JOIN new ON old.id = new.id)
 """
 
 
@@ -277,9 +285,9 @@ def q38_aggregate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).agg(*_metrics())
 
 
-@query(SCORES + f"SELECT lang, {METRICS} FROM a GROUP BY GROUPING SETS ((lang), ())")
+@query(SCORES + f"SELECT lang, grouping(lang)::BIGINT AS total, {METRICS} FROM a GROUP BY GROUPING SETS ((lang), ())")
 def q39_aggregate_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).rollup("lang").agg(*_metrics())
+    return _scores(spark, sf_dir).rollup("lang").agg(F.grouping("lang").cast("long").alias("total"), *_metrics())
 
 
 @query("""SELECT l.doc_id AS id, CASE WHEN d.doc_id IS NULL THEN 'section missing' WHEN trim(d.text) = '' THEN 'empty text' WHEN quality = 0 AND toxic = 1 THEN 'unanswerable with labels' END AS problem

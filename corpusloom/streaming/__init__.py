@@ -1 +1 @@
-
+"""Streaming forms of the order-dependent operators."""

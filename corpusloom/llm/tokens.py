@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +24,7 @@ VOCABULARY = "word_bpe_49k.json"
 MOST_WORDS = 700_000
 MOST_PARTS = 1_200_000
 _CUT = re.compile(r"^(.*[a-z0-9à-öø-ÿ])([.,;:!?|%&$#*]+)$", re.S)
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?|%&$#*]*)\Z")
 # What the file has to say for words to be independent and case not to matter.
 _NORMALISER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -75,23 +76,28 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         cut: list[tuple[str, ...]] = []
-        known, unknown = self.parts, []
+        known, unknown, letters, tokenize = self.parts, [], self.letters, self.model.tokenize
         for word in words:
             low = word.decode("utf-8", "replace")
-            if not low or max(low) <= "ÿ":
+            if low.isascii() or max(low) <= "ÿ":
                 low = low.lower()
             if low in known:
                 cut.append((low,))
                 continue
-            m = None if "<|" in low else _CUT.match(low)
-            ps = m.groups() if m else (low,)
+            m = _PLAIN.match(low)  # letters, and perhaps punctuation behind
+            if m:
+                first, tail = m.groups()
+                if first not in known:
+                    known[first] = tuple([t.id for t in tokenize(first if first.isascii() else first.translate(letters))])
+                if not tail:
+                    cut.append((first,))
+                    continue
+                ps = (first, tail)
+            else:
+                m = None if "<|" in low else _CUT.match(low)
+                ps = m.groups() if m else (low,)
             cut.append(ps)
-            for p in ps:
-                if p not in known:
-                    if _LETTERS.fullmatch(p):
-                        known[p] = tuple([t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.letters))])
-                    else:
-                        unknown.append(p)
+            unknown += [p for p in ps if p not in known]
         unknown = list(set(unknown))
         for at in range(0, len(unknown), 1000):
             some = unknown[at : at + 1000]
@@ -103,7 +109,7 @@ class WordEncoder:
         rows = [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for ps in cut]
         lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for r in rows for i in r), dtype=np.uint32, count=int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(rows), dtype=np.uint32, count=int(lengths.sum()))])
 
     def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all UTF-8 texts one after the other, as unsigned 32-bit numbers, and the end of each text's."""

@@ -40,6 +40,7 @@ THRESHOLD = 200
 SEED = 32
 OFFSETS = THRESHOLD - SEED + 1  # windows that hold an anchor
 SMALL = 32
+TOGETHER = 1 << 16
 _LITERAL = 15
 _WIDTH = OFFSETS - 1 + THRESHOLD
 _OTHER = (np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64), 0xD1342543DE82EF95)
@@ -55,17 +56,23 @@ def _sliding(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(a[: len(a) - (width - size)], a[width - size :]) if size < width else a
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of a text's anchors, hashes of their seeds, and of their hulls with the place of the anchor therein (two numbers each)."""
-    n = len(raw)
-    if n < THRESHOLD:
+def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors of texts that lie one after another and stop at ends, hashes of their seeds, and of their hulls with the place of the anchor therein (two numbers each).
+
+    No window reaches over an end.
+    """
+    if len(raw) < THRESHOLD:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
     prefix = prefix_hashes(raw)
-    seeds = mix((prefix[SEED:] - prefix[:-SEED]) * powers(n)[1][: n - SEED + 1])
-    least = _sliding(seeds, OFFSETS, np.minimum)
-    pad = np.zeros(OFFSETS - 1, dtype=np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), OFFSETS, np.maximum) == seeds)
-    low, high = np.maximum(at - (OFFSETS - 1), 0), np.minimum(at + THRESHOLD, n)
+    seeds = mix((prefix[SEED:] - prefix[:-SEED]) * powers(len(raw))[1][: len(raw) - SEED + 1])
+    order = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # equal ones are anchors all
+    least = _sliding(order, OFFSETS, np.minimum)
+    sizes = np.diff(ends, prepend=0)
+    inside = np.repeat(ends, sizes)[: len(least)] >= np.arange(THRESHOLD, THRESHOLD + len(least))
+    pad = np.zeros(OFFSETS - 1, dtype=np.uint32)
+    at = np.flatnonzero(_sliding(np.concatenate([pad, least * inside, pad]), OFFSETS, np.maximum) == order)
+    text = np.searchsorted(ends, at, side="right")
+    low, high = np.maximum(at - (OFFSETS - 1), (ends - sizes)[text]), np.minimum(at + THRESHOLD, ends[text])
     place = mix(((at - low) * (THRESHOLD + 1) + high - at).astype(np.uint64) + np.uint64(1))
     other = prefix_hashes(raw, _OTHER[0], _OTHER[1])
     return at, seeds[at], np.stack([mix(span_hashes(prefix, low, high) ^ place), mix(span_hashes(other, low, high, _OTHER[1]) + place)], axis=1)
@@ -83,17 +90,28 @@ def hull(text: bytes, pos: int, a: int, b: int) -> bytes:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor, with the digit of its hull."""
+    """A row for each anchor, with the digit of its hull. Texts are scanned together, about TOGETHER bytes at a time."""
+
+    def packed(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        ends = np.cumsum([len(t) for t in texts])
+        at, seeds, hulls = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), ends)
+        text = np.searchsorted(ends, at, side="right")
+        inside = at - np.concatenate([[0], ends])[text]
+        raw = pa.py_buffer(np.ascontiguousarray(hulls))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[text]), pa.array(inside.astype(np.int32)), pa.array(as_long(seeds)), pa.Array.from_buffers(pa.binary(16), len(at), [None, raw]).cast(pa.binary())], ["id", "pos", "seed", "hull"])
+
     for batch in batches:
-        for begin in range(0, batch.num_rows, 50):
-            part = batch.slice(begin, 50)
-            ids, found = [], []
-            for number, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found.append(anchors(np.frombuffer(text, dtype=np.uint8)))
-                ids.append(np.full(len(found[-1][0]), number, dtype=np.int64))
-            at, seeds, hulls = (np.concatenate(x) for x in zip(*found, strict=True))
-            raw = pa.py_buffer(np.ascontiguousarray(hulls))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(at.astype(np.int32)), pa.array(as_long(seeds)), pa.Array.from_buffers(pa.binary(16), len(at), [None, raw]).cast(pa.binary())], ["id", "pos", "seed", "hull"])
+        ids, texts, size = [], [], 0
+        for number, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if len(text) >= THRESHOLD:
+                ids.append(number)
+                texts.append(text)
+                size += len(text)
+            if size >= TOGETHER:
+                yield packed(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield packed(ids, texts)
 
 
 def _halved(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, licenses, manifest, mixing, packing, quality, suffix_dedup, token_store, toxicity, warc, whitening
+from . import fingerprints, jaccard, katz, licenses, manifest, mixing, packing, quality, suffix_dedup, token_store, toxicity, warc, whitening
 from .common import read, tune
 
 
@@ -72,8 +72,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest_check(read(spark, sf_dir, "documents"))
 
 
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return katz.language_model(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_suffix_dedup, op4_packing, op5_token_store, op6_fingerprints, op7_warc, op8_mixing, op9_jaccard_join, op10_toxicity, op11_whitening, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_suffix_dedup, op4_packing, op5_token_store, op6_fingerprints, op7_warc, op8_mixing, op9_jaccard_join, op10_toxicity, op11_whitening, op12_merkle_manifest, op13_katz_scores)}
 
 
 OP7 = """

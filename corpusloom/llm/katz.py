@@ -15,7 +15,7 @@ How it runs. Texts become blocks of about BLOCK_BYTES: numbers of words, written
 once, by 64-bit hashes; hash ranges are buckets, a row holds what a block asks of a bucket, packed. Buckets add up
 counts (training) or look them up (scoring) and answer by block in the order they were asked, without the keys. A block that is told that it asked first for
 a pair adds the pair to the sums of its history, so each distinct pair counts once in alpha. A word or pair that all texts share is one entry of a
-block, not one of a text, so no key is hot. Buckets and blocks are bounded: their number grows with the input, not their size.
+block, not one of a text, so no key is hot. Buckets and blocks are bounded: their number grows with the input, not their size. In scoring, blocks that the model learned from ask for the pairs of their other texts only.
 
 Pairs are as long as histories get: of three words nearly every one is new (three quarters of all tokens in the tables given), and weights of their
 backoffs would need all of these joined with the pairs, more than the disk that this may take.
@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix, prefix_hashes, release, span_hashes, text_bytes
+from .common import materialise, mix, prefix_hashes, release, span_hashes, text_bytes
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_TOKENS = 4_000_000
 RELIABLE = 7
 WORDS_AT_ONCE = 100_000
@@ -45,16 +45,24 @@ _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-# Whole numbers as bytes, the lowest bytes of all first, so that what is small compresses.
+# Numbers as bytes: how many bytes the largest takes, then the lowest bytes of all, the next ones and so on.
 
 
 def planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    if not len(x):
+        return b""
+    low = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    size = max([1, *(i + 1 for i in range(len(low)) if low[i].any())])
+    return bytes([size]) + low[:size].tobytes()
 
 
 def unplaned(raw: bytes, kind: type = np.uint64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+    if not raw:
+        return np.zeros(0, dtype=kind)
+    low = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((low.shape[1], np.dtype(kind).itemsize), dtype=np.uint8)
+    out[:, : raw[0]] = low.T
+    return out.view(kind).ravel()
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -154,19 +162,21 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[dict, Block]]:
         yield row, Block(*(row[c] for c in ("words", "tokens", "sizes", "train")))
 
 
-def _asks(batches: Iterator[pa.RecordBatch], buckets: int, training: bool) -> Iterator[pa.RecordBatch]:
-    """What each block asks of each bucket: words of buckets from 0, pairs of buckets from `buckets`."""
+def _asks(batches: Iterator[pa.RecordBatch], buckets: int, training: bool, trained: bool) -> Iterator[pa.RecordBatch]:
+    """What each block asks of each bucket: words of buckets from 0, pairs of buckets from `buckets`. trained: without the pairs that it asked for in training."""
     for batch in batches:
         for row, block in _read(batch):
             (place, counts), (pairs, _, times) = block.asked(training)
+            if trained:
+                pairs = np.setdiff1d(pairs, block.pairs()[block.train[block.text]])
             out = []
             for shift, keys, n in ((0, block.words[place], counts), (buckets, pairs, times)):
                 out += [(shift + b, row["block"], packed(keys[at]), planes(n[at].astype(np.uint32)) if training else None) for b, at in _of_bucket(keys, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "keys", "counts"])
 
 
-def _asked(rows: DataFrame, buckets: int, training: bool) -> DataFrame:
-    return rows.select("block", "words", "tokens", "sizes", "train").mapInArrow(lambda b: _asks(b, buckets, training), "bucket int, block long, keys binary, counts binary")
+def _asked(rows: DataFrame, buckets: int, training: bool, trained: bool = False) -> DataFrame:
+    return rows.select("block", "words", "tokens", "sizes", "train").mapInArrow(lambda b: _asks(b, buckets, training, trained), "bucket int, block long, keys binary, counts binary")
 
 
 _TALLY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("facts", pa.list_(pa.int64()))])
@@ -216,10 +226,11 @@ class Discount:
 class Model(NamedTuple):
     """tables: bucket, keys, counts, backoffs (log10 alpha of words; null of pairs), words in buckets below `buckets`.
 
-    tokens, types, texts: of training. unknown: probability of the class of unknown words.
+    answers: what the blocks were told in training. tokens, types, texts: of training. unknown: probability of the class of unknown words.
     """
 
-    tables: DataFrame
+    tables: DataFrame | None
+    answers: DataFrame | None
     buckets: int
     tokens: int
     types: int
@@ -235,14 +246,12 @@ class Model(NamedTuple):
 
 def _answered(rows: DataFrame, answers: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Blocks with their answers in order of buckets."""
-    found = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", *more))).alias("found"))  # what a block asked for
+    found = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", *more, "counts"))).alias("found"))  # what a block asked for
     return rows.join(found, "block")
 
 
-def _split(found: list[dict], buckets: int, column: str, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """The answers for words and those for pairs."""
-    both = ([x[column] for x in found if (x["bucket"] >= buckets) == pairs] for pairs in (False, True))
-    return tuple(np.concatenate([np.zeros(0, dtype=kind), *(unplaned(c, kind) for c in part if c is not None)]) for part in both)
+def _joined(found: list[dict], column: str, kind: type = np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *(unplaned(x[column], kind) for x in found)])
 
 
 def _histories(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -250,7 +259,7 @@ def _histories(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
     for batch in batches:
         for row, block in _read(batch):
             (place, _), (pairs, token, _) = block.asked(True)
-            of_words, of_pairs = _split(row["found"], model.buckets, "counts")
+            of_words, of_pairs = (_joined([x for x in row["found"] if (x["bucket"] >= model.buckets) == pairs_], "counts") for pairs_ in (False, True))
             p = np.zeros(len(block.words))
             p[place] = model.word(of_words >> np.uint64(1))
             own = (of_pairs & np.uint64(1)).astype(bool)
@@ -307,18 +316,16 @@ def fitted(rows: DataFrame) -> Model:
     types, n = facts[False][RELIABLE + 1], facts[False][RELIABLE + 2]
     of_words = tables.where(F.col("bucket") < buckets)
     taken = of_words.select("counts").mapInArrow(lambda b: _taken(b, d1), "taken double").agg(F.sum("taken")).first()[0]
-    model = Model(tables, buckets, n, types, texts or 0, taken / n if n else 1.0, d1, d2)
-    # the pickled model is without its tables
-    bare = model._replace(tables=None)
+    model = Model(None, None, buckets, n, types, texts or 0, taken / n if n else 1.0, d1, d2)
     found = _answered(rows.select("block", "words", "tokens", "sizes", "train"), answers)
-    parts = found.mapInArrow(lambda b: _histories(b, bare), "bucket int, block long, keys binary, taken binary, seen binary")
+    parts = found.mapInArrow(lambda b: _histories(b, model), "bucket int, block long, keys binary, taken binary, seen binary")
     schema = "bucket int, keys binary, counts binary, backoffs binary"
-    texts_, unknown = bare.texts, bare.unknown
-    words = of_words.select("bucket", "keys", "counts").groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(lambda a, b: _weights(a, b, texts_, unknown), schema)
+    unknown = model.unknown
+    words = of_words.select("bucket", "keys", "counts").groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(lambda a, b: _weights(a, b, model.texts, unknown), schema)
     words = materialise(words, "words")
-    pairs = materialise(tables.where(F.col("bucket") >= buckets).select("bucket", "keys", "counts", F.lit(None).cast("binary").alias("backoffs")), "pairs")
-    discard(tally)
-    return model._replace(tables=words.unionByName(pairs))
+    release(spark)
+    pairs = tables.where(F.col("bucket") >= buckets).select("bucket", "keys", "counts", F.lit(None).cast("binary").alias("backoffs"))
+    return model._replace(tables=words.unionByName(pairs), answers=answers)
 
 
 def _looked_up(asked: pa.Table, table: pa.Table) -> pa.Table:
@@ -334,19 +341,26 @@ def _looked_up(asked: pa.Table, table: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
         hit = keys[at] == own if len(keys) else np.zeros(len(own), dtype=bool)
         pick = lambda x, hit=hit, at=at: np.where(hit, x[at] if len(x) else 0, 0).astype(x.dtype)
-        out.append((block, bucket, planes(pick(counts)), planes(pick(backoffs if backoffs is not None else np.zeros(len(keys))))))
+        out.append((block, bucket, planes(pick(counts)), b"" if backoffs is None else planes(pick(backoffs))))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "counts", "backoffs"])
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], model: Model, trained: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, block in _read(batch):
-            c, of_pairs = _split(row["found"], model.buckets, "counts")
-            backoff, _ = _split(row["found"], model.buckets, "backoffs", np.float64)
+            told = [[x for x in row["found"] if (x["bucket"] >= model.buckets) == pairs_ and x["trained"] == trained_] for pairs_, trained_ in ((False, False), (True, False), (True, True))]
+            c = _joined(told[0], "counts")
+            backoff = _joined(told[0], "backoffs", np.float64) if any(x["backoffs"] for x in told[0]) else np.zeros(len(c))
             base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
             single = np.log10(model.word(c))
             before = np.where(block.words == _START, model.texts, c)[block.before].astype(np.float64)
-            pair = of_pairs[np.unique(block.pairs(), return_inverse=True)[1]]
+            keys, place = np.unique(block.pairs(), return_inverse=True)
+            count = np.zeros(len(keys), dtype=np.uint64)
+            known_pairs = np.unique(block.pairs()[block.train[block.text]]) if trained else keys[:0]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[at := np.searchsorted(keys, known_pairs)] = False
+            count[at], count[rest] = _joined(told[2], "counts") >> np.uint64(1), _joined(told[1], "counts")
+            pair = count[place]
             with np.errstate(divide="ignore"):
                 seen = np.log10(model.pairs(pair) * pair / np.maximum(before, 1))
             score = np.where(pair > 0, seen, backoff[block.before] + single[block.tokens])
@@ -355,16 +369,19 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(~block.train), pa.array(block.sizes), pa.array(known), pa.array(total(base[block.tokens])), pa.array(total(score))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the texts of blocks."""
+def scored(rows: DataFrame, model: Model, trained: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the texts of blocks. trained: the blocks are those that the model learned from; what they were told then isn't asked again."""
     spark = rows.sparkSession
-    asked = _asked(rows, model.buckets, False).select("bucket", "block", "keys")
+    asked = _asked(rows, model.buckets, False, trained).select("bucket", "block", "keys")
     answers = asked.groupBy("bucket").cogroup(model.tables.groupBy("bucket")).applyInArrow(_looked_up, "block long, bucket int, counts binary, backoffs binary")
-    answers = materialise(answers, "answers")
+    answers = materialise(answers, "answers").withColumn("trained", F.lit(False))
     release(spark)
-    bare = model._replace(tables=None)
-    found = _answered(rows.select("block", "ids", "words", "tokens", "sizes", "train"), answers, ("backoffs",))
-    out = found.mapInArrow(lambda b: _scores(b, bare), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    if trained:
+        before = model.answers.where(F.col("bucket") >= model.buckets)
+        answers = answers.unionByName(before.select("block", "bucket", "counts", F.lit(b"").alias("backoffs"), F.lit(True).alias("trained")))
+    bare = model._replace(tables=None, answers=None)  # as it is sent to tasks
+    found = _answered(rows.select("block", "ids", "words", "tokens", "sizes", "train"), answers, ("trained", "backoffs"))
+    out = found.mapInArrow(lambda b: _scores(b, bare, trained), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -375,4 +392,4 @@ def held_out(id_column: str = "doc_id") -> F.Column:
 def language_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Scores of all documents under the model of those that aren't held out."""
     rows = blocks(docs, held_out(id_column), id_column, text_column)
-    return scored(rows, fitted(rows))
+    return scored(rows, fitted(rows), trained=True)

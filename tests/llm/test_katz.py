@@ -47,7 +47,7 @@ class Plain:
                 self.after[before].add(t)
                 self.history[before] += 1
                 before = t
-        self.n = sum(self.words.values())
+        self.n, self.known = sum(self.words.values()), {}
         self.d1, self.d2 = discount(self.words.values()), discount(self.pairs.values())
         self.unknown = sum((1 - self.d1(c)) * c for c in self.words.values()) / self.n if self.n else 1.0
 
@@ -55,6 +55,11 @@ class Plain:
         return self.d1(self.words[w]) * self.words[w] / self.n if self.words[w] else self.unknown
 
     def alpha(self, v):
+        if v not in self.known:
+            self.known[v] = self.alpha_of(v)
+        return self.known[v]
+
+    def alpha_of(self, v):
         if not self.history[v]:
             return 1.0
         left = sum((1 - self.d2(self.pairs[v, w])) * self.pairs[v, w] for w in self.after[v]) / self.history[v]
@@ -88,7 +93,7 @@ def compare(found, rows):
 def test_katz(spark, monkeypatch, small):
     """All documents, repeated rows, nulls, empties, a long text; in one block a task, then in many."""
     common.tune(spark)
-    if small:  # workers take them from the pickled functions' module only if set here before it is imported there
+    if small:  # more buckets
         monkeypatch.setattr(katz, "BUCKET_TOKENS", 500)
     rows = [(r.doc_id, r.text) for r in common.read(spark, SF, "documents").collect()]
     rows += [(None, None), (None, "Aa bb\x0bCC"), (1001, ""), (1002, "  \n "), (1003, "é É x" * 2000), (1004, "only these words nowhere else " * 3)] + [(rows[4][0], rows[4][1])] * 3
@@ -100,6 +105,10 @@ def test_katz(spark, monkeypatch, small):
     some = [START, *sorted((w for w in model.words if isinstance(w, str)), key=lambda w: -model.words[w])[:3], *sorted(w for w in model.words if isinstance(w, str))[:5], "never seen"]
     for v in some:
         assert math.isclose(sum(model.p(v, w) for w in model.words) + model.p(v, "another word that was never seen"), 1, rel_tol=1e-9)
+    # a model scores other texts than its own alike
+    if not small:
+        rows_of = katz.blocks(docs, katz.held_out())
+        compare(katz.scored(katz.blocks(docs.repartition(3), katz.held_out()), katz.fitted(rows_of)), rows)
     held = [r for r in found.collect() if r.held_out and r.n_tokens > 50]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 

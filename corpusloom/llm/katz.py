@@ -15,7 +15,7 @@ How it runs. Texts become blocks of about BLOCK_BYTES: numbers of words, written
 once, by 64-bit hashes; hash ranges are buckets, a row holds what a block asks of a bucket, packed. Buckets add up
 counts (training) or look them up (scoring) and answer by block in the order they were asked, without the keys. A block that is told that it asked first for
 a pair adds the pair to the sums of its history, so each distinct pair counts once in alpha. A word or pair that all texts share is one entry of a
-block, not one of a text, so no key is hot. Buckets and blocks are bounded: their number grows with the input, not their size. In scoring, blocks that the model learned from ask for the pairs of their other texts only.
+block, not one of a text, so no key is hot. Buckets and blocks are bounded: their number grows with the input, not their size. Blocks ask for the pairs of held-out texts along with the others, with a count of 0, so their answers serve scoring too.
 
 Pairs are as long as histories get: of three words nearly every one is new (three quarters of all tokens in the tables given), and weights of their
 backoffs would need all of these joined with the pairs, more than the disk that this may take.
@@ -104,13 +104,14 @@ class Block:
     def pairs(self) -> np.ndarray:
         return mix(mix(self.words * _ODD)[self.before] + self.words[self.tokens])
 
-    def asked(self, training: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Distinct words (places) and their counts; distinct pairs (keys), a token of each, their counts. training: of the texts to learn from."""
-        keep = self.train[self.text] if training else slice(None)
-        counts = np.bincount(self.tokens[keep], minlength=len(self.words))
-        place = np.flatnonzero(counts) if training else np.arange(len(self.words))
-        keys, first, times = np.unique(self.pairs()[keep], return_index=True, return_counts=True)
-        return (place, counts[place]), (keys, np.flatnonzero(keep)[first] if training else first, times)
+    def learned(self) -> np.ndarray:
+        """How often each word stands in the texts to learn from."""
+        return np.bincount(self.tokens[self.train[self.text]], minlength=len(self.words))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs (rising keys), a token of each, and how often each stands in the texts to learn from."""
+        keys, first, place = np.unique(self.pairs(), return_index=True, return_inverse=True)
+        return keys, first, np.bincount(place[self.train[self.text]], minlength=len(keys))
 
 
 def _block(ids: list, train: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -162,28 +163,27 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[dict, Block]]:
         yield row, Block(*(row[c] for c in ("words", "tokens", "sizes", "train")))
 
 
-def _asks(batches: Iterator[pa.RecordBatch], buckets: int, training: bool, trained: bool) -> Iterator[pa.RecordBatch]:
-    """What each block asks of each bucket: words of buckets from 0, pairs of buckets from `buckets`. trained: without the pairs that it asked for in training."""
+def _asks(batches: Iterator[pa.RecordBatch], buckets: int, training: bool, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """What each block asks of each bucket: its words of buckets from 0, its pairs of buckets from `buckets`; in training with what it counted of each, 0 for texts that are held out."""
     for batch in batches:
         for row, block in _read(batch):
-            (place, counts), (pairs, _, times) = block.asked(training)
-            if trained:
-                pairs = np.setdiff1d(pairs, block.pairs()[block.train[block.text]])
-            out = []
-            for shift, keys, n in ((0, block.words[place], counts), (buckets, pairs, times)):
-                out += [(shift + b, row["block"], packed(keys[at]), planes(n[at].astype(np.uint32)) if training else None) for b, at in _of_bucket(keys, buckets)]
+            asked = [(0, block.words, block.learned() if training else None)]
+            if pairs:
+                keys, _, times = block.distinct()
+                asked.append((buckets, keys, times))
+            out = [(shift + b, row["block"], packed(keys[at]), planes(n[at].astype(np.uint32)) if training else None) for shift, keys, n in asked for b, at in _of_bucket(keys, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "keys", "counts"])
 
 
-def _asked(rows: DataFrame, buckets: int, training: bool, trained: bool = False) -> DataFrame:
-    return rows.select("block", "words", "tokens", "sizes", "train").mapInArrow(lambda b: _asks(b, buckets, training, trained), "bucket int, block long, keys binary, counts binary")
+def _asked(rows: DataFrame, buckets: int, training: bool, pairs: bool = True) -> DataFrame:
+    return rows.select("block", "words", "tokens", "sizes", "train").mapInArrow(lambda b: _asks(b, buckets, training, pairs), "bucket int, block long, keys binary, counts binary")
 
 
 _TALLY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("facts", pa.list_(pa.int64()))])
 
 
 def _tally(table: pa.Table) -> pa.Table:
-    """Of one bucket: its keys with their counts, and for each block the counts in the order asked, doubled, odd where it was the first to ask.
+    """Of one bucket: its keys with their counts (none of 0), and for each block the counts in the order asked, doubled, odd where it was the first to ask.
 
     facts: how many keys have a count of 1, 2, ... RELIABLE + 1; how many there are; the sum of counts.
     """
@@ -197,9 +197,10 @@ def _tally(table: pa.Table) -> pa.Table:
     answers = np.empty(len(keys), dtype=np.uint64)
     answers[order] = np.repeat(total, np.diff(np.append(first, len(keys)))) << np.uint64(1)
     answers[order[first]] |= np.uint64(1)
-    facts = [int((total == r).sum()) for r in range(1, RELIABLE + 2)] + [len(total), int(total.sum())]
+    some = total > 0
+    facts = [int((total == r).sum()) for r in range(1, RELIABLE + 2)] + [int(some.sum()), int(total.sum())]
     parts = np.split(answers, np.cumsum([len(a) for a in asked])[:-1])
-    rows = [{"bucket": bucket, "block": None, "keys": packed(keys[order[first]]), "counts": planes(total), "facts": facts}]
+    rows = [{"bucket": bucket, "block": None, "keys": packed(keys[order[first]][some]), "counts": planes(total[some]), "facts": facts}]
     rows += [{"bucket": bucket, "block": b, "counts": planes(p)} for b, p in zip(table["block"].to_pylist(), parts, strict=True)]
     return pa.Table.from_pylist(rows, schema=_TALLY)
 
@@ -258,11 +259,10 @@ def _histories(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
     """Of the pairs that a block was first to ask for: by history, what their discounts take and the probability of their words."""
     for batch in batches:
         for row, block in _read(batch):
-            (place, _), (pairs, token, _) = block.asked(True)
-            of_words, of_pairs = (_joined([x for x in row["found"] if (x["bucket"] >= model.buckets) == pairs_], "counts") for pairs_ in (False, True))
-            p = np.zeros(len(block.words))
-            p[place] = model.word(of_words >> np.uint64(1))
-            own = (of_pairs & np.uint64(1)).astype(bool)
+            _, token, _ = block.distinct()
+            of_words, of_pairs = (_joined([x for x in row["found"] if (x["bucket"] >= model.buckets) == pairs], "counts") for pairs in (False, True))
+            p = model.word(of_words >> np.uint64(1))
+            own = (of_pairs & np.uint64(1) == 1) & (of_pairs > 1)  # the first to ask for what was seen
             c, token = of_pairs[own] >> np.uint64(1), token[own]
             history = block.before[token]
             taken = np.bincount(history, weights=(1 - model.pairs(c)) * c, minlength=len(block.words))
@@ -348,19 +348,14 @@ def _looked_up(asked: pa.Table, table: pa.Table) -> pa.Table:
 def _scores(batches: Iterator[pa.RecordBatch], model: Model, trained: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, block in _read(batch):
-            told = [[x for x in row["found"] if (x["bucket"] >= model.buckets) == pairs_ and x["trained"] == trained_] for pairs_, trained_ in ((False, False), (True, False), (True, True))]
-            c = _joined(told[0], "counts")
-            backoff = _joined(told[0], "backoffs", np.float64) if any(x["backoffs"] for x in told[0]) else np.zeros(len(c))
+            told = {pairs: [x for x in row["found"] if (x["bucket"] >= model.buckets) == pairs] for pairs in (False, True)}
+            c = _joined(told[False], "counts")
+            backoff = _joined(told[False], "backoffs", np.float64) if any(x["backoffs"] for x in told[False]) else np.zeros(len(c))
             base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
             single = np.log10(model.word(c))
             before = np.where(block.words == _START, model.texts, c)[block.before].astype(np.float64)
-            keys, place = np.unique(block.pairs(), return_inverse=True)
-            count = np.zeros(len(keys), dtype=np.uint64)
-            known_pairs = np.unique(block.pairs()[block.train[block.text]]) if trained else keys[:0]
-            rest = np.ones(len(keys), dtype=bool)
-            rest[at := np.searchsorted(keys, known_pairs)] = False
-            count[at], count[rest] = _joined(told[2], "counts") >> np.uint64(1), _joined(told[1], "counts")
-            pair = count[place]
+            count = _joined(told[True], "counts")
+            pair = (count >> np.uint64(1) if trained else count)[np.unique(block.pairs(), return_inverse=True)[1]]
             with np.errstate(divide="ignore"):
                 seen = np.log10(model.pairs(pair) * pair / np.maximum(before, 1))
             score = np.where(pair > 0, seen, backoff[block.before] + single[block.tokens])
@@ -370,17 +365,21 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model, trained: bool) -> I
 
 
 def scored(rows: DataFrame, model: Model, trained: bool = False) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the texts of blocks. trained: the blocks are those that the model learned from; what they were told then isn't asked again."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the texts of blocks.
+
+    trained: the blocks are those that the model was made with, which were told the counts of their pairs then.
+    """
     spark = rows.sparkSession
-    asked = _asked(rows, model.buckets, False, trained).select("bucket", "block", "keys")
-    answers = asked.groupBy("bucket").cogroup(model.tables.groupBy("bucket")).applyInArrow(_looked_up, "block long, bucket int, counts binary, backoffs binary")
-    answers = materialise(answers, "answers").withColumn("trained", F.lit(False))
+    asked = _asked(rows, model.buckets, False, pairs=not trained).select("bucket", "block", "keys")
+    tables = model.tables.where(F.col("bucket") < model.buckets) if trained else model.tables
+    answers = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_looked_up, "block long, bucket int, counts binary, backoffs binary")
+    answers = materialise(answers, "answers")
     release(spark)
     if trained:
         before = model.answers.where(F.col("bucket") >= model.buckets)
-        answers = answers.unionByName(before.select("block", "bucket", "counts", F.lit(b"").alias("backoffs"), F.lit(True).alias("trained")))
+        answers = answers.unionByName(before.select("block", "bucket", "counts", F.lit(b"").alias("backoffs")))
     bare = model._replace(tables=None, answers=None)  # as it is sent to tasks
-    found = _answered(rows.select("block", "ids", "words", "tokens", "sizes", "train"), answers, ("trained", "backoffs"))
+    found = _answered(rows.select("block", "ids", "words", "tokens", "sizes", "train"), answers, ("backoffs",))
     out = found.mapInArrow(lambda b: _scores(b, bare, trained), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

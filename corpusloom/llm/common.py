@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -55,8 +56,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python's handles go first, what they held is found next
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -71,13 +74,21 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """A materialised table that joins on key without being shuffled again. discard() deletes its files."""
+    """A materialised table that joins on key without being shuffled again. dropped() deletes it."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"scratch_{name}_{uuid.uuid4().hex}"
     writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", scratch(spark, name))
     writer.bucketBy(n, key).saveAsTable(table)
-    return spark.table(table)
+    found = spark.table(table)
+    found.bucketed_as = table
+    return found
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a bucketed table: its files and its name in the catalogue."""
+    discard(df)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.bucketed_as}")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, prefix_hashes, release, span_hashes, text_bytes
+from .common import bucketed, materialise, mix, prefix_hashes, release, span_hashes, text_bytes
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_TOKENS = 4_000_000
 RELIABLE = 7
 WORDS_AT_ONCE = 100_000
@@ -88,12 +88,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.diff(np.searchsorted(start, begins))
 
 
+#: Columns of a block's row that Block takes.
+COLUMNS = ("words", "ranks", "tokens", "sizes", "train")
+
+
 class Block:
-    """Texts as numbers of words: words (rising hashes), tokens (places in words, an end behind each text), sizes and train of each text."""
+    """Texts as numbers of words: words (rising hashes), tokens (places in words, an end behind each text), sizes and train of each text.
+
+    ranks: the places of words by how often they stand in the block; tokens are kept as ranks, of which most are small.
+    """
 
-    def __init__(self, words: bytes, tokens: bytes, sizes: bytes, train: bytes):
+    def __init__(self, words: bytes, ranks: bytes, tokens: bytes, sizes: bytes, train: bytes):
         self.words = unpacked(words)
-        self.tokens = unplaned(tokens, np.uint32)
+        self.tokens = unplaned(ranks, np.uint32)[unplaned(tokens, np.uint32)]
         self.sizes = np.frombuffer(sizes, dtype=np.int64)
         self.train = np.frombuffer(train, dtype=np.bool_)
         self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -120,9 +127,12 @@ def _block(ids: list, train: list, texts: list[tuple[np.ndarray, np.ndarray]]) -
     end = np.zeros(len(tokens), dtype=bool)
     end[np.cumsum(sizes) - 1] = True
     tokens[end], tokens[~end] = _END, np.concatenate([h for h, _ in texts])
-    words, places = np.unique(np.append(tokens, _START), return_inverse=True)
-    row = {"ids": ids, "n": len(tokens), "learned": int(sum(train)), "words": packed(words), "tokens": planes(places[:-1].astype(np.uint32)), "sizes": sizes.tobytes(), "train": np.array(train, dtype=np.bool_).tobytes()}
-    return pa.RecordBatch.from_pylist([row], schema=pa.schema([("ids", pa.list_(pa.int64())), ("n", pa.int64()), ("learned", pa.int64()), *((c, pa.binary()) for c in ("words", "tokens", "sizes", "train"))]))
+    words, places, times = np.unique(np.append(tokens, _START), return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable").astype(np.uint32)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    row = {"ids": ids, "n": len(tokens), "learned": int(sum(train)), "words": packed(words), "ranks": planes(order), "tokens": planes(rank[places[:-1]]), "sizes": sizes.tobytes(), "train": np.array(train, dtype=np.bool_).tobytes()}
+    return pa.RecordBatch.from_pylist([row], schema=pa.schema([("ids", pa.list_(pa.int64())), ("n", pa.int64()), ("learned", pa.int64()), *((c, pa.binary()) for c in COLUMNS)]))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +153,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks(docs: DataFrame, held_out: F.Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The texts as blocks, written."""
+    """The texts as blocks, written as a table that dropped() deletes."""
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), (~held_out).alias("train"), text_bytes(text_column).alias("text"))
-    schema = "ids array<long>, n long, learned long, words binary, tokens binary, sizes binary, train binary"
-    return materialise(rows.mapInArrow(_blocks, schema).withColumn("block", F.monotonically_increasing_id()), "blocks")  # numbers are fixed once they are written
+    schema = "ids array<long>, n long, learned long, words binary, ranks binary, tokens binary, sizes binary, train binary"
+    # numbers are fixed once they are written; answers meet them without a shuffle of the blocks
+    return bucketed(rows.mapInArrow(_blocks, schema).withColumn("block", F.monotonically_increasing_id()), "blocks", "block")
 
 
 def _of_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -160,7 +171,7 @@ def _of_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[dict, Block]]:
     for i in range(batch.num_rows):
         row = batch.slice(i, 1).to_pylist()[0]
-        yield row, Block(*(row[c] for c in ("words", "tokens", "sizes", "train")))
+        yield row, Block(*(row[c] for c in COLUMNS))
 
 
 def _asks(batches: Iterator[pa.RecordBatch], buckets: int, training: bool, pairs: bool) -> Iterator[pa.RecordBatch]:
@@ -176,7 +187,7 @@ def _asks(batches: Iterator[pa.RecordBatch], buckets: int, training: bool, pairs
 
 
 def _asked(rows: DataFrame, buckets: int, training: bool, pairs: bool = True) -> DataFrame:
-    return rows.select("block", "words", "tokens", "sizes", "train").mapInArrow(lambda b: _asks(b, buckets, training, pairs), "bucket int, block long, keys binary, counts binary")
+    return rows.select("block", *COLUMNS).mapInArrow(lambda b: _asks(b, buckets, training, pairs), "bucket int, block long, keys binary, counts binary")
 
 
 _TALLY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("facts", pa.list_(pa.int64()))])
@@ -317,7 +328,7 @@ def fitted(rows: DataFrame) -> Model:
     of_words = tables.where(F.col("bucket") < buckets)
     taken = of_words.select("counts").mapInArrow(lambda b: _taken(b, d1), "taken double").agg(F.sum("taken")).first()[0]
     model = Model(None, None, buckets, n, types, texts or 0, taken / n if n else 1.0, d1, d2)
-    found = _answered(rows.select("block", "words", "tokens", "sizes", "train"), answers)
+    found = _answered(rows.select("block", *COLUMNS), answers)
     parts = found.mapInArrow(lambda b: _histories(b, model), "bucket int, block long, keys binary, taken binary, seen binary")
     schema = "bucket int, keys binary, counts binary, backoffs binary"
     unknown = model.unknown
@@ -379,7 +390,7 @@ def scored(rows: DataFrame, model: Model, trained: bool = False) -> DataFrame:
         before = model.answers.where(F.col("bucket") >= model.buckets)
         answers = answers.unionByName(before.select("block", "bucket", "counts", F.lit(b"").alias("backoffs")))
     bare = model._replace(tables=None, answers=None)  # as it is sent to tasks
-    found = _answered(rows.select("block", "ids", "words", "tokens", "sizes", "train"), answers, ("backoffs",))
+    found = _answered(rows.select("block", "ids", *COLUMNS), answers, ("backoffs",))
     out = found.mapInArrow(lambda b: _scores(b, bare, trained), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

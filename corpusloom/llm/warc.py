@@ -10,7 +10,8 @@ Continuation records are grouped by origin identifier wherever they lie, ordered
 checked against the total length; then the chunked framing is decoded and the SHA-1 compared.
 
 Cases: a null html is as an empty payload. A null url gives urn:page. Rows that repeat an id and payload are all
-responses if theirs is the largest id, else all revisits; each keeps its own records. A null id is never the
+responses if theirs is the largest id, else all revisits; each keeps its own records, and revisits of a row that is itself repeated name its page id, not one of
+its records (WARC-Refers-To is left out). A record that others refer to is named by page id and digest, so its name doesn't depend on how rows are spread. A null id is never the
 largest, unless all of a group's are null. An empty table gives no records. Columns beside the named ones are dropped.
 """
 
@@ -67,15 +68,22 @@ def _record(headers: dict[str, object], block: bytes) -> bytes:
     return VERSION + lines.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
+def _key(page_id: int | None, digest: str) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}"
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records of each row; their ends are the line separator that the text writer adds."""
     for batch in batches:
         out = []
-        for page_id, url, html, holder, holder_uid, uid in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "holder", "holder_uid", "uid")), strict=True):
-            key = f"urn:page:{'' if page_id is None else page_id}:{uid}"
-            head = {"WARC-Type": "response", "WARC-Record-ID": f"<{key}>", "WARC-Date": _DATE, "WARC-Target-URI": re.sub(r"[\x00-\x20]", "%20", url or "urn:page"), "WARC-Payload-Digest": f"sha1:{base32_sha1(html)}", "X-Page-ID": page_id, "X-Payload-Length": len(html)}
+        for page_id, url, html, holder, holders, copies, uid in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "holder", "holders", "copies", "uid")), strict=True):
+            digest = base32_sha1(html)
+            key = _key(page_id, digest)
+            if copies > 1 and (page_id != holder or holders > 1):  # nobody refers to it by name
+                key += f":{uid}"
+            head = {"WARC-Type": "response", "WARC-Record-ID": f"<{key}>", "WARC-Date": _DATE, "WARC-Target-URI": re.sub(r"[\x00-\x20]", "%20", url or "urn:page"), "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": page_id, "X-Payload-Length": len(html)}
             if holder is not None and holder != page_id:
-                out.append(_record(head | {"WARC-Type": "revisit", "WARC-Refers-To": f"<urn:page:{holder}:{holder_uid}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, b"HTTP/1.1 200 OK\r\n\r\n"))
+                out.append(_record(head | {"WARC-Type": "revisit", "WARC-Refers-To": f"<{_key(holder, digest)}>" if holders == 1 else None, "X-Refers-To-Page-ID": holder, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, b"HTTP/1.1 200 OK\r\n\r\n"))
                 continue
             block = _HTTP + chunked(html)
             parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
@@ -90,11 +98,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_bytes: int = MIN_BYTES) -> None:
     html = F.coalesce(pages[html_column].cast("binary"), F.lit(b""))
-    rows = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].alias("url"), html.alias("html"), F.monotonically_increasing_id().cast("string").alias("uid")).withColumns({"digest": F.unhex(F.sha1("html")), "n": F.length("html")})
-    # the largest id of each payload that more than one row has; counted before the shuffle
-    shared = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("x"), F.count("*").alias("copies")).where("copies > 1").select("digest", F.col("x.page_id").alias("holder"), F.col("x.uid").alias("holder_uid"))
+    rows = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].alias("url"), html.alias("html")).withColumns({"digest": F.unhex(F.sha1("html")), "n": F.length("html")})
+    # of each payload that more than one row has: the largest id, and how many rows have that; counted before the shuffle
+    each = rows.where(F.col("n") >= min_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("k"))
+    shared = each.groupBy("digest").agg(F.max(F.struct("page_id", "k")).alias("x"), F.sum("k").alias("copies")).where("copies > 1").select("digest", F.col("x.page_id").alias("holder"), F.col("x.k").alias("holders"), "copies")
     rows = rows.join(shared, "digest", "left")
-    records = rows.select("page_id", "url", "html", F.when(F.col("n") >= min_bytes, F.col("holder")).alias("holder"), "holder_uid", "uid").mapInArrow(_records, "record binary")
+    # payloads below min_bytes are all responses: they count as repeated, without a holder
+    big = F.col("n") >= min_bytes
+    rows = rows.select("page_id", "url", "html", F.when(big, F.col("holder")).alias("holder"), F.when(big, F.coalesce("holders", F.lit(1))).otherwise(2).alias("holders"), F.when(big, F.coalesce("copies", F.lit(1))).otherwise(2).alias("copies"))
+    records = rows.withColumn("uid", F.monotonically_increasing_id().cast("string")).mapInArrow(_records, "record binary")
     # raw bytes as they are: the writer copies a string's bytes
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_BYTES // SEGMENT_BYTES).text(path)
 
@@ -122,8 +134,7 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for head, block in _parsed(gzip.decompress(data.as_py())):
                 number = lambda k, h=head: int(h[k]) if k in h else None
-                refers = head.get("WARC-Refers-To")
-                rows.append((head["WARC-Record-ID"], number("X-Page-ID"), head["WARC-Type"], head.get("WARC-Payload-Digest", "")[5:], int(refers[len("<urn:page:") : -1].split(":")[0]) if refers else None, head.get("WARC-Segment-Origin-ID"), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length") or number("X-Payload-Length"), block))
+                rows.append((head["WARC-Record-ID"], number("X-Page-ID"), head["WARC-Type"], head.get("WARC-Payload-Digest", "")[5:], number("X-Refers-To-Page-ID"), head.get("WARC-Segment-Origin-ID"), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length") or number("X-Payload-Length"), block))
             for i in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 500], strict=True), kinds, strict=True)], names)
 

@@ -253,6 +253,22 @@ def test_warc(spark):
         assert best[h or ""] != i or bytes(found[i].payload) == raw
 
 
+def test_warc_references(spark, tmp_path):
+    """Every WARC-Refers-To names a response in the archives, however the rows are spread; record ids are unique, repeated rows included."""
+    rows = [(i, f"http://x/{i}", f"payload {i % 20} " * 900) for i in range(400)] + [(399, "http://x/399", f"payload {399 % 20} " * 900), (500, "u", "z"), (500, "u", "z"), (7, "v", "z"), (None, None, "n"), (None, None, "n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    found = warc.archive_and_read(pages, str(tmp_path / "a"))
+    heads = [h for f in (tmp_path / "a").glob("*.gz") for h, _ in warc._parsed(__import__("gzip").decompress(f.read_bytes()))]
+    ids = collections.Counter(h["WARC-Record-ID"] for h in heads)
+    assert max(ids.values()) == 1
+    responses = {h["WARC-Record-ID"]: h["X-Page-ID"] for h in heads if h["WARC-Type"] == "response" and "X-Page-ID" in h}
+    named = [h for h in heads if "WARC-Refers-To" in h]
+    assert len(named) == 361 and all(responses[h["WARC-Refers-To"]] == h["X-Refers-To-Page-ID"] for h in named)
+    assert sum(h["WARC-Type"] == "revisit" for h in heads) == len(named) + 19 + 1  # those of 399 and 500, which are there twice
+    got = found.collect()
+    assert len(got) == len(rows) and all(r.refers_to == 380 + r.page_id % 20 for r in got if r.kind == "revisit" and r.page_id < 400 and r.digest not in {x.digest for x in got if x.page_id == 500})
+
+
 def test_mixing(docs, plain):
     found = mixing.mix_plan(docs).collect()
     assert sorted(tuple(r) for r in mixing.mix_plan(docs.repartition(3)).collect()) == sorted(tuple(r) for r in found)
@@ -285,6 +301,32 @@ def test_jaccard(docs, plain):
     assert collections.Counter(tuple(r) for r in found) == collections.Counter((d, len(sets[d]), root(d)) for d, _ in plain)
 
 
+@pytest.mark.parametrize("words, percent", [(4, 50), (4, 60), (5, 80), (2, 30)])
+def test_jaccard_of_nested_sets(spark, words, percent):
+    """No link is lost at any percent: sets that hold one another, and edited ones."""
+    random.seed(percent)
+    rows = []
+    for g in range(14):
+        whole = [f"w{random.randrange(10**6)}" for _ in range(random.choice([12, 40, 90, 300]))]
+        for share in (1, 0.9, 0.8, 0.7, 0.62, 0.55, 0.5, 0.35):
+            rows.append((len(rows), whole[: max(1, int(len(whole) * share))]))
+        rows.append((len(rows), [w if random.random() > 0.03 else "edited" for w in whole]))
+    sets = {i: {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or {tuple(w)} for i, w in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = jaccard.jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), words=words, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: root(i) for i in sets}
+
+
 def test_jaccard_null_ids(spark):
     """Sets that only rows of null id hold link as others do."""
     words = [f"w{i}" for i in range(200)]

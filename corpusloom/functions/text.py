@@ -19,6 +19,8 @@ STOPWORDS = (
     "a an the of or and to in for by with any other such person persons property offence offences act if when where which whoever thereby "
     "being made not under upon his her their its on at from into as is are be may shall"
 )
+HEADER = 800
+HEAD_NUMBER = r"(?i)\(\s*ACT\s+NO\.\s*([^)]+?)\s*\)"
 DAILY = ("tokens per day", "tpd", "requests per day", "rpd")
 UNREACHABLE = ("connection", "timed out", "timeout", "unreachable")
 
@@ -118,6 +120,11 @@ def act_number(note: Column) -> Column:
     return F.nullif(clean(F.regexp_extract(note, ACT_NUMBER, 1)), F.lit(""))
 
 
+def act_number_of_page(text: Column) -> Column:
+    """Number of an act from the head of its page."""
+    return F.nullif(clean(F.regexp_extract(clean(F.substring(text, 1, HEADER)), HEAD_NUMBER, 1)), F.lit(""))
+
+
 def title(heading: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(clean(heading), r"^\d+\s+(?=[A-Z])", ""), F.lit("")), F.lit("Unknown Act"))
 
@@ -157,6 +164,25 @@ def failure_status(message: Column) -> Column:
     return F.when(daily_limit(message) | F.exists(F.array(*map(F.lit, UNREACHABLE)), lambda m: low.contains(m)), 503).otherwise(502)
 
 
+# What a reader is told of a failure.
+SPENT = "The shared free-tier daily token allowance for the hosted model is spent."
+STILL = " Nothing is broken: the corpus, retrieval and the citation checks are all local and still working, and an answer would be grounded exactly as the others are."
+SWITCH = " You can switch to the local model below and keep going — it is free and unmetered, and materially weaker."
+WAIT = " This deployment has no second model to fall back to — a local one would re-fetch its weights on every cold start and answer in minutes on shared CPU — so waiting is genuinely the faster option."
+UNREACHED, UNAVAILABLE = "The language model could not be reached: ", "The language model is unavailable: "
+LOCAL = " The local model is running and can answer instead."
+
+
+def failure_message(message: Column, local: Column) -> Column:
+    """What a reader is told of a failure. local: whether a local model could answer instead."""
+    said = F.coalesce(message, F.lit(""))
+    hint = reset_hint(said)
+    when = F.when(hint != "", F.concat(F.lit(" It frees up in "), hint, F.lit("."))).otherwise("")
+    spent = F.concat(F.lit(SPENT), when, F.lit(STILL), F.when(local, SWITCH).otherwise(WAIT))
+    unreached = F.concat(F.lit(UNREACHED), said, F.when(local, LOCAL).otherwise(""))
+    return F.when(daily_limit(said), spent).when(failure_status(said) == 503, unreached).otherwise(F.concat(F.lit(UNAVAILABLE), said))
+
+
 def caller(forwarded: Column, host: Column) -> Column:
     """Whom a request counts for: the first forwarded address, else the host."""
     return F.coalesce(F.nullif(F.trim(F.split(forwarded, ",")[0]), F.lit("")), host, F.lit("unknown"))

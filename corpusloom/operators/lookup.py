@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.scratch import written
 
 # How a question names a section.
 NAMED = r"(?i)(?:penal\s+code[^.]{0,20}?|u/?s\.?\s*)(\d{1,3}[A-Z]{0,3})|(\d{1,3}[A-Z]{0,3})\s*(?:of\s+the\s+)?penal\s+code"
@@ -15,7 +16,8 @@ LIMIT = 4
 def find(questions: DataFrame, entries: DataFrame, limit: int = LIMIT) -> DataFrame:
     """qid, rank, ord, phrase of the entries (ord, section, offence) that questions (qid, text) name: by number, then by the longest phrase.
 
-    Questions and phrases meet on the phrase's rarest word, without the text; whole phrases are looked for in what is left.
+    Questions and phrases meet on the phrase's rarest pair of neighbouring words (its word, where it has one), without the text; whole phrases are looked for in what is left.
+    Null texts name nothing, equal phrases are one with all their entries, repeated questions have rows each.
     """
     every = lambda i: F.regexp_extract_all("text", F.lit(NAMED), F.lit(i))
     numbers = questions.select("qid", F.posexplode(F.zip_with(every(1), every(2), lambda a, b: F.upper(F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))).alias("at", "number"))
@@ -23,12 +25,17 @@ def find(questions: DataFrame, entries: DataFrame, limit: int = LIMIT) -> DataFr
     by_number = numbers.join(rows, "number").select("qid", "ord", F.col("number").alias("phrase"), F.struct(F.lit(0).alias("kind"), F.col("at").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.col("ord").cast("long").alias("z")).alias("place"))
 
     phrases = rows.where(T.significant(F.col("phrase"))).groupBy("phrase").agg(F.min("ord").alias("first"))
-    of = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\W+"), lambda w: w != ""))
+    of = lambda c: F.filter(F.split(c, r"(?U)\W+"), lambda w: w != "")
+    pairs_of = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
     texts = questions.select("qid", F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")).alias("t"))
-    asked = phrases.select("phrase", "first", F.explode(of("phrase")).alias("word"))
-    words = texts.select("qid", F.explode(of("t")).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
-    rare = asked.join(words.groupBy("word").agg(F.count("*").alias("n")), "word", "left").groupBy("phrase", "first").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    pairs = words.join(rare, "word").select("qid", "phrase", "first").join(texts, "qid").where(F.rlike("t", F.concat(F.lit(r"(?U)\b\Q"), "phrase", F.lit(r"\E\b"))))
+    words = phrases.select("phrase", "first", of("phrase").alias("w"))
+    asked = words.select("phrase", "first", F.explode(F.array_distinct(F.when(F.size("w") > 1, pairs_of(F.col("w"))).otherwise(F.col("w")))).alias("word"))
+    in_texts = texts.where("t IS NOT NULL").select("qid", of("t").alias("w")).select("qid", F.explode(F.array_distinct(F.concat("w", pairs_of(F.col("w"))))).alias("word"))
+    met = written(in_texts.join(asked.select("word").distinct(), "word", "left_semi"), "met")
+    rare = asked.join(met.groupBy("word").agg(F.count("*").alias("n")), "word", "left").groupBy("phrase", "first").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    pairs = met.join(rare, "word").select("qid", "phrase", "first").distinct().join(texts, "qid")
+    # the pattern is made for texts alone that hold the phrase's letters
+    pairs = pairs.where(F.when(F.contains("t", "phrase"), F.rlike("t", F.concat(F.lit(r"(?U)\b\Q"), "phrase", F.lit(r"\E\b")))).otherwise(F.lit(False)))
     by_phrase = pairs.select("qid", "phrase", "first").join(rows.select("ord", "phrase"), "phrase").select("qid", "ord", "phrase", F.struct(F.lit(1).alias("kind"), (-F.length("phrase")).cast("long").alias("x"), F.col("first").cast("long").alias("y"), F.col("ord").cast("long").alias("z")).alias("place"))
 
     once = by_number.unionByName(by_phrase).groupBy("qid", "ord").agg(F.min_by("phrase", "place").alias("phrase"), F.min("place").alias("place"))

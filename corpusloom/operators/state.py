@@ -1,116 +1,175 @@
-"""Order-dependent state in batch: a sliding-window limiter, a token bucket and a least-recently-used cache, one key's ordered events at a time.
+"""Machines over the ordered events of a key: a sliding-window limiter, a token bucket, a least-recently-used store.
 
-A key's events are split over no groups, as each decision depends on the ones before; keys run side by side. Rows come as sorted
-Arrow batches, so a key's events stream through and only its state is held. Null keys are one key; ties go by event_id.
+A machine is a start and a step, a function without side effects from (state, event) to (state, answer), where states are tuples of plain values.
+In batch a key's sorted rows stream through one task and only its state is held: each answer depends on the ones before, so a key isn't split; keys run side by side. The same machines run on streams
+(streaming/state.py), where `fields` names the columns that keep a state and `until` says when it is no different from none.
+
+Cases: null keys are one key; events of one time are taken by event_id, rows that repeat are events of their own. An event behind its key's clock is taken at the clock. Unknown kinds
+are an error. An empty table gives an empty result. Other columns than the named ones are dropped.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+SECOND = 1_000_000
 
-class Limiter:
-    """At most limit events in any window (microseconds); refused ones don't count. A limit of 0 or less allows all."""
 
-    def __init__(self, limit: int, window: int):
-        self.limit, self.window, self.hits = limit, window, deque()
+class Machine(NamedTuple):
+    """start; step(state, *event) gives (state, answer). answers, fields: DDL of an answer and of a state. until: microseconds from which a state may be forgotten."""
 
-    def __call__(self, event: int, at: int) -> tuple:
-        while self.hits and self.hits[0] <= at - self.window:
-            self.hits.popleft()
-        if self.limit <= 0:
-            return event, True, -1, 0.0
-        if len(self.hits) >= self.limit:
-            return event, False, 0, (self.hits[0] + self.window - at) / 1e6
-        self.hits.append(at)
-        return event, True, self.limit - len(self.hits), 0.0
+    start: tuple
+    step: Callable[..., tuple[tuple, tuple]]
+    answers: str
+    fields: str
+    until: Callable[[tuple], int]
 
-    def forget(self) -> None:
-        """Take back the last event that counted."""
-        if self.hits:
-            self.hits.pop()
 
+def _unknown(kind: str) -> None:
+    raise ValueError(f"unknown kind of event: {kind!r}")
 
-class Bucket:
-    """Tokens that come back over time: share of per_minute is the capacity, which a minute fills.
 
-    acquire: a wish, cut to the capacity, waits until it can be met; what follows counts from then. reconcile gives back or charges.
+def limiter(limit: int, window: int) -> Machine:
+    """At most limit checks in any window of so many seconds; refused ones don't count, forget takes the last one back. A limit of 0 or less allows all.
+
+    State: the times that count, rising. Answers: allowed, remaining (-1: no limit), retry_after in seconds; allowed is null for forget.
     """
+    span = window * SECOND
 
-    def __init__(self, per_minute: float, share: float = 0.9):
-        self.capacity = max(1.0, per_minute * share)
-        self.level, self.at = self.capacity, None
+    def step(state: tuple, at: int, kind: str) -> tuple[tuple, tuple]:
+        times = tuple(t for t in state[0] if t > at - span)
+        if kind == "forget":
+            kept = state[0][:-1]
+            return (kept,), (None, limit - len(kept) if limit > 0 else -1, None)
+        if kind != "check":
+            _unknown(kind)
+        if limit <= 0:
+            return state, (True, -1, 0.0)
+        if len(times) >= limit:
+            return (times,), (False, 0, (times[0] + span - at) / 1e6)
+        return ((*times, at),), (True, limit - len(times) - 1, 0.0)
 
-    def _refill(self, at: float) -> None:
-        if self.at is not None and at > self.at:
-            self.level = min(self.capacity, self.level + (at - self.at) / 60e6 * self.capacity)
-        self.at = at if self.at is None else max(at, self.at)
+    return Machine(((),), step, "allowed boolean, remaining long, retry_after double", "times array<long>", lambda s: s[0][-1] + span if s[0] else 0)
+
+
+def token_bucket(per_minute: int, share: float = 0.9, patience: int = 3600) -> Machine:
+    """Tokens that come back over time: share of per_minute is the capacity, which a minute fills.
 
-    def __call__(self, event: int, at: int, want: int) -> tuple:
-        want = min(want, self.capacity)
-        self._refill(at)
-        lacks = max(0.0, want - self.level)
-        if lacks:
-            self.at += lacks / self.capacity * 60e6
-            self.level = want
-        waited = (self.at - at) / 1e6
-        self.level -= want
-        return event, round(self.level, 4), round(waited, 4)
+    reserve (request, amount): a wish, cut to the capacity, waits until it is met; what follows counts from then. settle (request, amount): what the
+    request took in the end; the rest of its reservation comes back, more is charged, within an empty and a full bucket. A request that is settled twice, or that nobody
+    reserved, changes nothing, nor does one after patience seconds, when its reservation is forgotten.
 
-    def reconcile(self, at: float, reserved: float, actual: float) -> float:
-        self._refill(at)
-        self.level = max(0.0, min(self.capacity, self.level + reserved - actual))
-        return self.level
+    State: tokens left, at what time (none yet: null), and the open requests: names, reservations, since when. Answers: available after the event, seconds waited (null for settle).
+    """
+    most = max(1.0, per_minute * share)
+
+    def step(state: tuple, at: int, kind: str, request: str | None, amount: float) -> tuple[tuple, tuple]:
+        level, clock, *listed = state
+        now = at if clock is None else max(at, clock)
+        if clock is not None:
+            level = min(most, level + (now - clock) / 60e6 * most)
+        held = [x for x in zip(*listed, strict=True) if x[2] > now - patience * SECOND]
+        if kind == "reserve":
+            wish = min(float(amount), most)
+            short = max(0.0, wish - level)
+            now, level = now + short / most * 60e6, max(level, wish) - wish
+            held = [*held, (request, wish, int(now))] if request is not None else held
+            waited = round((now - at) / 1e6, 4)
+        elif kind == "settle":
+            back = next((r for name, r, _ in held if name == request), None)
+            if back is not None:
+                level = max(0.0, min(most, level + back - amount))
+                held = [x for x in held if x[0] != request]
+            waited = None
+        else:
+            _unknown(kind)
+        names, wishes, since = zip(*held, strict=True) if held else ((), (), ())
+        return (level, now, names, wishes, since), (round(level, 4), waited)
+
+    start = (most, None, (), (), ())
+    return Machine(start, step, "available double, waited double", "level double, clock double, requests array<string>, reserved array<double>, since array<long>", lambda s: int(max([s[1] or 0, *s[4]])) + max(60, patience if s[4] else 0) * SECOND)
+
+
+def recent(size: int, keep: int = 86_400) -> Machine:
+    """The values that were used last, size at most. get: whether a value is there, which keeps it; put: it is there now, and what it pushed out; look: get, and put where it wasn't.
+
+    State: values, least recent first; hits; misses; when. Answers: hit (null for put), evicted, hits, misses. A stream forgets the store of a key after keep seconds without an event.
+    """
 
+    def step(state: tuple, at: int, kind: str, value: str) -> tuple[tuple, tuple]:
+        values, hits, misses, clock = state
+        if kind not in ("get", "put", "look"):
+            _unknown(kind)
+        there = value in values
+        if kind != "put":
+            hits, misses = hits + there, misses + (not there)
+        out = None
+        if there or kind != "get":
+            values = (*(v for v in values if v != value), value)
+            if len(values) > size:
+                out, *values = values
+        return (tuple(values), hits, misses, max(at, clock)), (None if kind == "put" else there, out, hits, misses)
 
-class Recent:
-    """Whether a value was among the last distinct ones that fit; a look keeps it."""
+    return Machine(((), 0, 0, 0), step, "hit boolean, evicted string, hits long, misses long", "kept array<string>, hits long, misses long, clock long", lambda s: s[3] + keep * SECOND)
 
-    def __init__(self, size: int):
-        self.size, self.kept = size, OrderedDict()
 
-    def __call__(self, event: int, at: int, value: object) -> tuple:
-        hit = value in self.kept
-        self.kept[value] = True
-        self.kept.move_to_end(value)
-        if len(self.kept) > self.size:
-            self.kept.popitem(last=False)
-        return event, hit
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
-def run(events: DataFrame, state: Callable[[], Callable], schema: str) -> DataFrame:
-    """What a key's state answers to each of its events in order. events: user_id, event_id, at in microseconds, more."""
-    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+def run(events: DataFrame, machine: Machine, *arguments: str) -> DataFrame:
+    """user_id, event_id and the answers of a machine to events (user_id, event_id, at in microseconds, the columns named in arguments)."""
+    names, kinds = zip(*(x.split() for x in machine.answers.split(", ")), strict=True)
+    rows_in = events.select("user_id", "event_id", "at", *arguments)
+    key = rows_in.schema["user_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, answer = object(), None
+        last, state = object(), machine.start
         for batch in batches:
             out = []
-            for user, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if user != key:
-                    key, answer = user, state()
-                out.append(answer(*event))
+            for user, _, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if user != last:
+                    last, state = user, machine.start
+                state, answer = machine.step(state, *event)
+                out.append(answer)
             columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], *(pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds, strict=True))], ["user_id", "event_id", *names])
 
-    return events.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInArrow(rows, schema)
+    dealt = rows_in.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+    return dealt.mapInArrow(rows, f"user_id {key}, event_id long, {machine.answers}")
 
 
 def limited(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """event_id, allowed, remaining (-1: no limit), retry_after (seconds) of events (user_id, event_id, at)."""
-    return run(events, lambda: Limiter(limit, window * 1_000_000), "event_id long, allowed boolean, remaining long, retry_after double")
+    """event_id, allowed, remaining (-1: no limit), retry_after (seconds) of events (user_id, event_id, at, and kind, if it isn't always check)."""
+    rows = events if "kind" in events.columns else events.withColumn("kind", F.lit("check"))
+    return run(rows, limiter(limit, window), "kind").drop("user_id")
 
 
 def bucket(events: DataFrame, per_minute: int, share: float = 0.9) -> DataFrame:
-    """event_id, available after it and seconds waited of events (user_id, event_id, at, want)."""
-    return run(events, lambda: Bucket(per_minute, share), "event_id long, available double, waited double")
+    """event_id, available after it and seconds waited of events: (user_id, event_id, at, want), or with kind, request and amount."""
+    rows = events
+    if "kind" not in events.columns:
+        rows = events.withColumns({"kind": F.lit("reserve"), "request": F.lit(None).cast("string"), "amount": F.col("want").cast("double")})
+    return run(rows, token_bucket(per_minute, share), "kind", "request", "amount").drop("user_id")
 
 
 def cached(events: DataFrame, size: int) -> DataFrame:
-    """event_id, hit of events (user_id, event_id, at, value)."""
-    return run(events, lambda: Recent(size), "event_id long, hit boolean")
+    """event_id, hit of looks at values, events (user_id, event_id, at, v)."""
+    rows = events.select("user_id", "event_id", "at", F.lit("look").alias("kind"), F.col("v").cast("string").alias("v"))
+    return run(rows, recent(size), "kind", "v").select("event_id", "hit")
+
+
+def document_id(content):
+    """What a file is kept under: the same for equal files."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def documents(events: DataFrame, size: int = 32) -> DataFrame:
+    """event_id, document_id, hit, evicted, hits, misses of a store's uploads (kind put, with content) and reads (kind get, with document_id), events (user_id, event_id, at, kind, content, document_id)."""
+    rows = events.withColumn("document_id", F.when(F.col("kind") == "put", document_id(F.col("content"))).otherwise(F.col("document_id")))
+    ids = rows.select("event_id", "document_id")
+    return run(rows, recent(size), "kind", "document_id").drop("user_id").join(ids, "event_id")

@@ -43,9 +43,19 @@ g AS (SELECT qid, lang, bad IS NULL AS kept, coalesce(bad, CASE WHEN length(q) >
 )
 
 
+def columns(select: str) -> list[str]:
+    """The expressions between SELECT and the last FROM of a statement."""
+    body, found, depth, at = select[select.index("SELECT ") + 7 : select.rindex(" FROM ")], [], 0, 0
+    for i, c in enumerate(body):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            found.append(body[at:i])
+            at = i + 1
+    return [x.strip() for x in (*found, body[at:])]
+
+
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "documents").createOrReplaceTempView("corpusloom_documents")
-    cited = spark.sql(CITED.format(sub="substr").replace("FROM documents", "FROM corpusloom_documents")).withColumn("qid", F.col("doc_id")).withColumn("ord", F.lit(0))
+    cited = table(spark, sf_dir, "documents").selectExpr(*columns(CITED.format(sub="substr"))).withColumn("qid", F.col("doc_id")).withColumn("ord", F.lit(0))
     sources = table(spark, sf_dir, "documents").select(F.lit("CrPC").alias("document"), F.col("doc_id").cast("string").alias("number"), F.col("text").alias("body"), F.lit("").alias("note"))
     allowed = cited.select("qid", F.concat(F.lit("CrPC:"), F.when(F.col("doc_id") % 9 == 3, F.lit(-1)).otherwise(F.col("doc_id"))).alias("identifier"))
     return gate.gate(cited.select("qid", "ord", "lang", "section", "source", "quote"), sources, allowed.unionByName(cited.where("doc_id % 9 = 1").select("qid", F.lit("CrPC:1").alias("identifier"))))
@@ -74,8 +84,7 @@ REPAIRED = """CASE doc_id % 5 WHEN 0 THEN {sub}(text, 1, 80) WHEN 1 THEN 'Sectio
 
 @query()
 def q33_quote_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 300)
-    rows = docs.select("doc_id", quotes.checked(F.expr(REPAIRED.format(sub="substr")), F.col("text"), F.lit("")).alias("x"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", quotes.checked(F.expr(REPAIRED.format(sub="substr")), F.col("text"), F.lit("")).alias("x"))
     return rows.select("doc_id", "x.verified", "x.repair", F.sha2("x.display", 256).alias("display_sha"))
 
 
@@ -84,7 +93,7 @@ FAILED = """CASE (doc_id // 20) % 4 WHEN 0 THEN {later} WHEN 1 THEN {sub}(c, 41,
 
 
 @query(
-    f"""WITH b AS (SELECT doc_id, {CANON.format(x='text')} AS c FROM documents WHERE length(text) > 400), o AS (SELECT *, lead(c) OVER (ORDER BY doc_id) AS later FROM b),
+    f"""WITH b AS (SELECT doc_id, {CANON.format(x='text')} AS c FROM documents), o AS (SELECT *, lead(c) OVER (ORDER BY doc_id) AS later FROM b),
 q AS (SELECT doc_id, c, (doc_id // 20) % 4 AS kind, substr(coalesce(later, ''), 11, 80) AS quote FROM o WHERE doc_id % 20 = 0), n AS (SELECT *, {CANON.format(x='quote')} AS needle FROM q)
 SELECT n.doc_id AS item_id, CASE WHEN kind = 0 AND length(needle) >= 20 AND (SELECT min(doc_id) FROM b WHERE contains(b.c, needle)) IS NOT NULL THEN 'misattributed' WHEN kind IN (0, 3) THEN 'fabricated' ELSE NULL END AS verdict,
 CASE WHEN kind = 0 AND length(needle) >= 20 THEN (SELECT min(doc_id) FROM b WHERE contains(b.c, needle)) END AS source FROM n WHERE kind IN (0, 3)"""
@@ -96,7 +105,7 @@ def q35_failure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 400).select("doc_id", T.canonical(F.col("text")).alias("c"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c"))
     heads = docs.select("doc_id", F.substring("c", 1, 170).alias("c"))
     # the next document of a block of ids, and of the first of the blocks behind, without one window over all
     block = F.floor(F.col("doc_id") / 4096)
@@ -157,9 +166,8 @@ SCORED = f"WITH r AS (SELECT *, error IS NULL AS m FROM ({ROWS}))\n"
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("labels", "documents"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"corpusloom_{name}")
-    return evaluate.predicates(spark.sql(ROWS.replace("FROM labels JOIN documents", "FROM corpusloom_labels JOIN corpusloom_documents")))
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return evaluate.predicates(both.selectExpr(*columns(ROWS)))
 
 
 @query(SCORED + f"SELECT {_rates()} FROM r")

@@ -26,6 +26,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def given(name: str, sql: str) -> None:
+    """The SQL of a query that is registered elsewhere."""
+    _SQL[name] = sql
+
+
 def queries() -> dict[str, Query]:
     _others()
     return dict(_QUERIES)
@@ -38,7 +43,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _others() -> None:
     """The modules that register the rest; they use what is defined here."""
-    from corpusloom.plans import answers, parsing  # noqa: F401
+    from corpusloom.plans import answers, corpora, parsing, scoring  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,14 +134,16 @@ def q14_dehyphenate_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.joined(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.sha2("joined", 256).alias("joined_hash"))
 
 
-WINDOWS = """WITH s AS (SELECT source, doc_id, length(text) AS len, sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id) - length(text) - 2 AS st, sum(length(text) + 2) OVER (PARTITION BY source) - 2 AS total FROM documents WHERE trim(text) <> ''),
+# Sections count without the blanks at their ends.
+WINDOWS = r"""WITH d AS (SELECT source, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents),
+s AS (SELECT source, doc_id, length(text) AS len, sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id) - length(text) - 2 AS st, sum(length(text) + 2) OVER (PARTITION BY source) - 2 AS total FROM d WHERE text <> ''),
 l AS (SELECT source, max(total) AS total, max(doc_id) AS last_section FROM s GROUP BY 1),
 w AS (SELECT source, total, last_section, unnest(range(0, total::BIGINT, 850)) AS b FROM l),
 x AS (SELECT source, b // 850 AS i, b, least(1000, total - b) AS len, last_section FROM w)
 """
 
 
-@query(WINDOWS + """, j AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS whole FROM documents WHERE trim(text) <> '' GROUP BY 1)
+@query(WINDOWS + """, j AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS whole FROM d WHERE text <> '' GROUP BY 1)
 SELECT x.source, x.i::BIGINT AS i, x.b::BIGINT AS start, x.len::BIGINT AS len, sha256(substr(whole, x.b + 1, x.len::BIGINT)) AS sha FROM x JOIN j USING (source) WHERE trim(substr(whole, x.b + 1, x.len::BIGINT)) <> ''""")
 def q15_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.windows(table(spark, sf_dir, "documents"), "source", "doc_id", "text")

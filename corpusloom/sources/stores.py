@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import asserted, written
+
 GOLD = "id string, question string, language string, slice string, gold_sections array<string>, answerable boolean, requires_acts array<string>, notes string, verified_against string"
 ANSWERS = "question_id string, text string, citations array<struct<section:string,quote:string,source:string>>, refused boolean, model string, raw string, error string, retrieved_sections array<string>"
 MOST_BYTES = 20 << 20
@@ -15,12 +18,10 @@ SHOWN = 600
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold questions of a JSON Lines file in order; a broken line or an id that comes twice is an error."""
+    """Gold questions of a JSON Lines file in order; a broken line is an error where it is read, an id that comes twice is one at once, whatever is read."""
     rows = spark.read.schema(GOLD).json(path, mode="FAILFAST").where("id is not null")
-    rows = rows.withColumn("ord", F.monotonically_increasing_id())
-    checked = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    good = checked.select("id", F.when(F.col("n") == 1, F.col("ord")).otherwise(F.raise_error(F.concat(F.lit("duplicate id "), "id")).cast("long")).alias("_ord"))
-    return rows.join(good, "id").withColumn("ord", F.col("_ord")).drop("_ord")
+    asserted(rows.groupBy("id").agg(F.count("*").alias("times")), F.col("times") > 1, "duplicate id", F.col("id"))
+    return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +73,31 @@ def acts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(number.alias("act_id"), F.decode("content", "UTF-8").alias("html"), F.sha2("content", 256).alias("source_hash")).where("act_id is not null")
 
 
+def parsed(spark: SparkSession, folder: str, store: str, version: str, parse) -> tuple[DataFrame, dict[str, int]]:
+    """Parsed pages of an act folder, kept in a store by the pages' hashes and the parser's version; only pages that aren't there are parsed.
+
+    parse: from pages (act_id, html) to rows with act_id. Returns the rows of all pages with their source_hash, and how many pages were parsed and found. A folder without pages is an error.
+    Each run that parses adds a folder to the store; stale rows stay there unread. A page that gives no rows is remembered as parsed.
+    """
+    pages = acts(spark, folder)
+    listed = pages.select("act_id", "source_hash")
+    total = listed.count()
+    if not total:
+        raise FileNotFoundError(f"no act pages in {folder}")
+    known = lambda kind: spark.read.parquet(f"{store}/*/{kind}").where(F.col("parser") == version)
+    done = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    fresh = pages.join(known("done").select("act_id", "source_hash"), ["act_id", "source_hash"], "left_anti") if there else pages
+    fresh = written(fresh, "pages")
+    n = fresh.count()
+    if n:
+        name = f"{store}/{uuid.uuid4().hex}"
+        facts = fresh.select("act_id", "source_hash", F.lit(version).alias("parser"))
+        parse(fresh.select("act_id", "html")).join(facts, "act_id").write.option("compression", "zstd").parquet(f"{name}/rows")
+        facts.write.parquet(f"{name}/done")
+    return known("rows").join(listed, ["act_id", "source_hash"], "left_semi").drop("parser"), {"parsed": n, "kept": total - n}
+
+
 def uploads(files: DataFrame) -> DataFrame:
     """document_id, filename, pages, text, error of uploads (content, filename, media_type): plain text is read, what can't be says why."""
     text = F.try_validate_utf8(F.col("content").cast("string")) if hasattr(F, "try_validate_utf8") else F.decode("content", "UTF-8")
@@ -115,7 +141,12 @@ def run_folder(stage: int, provider: str | None = None, slices: list[str] | None
     return "/".join([*(["experiments", experiment] if experiment else []), *(["scratch"] if partial and not experiment else []), name])
 
 
-def act_paths(act_id):
-    """struct(url, cache): the page of an act and the file that keeps it."""
-    number = act_id.cast("string")
-    return F.struct(F.concat(F.lit("act-print-"), number, F.lit(".html")).alias("url"), F.concat(F.lit("acts/act-print-"), number, F.lit(".html")).alias("cache"))
+def act_paths(act_id, base: str = ""):
+    """struct(url, cache): the page of an act below the base address, and the file that keeps it."""
+    name = F.concat(F.lit("act-print-"), act_id.cast("string"), F.lit(".html"))
+    return F.struct(F.concat(F.lit(f"{base.rstrip('/')}/" if base else ""), name).alias("url"), F.concat(F.lit("acts/"), name).alias("cache"))
+
+
+def table_paths(source: str = "schedule-ii.pdf") -> dict[str, str]:
+    """Where the positioned table's file and its parsed rows are kept."""
+    return {"source": f"acts/{source}", "parsed": f"acts/{source.rsplit('.', 1)[0]}.jsonl"}

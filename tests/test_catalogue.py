@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from corpusloom.operators import index, quotes, state
+from corpusloom.operators import quotes
 from corpusloom.plans import answers, catalogue
 from tests.compare import expected, rows_of
 
@@ -67,32 +67,6 @@ def test_lru(spark):
             kept = [x for x in kept if x != v][-7:] + [v]
 
 
-def test_small_state():
-    limiter = state.Limiter(3, 10)
-    assert [limiter(i, 1)[1:3] for i in range(4)] == [(True, 2), (True, 1), (True, 0), (False, 0)]
-    limiter.forget()
-    assert limiter(5, 1)[1] and state.Limiter(0, 10)(1, 1) == (1, True, -1, 0.0)
-    recent = state.Recent(2)
-    assert [recent(i, i, v)[1] for i, v in enumerate("abacb")] == [False, False, True, False, False]
-    bucket = state.Bucket(8000)
-    assert bucket.capacity == 7200 and bucket(1, 0, 9000)[1] == 0.0 and bucket.reconcile(0, 500, 100) == 400.0 and bucket.reconcile(0, 0, 900) == 0.0
-
-
-def test_streams_equal_batches(spark, tmp_path):
-    from corpusloom.streaming import state as streamed
-
-    events = catalogue.table(spark, SF, "events").selectExpr("user_id", "event_id", "unix_micros(cast(ts AS timestamp)) AS at").orderBy("at", "event_id")
-    rows = events.collect()
-    for i in range(3):
-        part = rows[i * len(rows) // 3 : (i + 1) * len(rows) // 3]
-        spark.createDataFrame(part, events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = streamed.limited(stream, 3, 24 * 3600).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    found = sorted(tuple(r) for r in spark.table("limited").collect())
-    assert found == sorted(tuple(r) for r in state.limited(events, 3, 24 * 3600).collect())
-
-
 def test_packed_sections(spark):
     """Greedy packing of the parts between marks, part by part."""
     want = collections.Counter()
@@ -142,13 +116,51 @@ def test_quotations(quote, note, want):
     assert (verified, repair) == want and bool(display) == verified
 
 
-def test_quote_repairs(spark):
-    """What was made to need a repair gets it, unless the words chance to stand there as they are."""
-    found = {r.doc_id: r for r in catalogue.queries()["q33_quote_repair"](spark, SF).collect()}
-    want = {0: "", 1: "label", 2: "elision", 3: "trimmed"}
-    good = [r for d, r in found.items() if d % 5 < 4]
-    assert all(r.verified for r in good) and sum(r.repair == want[r.doc_id % 5] for r in good) > 0.9 * len(good)
-    assert not any(r.verified for d, r in found.items() if d % 5 == 4)
+@pytest.mark.parametrize(
+    "quote, note, want",
+    [
+        ("[cognizable] offence, or against whom a reasonable complaint has been made]", "", "[cognizable] offence, or against whom a reasonable complaint has been made]"),
+        ("54. When police may arrest. Any police-officer may, without an order", "When police may arrest.", "Any police-officer may, without an order"),
+        ("When police may arrest - 54. Any police-officer may, without an order", "When police may arrest", "Any police-officer may, without an order"),
+        ("any person who has been concerned in any [cognizable] offence but what follows is new", "", "any person who has been concerned in any [cognizable] offence"),
+        ("  Any police-officer may,   without an order from a Magistrate  ", "", "Any police-officer may,   without an order from a Magistrate"),
+    ],
+)
+def test_what_is_shown(quote, note, want):
+    verified, display, _ = quotes.check(quote, BODY, note)
+    assert verified and display == want
+
+
+def test_reading():
+    """One pass gives the canonical form, and where each character is from."""
+    for text in (BODY, "", "  ", "[* * *] a . b", "İstanbul [x] , y", "a\u00a0b\u2011c .", "]x[", "a [***] ; b"):
+        found = quotes.read(text)
+        assert found.form == quotes.plain(text) and len(found.begin) == len(found.end) == len(found.form)
+        assert found.until(len(found.form)) == text and found.since(0) == text
+    assert quotes.opening("abcdef", "abxabcdxabcdey") == 5 and quotes.opening("zz", "abc") == 0 and quotes.opening("abc", "abc") == 3
+    long = "word " * 50_000
+    assert quotes.opening(long[:-5] + "x", long) == len(long) - 5
+
+
+def test_holders(spark):
+    """Needles of all lengths against a plain search: empty, one letter, other scripts, longer than any text, more than once."""
+    texts = [(1, "alpha beta gamma delta epsilon zeta"), (2, "beta gamma " * 40), (3, ""), (4, None), (5, "ধারা ৩৭৯ চুরি"), (6, "x"), (7, "the gamma de"), (1, "second part of the first")]
+    needles = ["a", "x", "gamma de", "ধারা", "ma delta ep", "beta gamma beta gamma beta gamma beta gamma beta gamma", "nowhere", "z" * 100, "second part", "", "eta gamma d", "৭৯ চু"]
+    found = quotes.holders(spark.createDataFrame(list(enumerate(needles)), "key long, n string"), spark.createDataFrame(texts, "doc_id long, c string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted({(k, d) for k, n in enumerate(needles) for d, t in texts if n and n in (t or "")})
+
+
+def test_long_text(spark):
+    """A short needle in a text of a million characters: work is in proportion to it."""
+    import time
+
+    text = "".join(f"word{i % 977} " for i in range(120_000))
+    sources = spark.createDataFrame([(1, text + "needle x"), (2, text)], "doc_id long, c string")
+    asked = spark.createDataFrame([(1, "needle x"), (2, "needle y")], "key long, n string")
+    quotes.holders(asked, sources).collect()
+    began = time.time()
+    assert [tuple(r) for r in quotes.holders(asked, sources).collect()] == [(1, 1)]
+    assert time.time() - began < 20
 
 
 def test_verdicts(spark):
@@ -168,13 +180,3 @@ def test_verdicts(spark):
     found = quotes.explained(spark.createDataFrame([a[:3] for a in asked], "item_id long, quote string, cited long"), spark.createDataFrame(sources, "doc_id long, c string"))
     assert sorted(tuple(r) for r in found.collect()) == [(a[0], a[3], a[4]) for a in asked]
     assert {r.verdict for r in answers.q35_all_verdicts(spark, SF).collect()} <= {"misattributed", "overelided", "recomposed", "fabricated"}
-
-
-def test_top_k_in_blocks(spark, monkeypatch):
-    """More queries than a block holds all get their rows."""
-    vectors = catalogue.table(spark, SF, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS qid", "embedding AS qvec")
-    whole = sorted(tuple(r) for r in index.top_k(asked, vectors, 3).select("qid", "rank", "vec_id").collect())
-    assert len(whole) == 3 * asked.count()
-    monkeypatch.setattr(index, "MOST_QUERIES", 7)
-    assert sorted(tuple(r) for r in index.top_k(asked, vectors, 3).select("qid", "rank", "vec_id").collect()) == whole

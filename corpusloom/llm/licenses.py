@@ -42,29 +42,84 @@ NOTICES = {
     "public domain": ("public-domain", 0.4),
     "all rights reserved": ("all-rights-reserved", 0.5),
 }
-# Label and openness (1: no conditions, 0: no use) of identifiers, by their name without a version.
-IDENTIFIERS = {
-    "mit": ("mit", 1.0),
-    "apache": ("apache", 0.9),
-    "bsd": ("bsd", 0.9),
-    "isc": ("isc", 1.0),
-    "cc0": ("cc0", 1.0),
-    "unlicense": ("public-domain", 1.0),
-    "cc-by-nc": ("cc-by-nc", 0.3),
-    "cc-by-nd": ("cc-by-nd", 0.3),
-    "cc-by-sa": ("cc-by-sa", 0.6),
-    "cc-by": ("cc-by", 0.9),
-    "mpl": ("mpl", 0.6),
-    "epl": ("epl", 0.6),
-    "lgpl": ("lgpl", 0.6),
-    "agpl": ("agpl", 0.2),
-    "gpl": ("gpl", 0.4),
+# Licences by the name of their identifiers: label, openness (1: no conditions, 0: no use), whether a version may follow (v) or what else GNU's may say (g), and the variants that are listed.
+_LISTED = """
+mit mit 1.0 - 0 cmu advertising enna feh festival modern-variant open-group wu
+x11 mit 1.0 - distribute-modifications-variant swapped
+0bsd bsd 1.0 -
+bsd bsd 0.9 - 1-clause 2-clause 2-clause-patent 2-clause-views 3-clause 3-clause-attribution 3-clause-clear 3-clause-lbnl 3-clause-modification 3-clause-open-mpi 4-clause 4-clause-uc protection source-code
+isc isc 1.0 - veillard
+apache apache 0.9 v
+cc0 cc0 1.0 v
+unlicense public-domain 1.0 -
+pddl public-domain 1.0 v
+wtfpl wtfpl 1.0 v
+cc-by-nc-nd cc-by-nc-nd 0.2 v 3.0-de 3.0-igo
+cc-by-nc-sa cc-by-nc-sa 0.2 v 2.0-de 2.0-fr 2.0-uk 3.0-de 3.0-igo
+cc-by-nc cc-by-nc 0.3 v 3.0-de
+cc-by-nd cc-by-nd 0.3 v 3.0-de
+cc-by-sa cc-by-sa 0.6 v 2.0-uk 2.1-jp 3.0-at 3.0-de 3.0-igo
+cc-by cc-by 0.9 v 2.5-au 3.0-at 3.0-au 3.0-de 3.0-igo 3.0-nl 3.0-us
+mpl mpl 0.6 v 2.0-no-copyleft-exception
+epl epl 0.6 v
+cddl cddl 0.6 v
+eupl eupl 0.5 v
+lgpl lgpl 0.6 g
+agpl agpl 0.2 g
+gpl gpl 0.4 g
+gfdl gfdl 0.4 g
+lgpllr lgpl 0.6 -
+zlib zlib 1.0 - acknowledgement
+libpng libpng 1.0 v
+artistic artistic 0.8 v 1.0-cl8 1.0-perl
+bsl boost 1.0 v
+psf python 0.9 v
+python python 0.9 v
+postgresql postgresql 1.0 -
+ncsa ncsa 0.9 -
+openssl openssl 0.8 - standalone
+ofl ofl 0.8 v 1.0-rfn 1.0-no-rfn 1.1-rfn 1.1-no-rfn
+odbl odbl 0.6 v
+odc-by odc-by 0.9 v
+cdla-permissive cdla 0.9 v
+cdla-sharing cdla 0.6 v
+ms-pl ms-pl 0.8 -
+ms-rl ms-rl 0.6 -
+osl osl 0.3 v
+afl afl 0.8 v
+upl upl 1.0 v
+ecl ecl 0.9 v
+blueoak blueoak 1.0 v
+mulanpsl mulan 0.9 v
+cecill cecill 0.4 v b c
+zpl zope 0.9 v
+php php 0.8 v
+ruby ruby 0.8 -
+vim vim 0.7 -
+curl curl 1.0 -
+hpnd hpnd 0.9 - sell-variant
+ntp ntp 1.0 - 0
+w3c w3c 0.9 -
+bzip2 bzip2 0.9 v
+unicode-dfs unicode 0.9 v 2015 2016
+unicode unicode 0.9 v
+sspl sspl 0.1 v
+busl busl 0.1 v
+elastic elastic 0.1 v
+json json 0.5 -
+proprietary proprietary 0.0 -
+"""
+IDENTIFIERS = {name: (label, float(openness)) for name, label, openness, *_ in map(str.split, _LISTED.strip().split("\n"))}
+_NUMBER = r"(?:[-.]?v?[0-9]+(?:\.[0-9]+){0,3})?"
+#: Each name with its listed variants, or a version where it has any; a final + means later versions too.
+_WHOLE = {
+    name: re.compile(f"{re.escape(name)}(?:{'|'.join(['', *(re.escape(f'-{v}') for v in variants)])}{'' if how == '-' else '|' + _NUMBER}){'(?:-only|-or-later|-invariants-only|-no-invariants-only)?' if how == 'g' else ''}\\+?")
+    for name, _, _, how, *variants in map(str.split, _LISTED.strip().split("\n"))
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
 # Exceptions that loosen the licence beside them, by their name without a version.
 EXCEPTIONS = ("autoconf-exception", "bison-exception", "classpath-exception", "font-exception", "gcc-exception", "linux-syscall-note", "llvm-exception", "openssl-exception")
-#: What may follow an identifier's name: a version, a variant, or "or later".
-_VERSION = re.compile(r"(?:[-.]?v?[0-9][a-z0-9.+-]*|-[a-z0-9][a-z0-9.+-]*|\+)?")
+_EXCEPTION = re.compile(rf"({'|'.join(map(re.escape, EXCEPTIONS))}){_NUMBER}")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 BASE_WEIGHT, TAG_WEIGHT, BROKEN_TAG_WEIGHT = 0.9, 0.95, 0.4
 
@@ -110,9 +165,9 @@ def parse(text: str) -> list[str] | None:
     return out + held[::-1]
 
 
-def named(token: str, names) -> str | None:
-    """The longest of names that an identifier is, but for its version."""
-    return max((k for k in names if token.startswith(k) and _VERSION.fullmatch(token[len(k) :])), key=len, default=None)
+def named(token: str) -> str | None:
+    """The listed licence that an identifier is, as a whole: a name, a listed variant of it or a version; none for anything else."""
+    return next((name for name, whole in _WHOLE.items() if token.startswith(name) and whole.fullmatch(token)), None)
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
@@ -123,13 +178,13 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     stack: list[tuple[set[str], float, str]] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            name = named(token, IDENTIFIERS)
+            name = named(token)
             label, openness = IDENTIFIERS[name] if name else ("unknown", 0.5)
             stack.append(({label}, openness, token))
             continue
         (right, b, exception), (left, a, _) = stack.pop(), stack.pop()
         if token == "with":
-            stack.append((left, max(a, 0.6) if named(exception, EXCEPTIONS) else a, ""))
+            stack.append((left, max(a, 0.6) if _EXCEPTION.fullmatch(exception) else a, ""))
         else:
             stack.append((left | right, min(a, b) if token == "and" else max(a, b), ""))
     return stack[0][:2]

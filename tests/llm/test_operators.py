@@ -64,10 +64,76 @@ def test_license_expressions():
     assert licenses.evaluate(licenses.parse("mitigated or iscariot")) == ({"unknown"}, 0.5)
     assert licenses.evaluate(licenses.parse("gpl-2.0 with classpath-exception-2.0")) == ({"gpl"}, 0.6) and licenses.evaluate(licenses.parse("gplv2+ with some-exception")) == ({"gpl"}, 0.4)
     assert licenses.evaluate(licenses.parse("bsd-3-clause and lgpl-2.1-or-later")) == ({"bsd", "lgpl"}, 0.6)
+    for known in "mit mit-0 apache-2.0 apache2 bsd-3-clause gpl-2.0+ gplv3 gpl-3.0-or-later lgpl-2.1-only cc-by-4.0 cc-by-nc-nd-4.0 zlib artistic-2.0 bsl-1.0 0bsd cc0-1.0 mpl-2.0-no-copyleft-exception cecill-b bzip2-1.0.6 isc".split():
+        assert licenses.named(known), known
+    for unknown in "mit-nonsense apache-none isc-foo gpl-incompatible mit-1.0 bsd-5-clause gpl-2.0-or-earlier mitx zlib-2.0 cc-by-4.0-xx licenseref-mit apache-2.0-only".split():
+        assert licenses.named(unknown) is None, unknown
     row = next(licenses.scan(iter([b"x\n// SPDX-License-Identifier: MIT OR GPL-3.0\nApache   License!"]), licenses._automaton({" apache license ": (" apache license ", "apache", 0.9, True)}), licenses._automaton({t: t for t in licenses.TAGS})))
     assert row[4:6] == ("apache", "apache,gpl,mit")
 
 
+def _valued(tokens):
+    """Labels and openness of an expression by recursive descent: or, then and, then with; None if it doesn't hold together."""
+
+    def unit():
+        token = tokens.pop(0)
+        if token == "(":
+            found = level(0)
+            assert tokens.pop(0) == ")"
+            return found
+        assert token not in ("and", "or", "with", ")")
+        name = licenses.named(token)
+        return ({licenses.IDENTIFIERS[name][0]}, licenses.IDENTIFIERS[name][1], token) if name else ({"unknown"}, 0.5, token)
+
+    def level(depth):
+        operator = ("or", "and", "with")[depth]
+        left = level(depth + 1) if depth < 2 else unit()
+        while tokens and tokens[0] == operator:
+            tokens.pop(0)
+            right = level(depth + 1) if depth < 2 else unit()
+            if operator == "with":
+                loosened = any(re.fullmatch(re.escape(e) + r"([-.]?v?\d+(\.\d+){0,3})?", right[2]) for e in licenses.EXCEPTIONS)
+                left = (left[0], max(left[1], 0.6) if loosened else left[1], "")
+            else:
+                left = (left[0] | right[0], (max if operator == "or" else min)(left[1], right[1]), "")
+        return left
+
+    return level(0)[:2]
+
+
+def test_license_labels_and_scores(spark):
+    """Labels, score and openness against a plain reading of every text."""
+    said = ["mit", "apache-2.0 or mit", "gpl-2.0 with classpath-exception-2.0 and (bsd-3-clause or mit-nonsense)", "(mit", "", "lgpl-2.1+ and cc-by-4.0"]
+    random.seed(5)
+    notices = [*licenses.NOTICES, *licenses.BASE, "nothing of this kind"]
+    texts = []
+    for i in range(60):
+        lines = [" ".join(random.choice(notices).title() if random.random() < 0.5 else random.choice(notices) for _ in range(random.randrange(4))) for _ in range(3)]
+        lines.insert(random.randrange(3), f"# {random.choice(['SPDX-License-Identifier:', 'License-Expression:', 'other:'])} {said[i % 6]}")
+        texts.append((i, "\n".join(lines)))
+    found = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    weights = {k: w for k, (_, w) in licenses.NOTICES.items()} | dict.fromkeys(licenses.BASE, licenses.BASE_WEIGHT)
+    labels_of = {k: v for k, (v, _) in licenses.NOTICES.items()} | licenses.BASE
+    for i, text in texts:
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+        there = [k for k in weights if any(words[j : j + len(k.split())] == k.split() for j in range(len(words)))]
+        labels, rest, open_ = {labels_of[k] for k in there}, 1.0, None
+        for k in there:
+            rest *= 1 - weights[k]
+        for tag in licenses.TAGS:
+            at = text.lower().find(tag)
+            if at >= 0:
+                tokens = re.findall(r"[()]|[a-z0-9][a-z0-9.+-]*", text.lower()[at + len(tag) :].split("\n")[0])
+                try:
+                    value = _valued(tokens)
+                    rest *= 1 - licenses.TAG_WEIGHT
+                    labels |= value[0]
+                    open_ = value[1]
+                except (AssertionError, IndexError):
+                    rest *= 1 - licenses.BROKEN_TAG_WEIGHT
+        assert found[i].labels == ",".join(sorted(labels)) and abs(found[i].score - (1 - rest)) < 1e-12 and found[i].openness == open_, text
+
+
 def test_quality(docs, plain, spark):
     want = collections.Counter()
     for doc_id, text in plain:

@@ -491,12 +491,17 @@ def test_drop_near_duplicates(odd):
 def test_drop_repeats(odd):
     """Kept texts are those of the digests, and columns stay."""
     small = odd.where("doc_id is null or doc_id < 100 or doc_id >= 10000")
-    want = collections.Counter()
+    want, digests = collections.Counter(), collections.Counter()
     for r in suffix_dedup.repeats(small).collect():
         if r.n_bytes > r.n_removed or not r.n_bytes:
             want[r.doc_id] += 1
+            digests[r.doc_id, r.kept_sha256] += 1
     found = suffix_dedup.drop_repeats(small, length_column="n_chars").collect()
     assert collections.Counter(r.doc_id for r in found) == want
+    # no character is cut in two in a text of single bytes: what is left is what the digest is of
+    whole = collections.Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in found if (r.text or "").isascii())
+    plain_ids = {r.doc_id for r in small.collect() if (r.text or "").isascii()}
+    assert sum(whole.values()) > 50 and all(digests[k] == n for k, n in whole.items() if k[0] in plain_ids)
     assert all(r.n_chars == len(r.text) for r in found if r.text and r.doc_id is not None and r.doc_id < 100)
     assert all(r.row_number == "kept row_number" and r.run_starts == "kept run_starts" for r in found)
 
@@ -506,7 +511,7 @@ def test_drop_toxic_and_mix(odd, spark):
     scores = {(r.doc_id): r.predicted for r in toxicity.toxicity(odd, labels).collect()}
     found = toxicity.drop_toxic(odd, labels)
     assert found.columns == odd.columns and all(r.toxicity == "kept toxicity" for r in found.collect())
-    assert found.count() == sum(1 for r in odd.collect() if not scores[r.doc_id])
+    assert collections.Counter((r.doc_id, r.text, r.source) for r in found.collect()) == collections.Counter((r.doc_id, r.text, r.source) for r in odd.collect() if not scores[r.doc_id])
     taken = mixing.mix(odd)
     assert taken.columns == odd.columns and {r.mix_copies for r in taken.collect()} == {"kept mix_copies"}
     assert taken.count() == mixing.mix_plan(odd).agg(F.sum("copies")).first()[0]
@@ -598,11 +603,20 @@ def test_pipeline(spark):
         kept.append(docs.count())
     words = mixing.mix_plan(common.read(spark, SF, "documents")).agg(F.sum("taken")).first()[0]
     assert kept[0] >= kept[1] >= kept[2] > 0 and words > 0
-    at = {}
+    import public_tokenizers
+    import tokenizers
+
+    encoder = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    mixed = docs.collect()
+    copies, tokens = collections.Counter(r.doc_id for r in mixed), {r.doc_id: len(encoder.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed}
+    at, heads, lengths = {}, collections.Counter(), collections.Counter()
     for r in sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: (r.sequence_id, r.offset)):
-        assert at.get(r.sequence_id, 0) == r.offset
+        assert at.get(r.sequence_id, 0) == r.offset and r.doc_tokens == tokens[r.doc_id]
         at[r.sequence_id] = r.offset + r.length
+        heads[r.doc_id] += r.start == 0
+        lengths[r.doc_id] += r.length
     assert max(at.values()) <= 2048
+    assert heads == copies and lengths == {d: n * tokens[d] for d, n in copies.items()}  # what the stages kept, as often as the mix takes it, whole
 
 
 def test_empty_tables_of_the_others(spark, docs):

@@ -202,3 +202,15 @@ _OPEN = "list_last(string_split(done, chr(2)))"
 PACKED = rf"""list_filter(list_transform(CASE WHEN length({{x}}) <= 1400 THEN [{{x}}] ELSE string_split(list_reduce(string_split(regexp_replace({{x}}, '(\(\d+\)|\([a-z]{{{{1,2}}}}\))', chr(1) || '\1', 'g'), chr(1)),
 lambda done, part: CASE WHEN {_OPEN} <> '' AND length({_OPEN}) + length(part) > 1400 THEN done || chr(2) || part ELSE done || part END, ''), chr(2)) END, lambda p: trim(p)), lambda p: p <> '')"""
 catalogue.given("q17_section_aware_chunks", f"""SELECT doc_id, (i - 1)::BIGINT AS piece, length(ps[i::BIGINT]) AS len, sha256(ps[i::BIGINT]) AS sha FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, {PACKED.format(x='text')} AS ps FROM documents))""")
+
+
+_UNITS = " + ".join(f"coalesce(TRY_CAST(regexp_extract(t, '([0-9.]+){u}', 1) AS DOUBLE), 0) * {n}" for u, n in (("h", 3600), ("m", 60), ("s", 1)))
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 2 = 0 AS here, {answers.MESSAGE} AS m FROM events), x AS (SELECT *, regexp_extract(m, 'try again in ([0-9hms.]+)', 1) AS t FROM e), u AS (SELECT *, least(1800, greatest(30, {_UNITS} + 15)) AS s FROM x)
+SELECT event_id, CASE WHEN m LIKE 'tokens per day%' THEN '{T.SPENT}' || CASE WHEN t <> '' THEN ' It frees up in about ' || greatest(1, floor(floor(s) / 60)::BIGINT) || ' minutes.' ELSE '' END || '{T.STILL}' || CASE WHEN here THEN '{T.SWITCH}' ELSE '{T.WAIT}' END
+WHEN lower(m) LIKE '%connection%' THEN '{T.UNREACHED}' || m || CASE WHEN here THEN '{T.LOCAL}' ELSE '' END ELSE '{T.UNAVAILABLE}' || m END AS told FROM u""")
+def q49_failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader is told of each failure."""
+    m = F.expr(answers.MESSAGE)
+    return table(spark, sf_dir, "events").select("event_id", T.failure_message(m, F.col("event_id") % 2 == 0).alias("told"))

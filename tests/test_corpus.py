@@ -176,3 +176,13 @@ def test_files(spark, tmp_path):
         stores.run_folder(1, experiment="../x")
     cache = spark.createDataFrame([("k", None), ("e", "failed")], "key string, error string")
     assert [r.key for r in stores.uncached(spark.createDataFrame([("k",), ("e",), ("n",)], "key string"), cache).orderBy("key").collect()] == ["e", "n"]
+
+
+def test_numbers_and_messages(spark):
+    from corpusloom.functions import text as T
+
+    rows = spark.createDataFrame([("THE CODE 1898 ( ACT NO. V OF 1898 ) [22nd March]",), ("x" * 900 + "(ACT NO. 1)",), ("",), (None,)], "t string")
+    assert [r.n for r in rows.select(T.act_number_of_page(F.col("t")).alias("n")).collect()] == ["V OF 1898", None, None, None]
+    told = spark.createDataFrame([("tokens per day: try again in 5m0s", True), ("TPD reached", False), ("request timed out", True), ("boom", False), (None, False)], "m string, here boolean").select(T.failure_message(F.col("m"), F.col("here")).alias("t")).collect()
+    assert told[0].t == T.SPENT + " It frees up in about 5 minutes." + T.STILL + T.SWITCH and told[1].t == T.SPENT + T.STILL + T.WAIT
+    assert told[2].t == T.UNREACHED + "request timed out" + T.LOCAL and told[3].t == T.UNAVAILABLE + "boom" and told[4].t == T.UNAVAILABLE

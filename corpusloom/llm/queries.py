@@ -108,5 +108,33 @@ SELECT n.doc_id, n_shingles, min(y) AS component_id FROM n JOIN r ON r.x = n.doc
 """
 
 
+def _op12() -> str:
+    """Six levels of 16 for each source, and six over the sources, which 16 million rows of a source don't exceed."""
+    piece = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(piece, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+    parts = [
+        "c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)",
+        f"d AS (SELECT doc_id, source AS g, {leaf('text')} AS leaf, CASE WHEN coalesce({crc} % 5 = 0, false) THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents, c)",
+        "p0 AS (SELECT *, leaf AS h, coalesce(other, leaf) AS fold, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m FROM d)",
+        "n0 AS (SELECT g, pos, h, m FROM p0)",
+    ]
+    for kind, start in (("", 0), ("top", 6)):
+        for k in range(start, start + 6):
+            run = "OVER (PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN {})"
+            parts.append(f"s{k} AS (SELECT *, CASE WHEN m > 1 THEN coalesce(string_agg(h, '') {run.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') END AS l, CASE WHEN m > 1 THEN coalesce(string_agg(h, '') {run.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') END AS r FROM n{k})")
+            parts.append(f"n{k + 1} AS (SELECT g, pos // 16 AS pos, CASE WHEN m > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h, (m + 15) // 16 AS m FROM n{k} GROUP BY g, pos // 16, m)")
+            parts.append(f"p{k + 1} AS (SELECT p.* REPLACE (CASE WHEN s.m > 1 THEN sha256(l || fold || r) ELSE fold END AS fold, CASE WHEN s.m > 1 THEN proof || l || r ELSE proof END AS proof, p.pos // 16 AS pos) FROM p{k} p JOIN s{k} s ON p.g IS NOT DISTINCT FROM s.g AND p.pos = s.pos)")
+        if not kind:  # the subroots are the leaves of the tree over the sources
+            parts.append("roots AS (SELECT g AS of, h AS subroot, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS place, count(*) OVER () AS m FROM n6)")
+            parts[-2:] = [f"q6 AS ({parts[-2][len('p6 AS ('):-1]})", parts[-1], "p6 AS (SELECT q6.* REPLACE ('' AS g, place AS pos), subroot FROM q6 JOIN roots ON q6.g IS NOT DISTINCT FROM roots.of)"]
+            parts = [x.replace("n6 AS (", "n6s AS (", 1) if x.startswith("n6 AS (") else x.replace("FROM n6)", "FROM n6s)") if x.startswith("roots") else x for x in parts]
+            parts.append("n6 AS (SELECT '' AS g, place AS pos, subroot AS h, m FROM roots)")
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, leaf, subroot, n12.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = n12.h AS verified FROM p12, n12"
+
+
+OP12 = _op12()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7, "op9_jaccard_join": OP9}
+    return {"op7_warc": OP7, "op9_jaccard_join": OP9, "op12_merkle_manifest": OP12}

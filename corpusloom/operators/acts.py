@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -126,8 +126,15 @@ def classified(notes: DataFrame) -> DataFrame:
     return notes.withColumns({"operation": T.operation(F.col("text")), "act_number": T.act_number(F.col("text")), "effective_from": T.effective_from(F.col("text"))})
 
 
-def page_facts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """title, h1, number of paragraphs and hash of the visible text of each page."""
+def _literal(html: Column, references: tuple[str, ...]) -> Column:
+    """A page whose ampersands are marked up but for those of the references."""
+    return F.regexp_replace(html.cast("string"), rf"&(?!(?:{'|'.join(references)});)", "&amp;")
+
+
+def page_facts(pages: DataFrame, key: str, html: str, references: tuple[str, ...] | None = None) -> DataFrame:
+    """title, h1, number of paragraphs and hash of the visible text of each page. references: the named ones that are decoded, others stay as written; without, all that HTML knows."""
+    if references is not None:
+        pages = pages.select(key, _literal(F.col(html), references).alias(html))
     head = lambda r, h: "".join(r.heads.get(h, []))
     out = _pages(pages, key, html, lambda r: [(head(r, "title"), head(r, "h1"), head(r, "h3"), r.paragraphs, " ".join(" ".join(r.words).split()))], "title string, h1 string, h3 string, n_paragraphs long, text string")
     return out.withColumns({"act_title": T.title(F.col("h3")), "text_hash": F.sha2("text", 256)})

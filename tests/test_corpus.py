@@ -186,3 +186,12 @@ def test_numbers_and_messages(spark):
     told = spark.createDataFrame([("tokens per day: try again in 5m0s", True), ("TPD reached", False), ("request timed out", True), ("boom", False), (None, False)], "m string, here boolean").select(T.failure_message(F.col("m"), F.col("here")).alias("t")).collect()
     assert told[0].t == T.SPENT + " It frees up in about 5 minutes." + T.STILL + T.SWITCH and told[1].t == T.SPENT + T.STILL + T.WAIT
     assert told[2].t == T.UNREACHED + "request timed out" + T.LOCAL and told[3].t == T.UNAVAILABLE + "boom" and told[4].t == T.UNAVAILABLE
+
+
+def test_references_as_written(spark):
+    """Only the named references are decoded, once; others, and ones without their semicolon, stay."""
+    html = "<title>a &lt;b&gt; &amp;lt; &quot;c&quot; x&amp</title><h1>&nbsp;&amp;&#65;&&lt</h1><p>y"
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    found = {r.page_id: (r.title, r.h1, r.n_paragraphs) for r in acts.page_facts(pages, "page_id", "html", ("lt", "gt", "amp")).collect()}
+    assert found == {1: ("a <b> &lt; &quot;c&quot; x&amp", "&nbsp;&&#65;&&lt", 1), 2: ("", "", 0)}
+    assert acts.page_facts(pages, "page_id", "html").where("page_id = 1").first().title == 'a <b> &lt; "c" x&'

@@ -195,3 +195,11 @@ def test_references_as_written(spark):
     found = {r.page_id: (r.title, r.h1, r.n_paragraphs) for r in acts.page_facts(pages, "page_id", "html", ("lt", "gt", "amp")).collect()}
     assert found == {1: ("a <b> &lt; &quot;c&quot; x&amp", "&nbsp;&&#65;&&lt", 1), 2: ("", "", 0)}
     assert acts.page_facts(pages, "page_id", "html").where("page_id = 1").first().title == 'a <b> &lt; "c" x&'
+
+
+def test_lookup_of_all_phrases(spark):
+    """Phrases of stopwords alone are looked for where the caller says so, by the query's SQL too."""
+    asked = spark.createDataFrame([(1, "this is on the table"), (2, "is one")], "qid long, text string")
+    entries = spark.createDataFrame([(5, "5", "is on"), (6, "6", "a b")], "ord long, section string, offence string")
+    assert lookup.find(asked, entries).count() == 0
+    assert [(r.qid, r.ord) for r in lookup.find(asked, entries, counts=lambda p: F.length(p) >= 4).collect()] == [(1, 5)]

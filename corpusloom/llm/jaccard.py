@@ -113,11 +113,11 @@ def _beyond(mean: float, e: int) -> float:
 
 @lru_cache
 def allocation(band: int, percent: int) -> tuple[int, int, int]:
-    """(k1, k0, e) of least cost for a band; (0, 0, 0) if linked sets in it must be equal."""
+    """(k1, k0, e) of least cost for a band; one segment, the whole set, if linked sets in it must be equal: other sequences of words may have the same set."""
     low, high = bands(percent)[band]
     bound = (100 - percent) * 2 * high // (100 + percent)
     if not bound:
-        return 0, 0, 0
+        return 0, 1, 0
     best, n = None, (low + high) / 2
     for k1 in range(min(6, (bound + 2) // 2) + 1):
         units = bound + 1 - 2 * k1
@@ -148,7 +148,7 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for band in range(own, last + 1):
         k1, k0, e = allocation(band, percent)
         m = k1 + k0
-        if not m or not n:
+        if not n:
             continue
         salt = np.uint64((band + 1) * int(_ODD[2]) % (1 << 64))
         segment = (mix(shingles ^ salt) >> np.uint64(20)) % np.uint64(m)

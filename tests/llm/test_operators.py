@@ -626,3 +626,13 @@ def test_empty_tables_of_the_others(spark, docs):
     assert toxicity.drop_toxic(none, labels).count() == 0 and jaccard.drop_near_duplicates(none).count() == 0
     assert suffix_dedup.drop_repeats(none).count() == 0 and mixing.mix(none).count() == 0
     assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("words, percent", [(4, 85), (5, 80), (4, 100)])
+def test_jaccard_of_equal_small_sets(spark, words, percent):
+    """Other sequences of words with one set of few shingles are linked, whatever their lengths."""
+    texts = ["a " * 7, "a " * 9, "b c d e f " * 3, "b c d e f " * 4, "b c d e f " * 4 + "b", "a a", "a", "g h i j k l m n", "g h i j k l m o p"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, words=words, percent=percent).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 7: 7, 8: 8}
+    assert sorted(r.doc_id for r in jaccard.drop_near_duplicates(docs, words=words, percent=percent).collect()) == [0, 2, 5, 6, 7, 8]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.scratch import small_batches
 
 # Classes of the markup and the column of a row that each fills.
 PARTS = {"act-part-group": "part", "act-chapter-group": "chapter", "act-section-head": "heading", "txt-details": "text", "txt-head": "note"}
@@ -91,6 +92,7 @@ def _read(html: bytes | None) -> Reader:
 
 
 def _pages(pages: DataFrame, key: str, html: str, emit, schema: str) -> DataFrame:
+    small_batches(pages.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 

@@ -107,7 +107,7 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id",
     """
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     ids = trusted_ids.select(trusted_ids[trusted_ids.columns[0]].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    trusted = materialise(docs.join(ids, "doc_id", "left_semi"), "trusted")
+    trusted = materialise(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "trusted")  # ids grow with the rows, so they go to no task whole at any size
     ratios = log_ratios(counts(trusted), counts(docs))
     floor = threshold(with_score(with_words(trusted), ratios).where(F.size("words") >= MIN_WORDS))
     out = with_score(with_rules(with_words(docs)), ratios)

@@ -636,3 +636,11 @@ def test_jaccard_of_equal_small_sets(spark, words, percent):
     found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, words=words, percent=percent).collect()}
     assert found == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 7: 7, 8: 8}
     assert sorted(r.doc_id for r in jaccard.drop_near_duplicates(docs, words=words, percent=percent).collect()) == [0, 2, 5, 6, 7, 8]
+
+
+def test_trusted_rows_meet_by_a_merge_join(spark, docs, monkeypatch):
+    """Ids of trusted rows are sent to no task whole, however few they are."""
+    plans, keep = [], quality.materialise
+    monkeypatch.setattr(quality, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    quality.quality(docs, docs.select("doc_id").limit(5))
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]

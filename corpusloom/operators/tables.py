@@ -2,7 +2,8 @@
 
 Relations: words (document, page, x0, x1, top, text), rects and lines (document, page, x0, x1, top, bottom), pages (document, page, width, height). A page without seven
 column rules gives nothing. Many tables are read at once: all that goes on over pages (the chapter in force, the number of a record, what a ditto stands for) is found for each page
-first, carried from page to page by a row for each page, and given back to the page's rows, so no task has to see a table in one.
+first, carried from page to page by a row for each page, and given back to the page's rows, so no task has to see a table in one. Lines, records and the rows for pages are
+written once, as several steps read them; the rows for pages are then of known size, so that a small number of them is broadcast and words aren't shuffled for them.
 
 Cases: empty relations give empty results. Words that repeat stand twice in their cell. A null document is one table; a null page is first. Words without a position go. Columns other
 than the named ones don't matter, whatever their names.
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.scratch import written
 
 # What marks a record, a chapter, and noise.
 SECTION = r"^(\d{1,3}[A-Z]{0,3})\s*\.?$"
@@ -67,10 +69,16 @@ def banded(words: DataFrame, edges: DataFrame) -> DataFrame:
 
 def lines(words: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
     """document, page, line, cells of a table's lines without noise."""
-    above = _same(words.select(*PAGE, "x0", "x1", "top", "text"), ends, PAGE).where("top < bottom").withColumn("line", F.bround(F.col("top") / 3).cast("long"))
-    cells = banded(above, edges).groupBy(*PAGE, "line", "band").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("cell"))
-    whole = cells.groupBy(*PAGE, "line").agg(F.map_from_entries(F.collect_list(F.struct("band", "cell"))).alias("m"))
-    out = whole.select(*PAGE, "line", F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: F.coalesce(F.trim(F.col("m")[i]), F.lit(""))).alias("cells"))
+    sheets = written(_same(edges, ends, PAGE), "sheets")
+    above = _same(words.select(*PAGE, "x0", "x1", "top", "text"), sheets, PAGE).where("top < bottom")
+    at = (F.col("x0") + F.col("x1")) / 2
+    # as band(), for edges of a known number
+    i = sum((F.coalesce((F.col("edges")[k] <= at).cast("int"), F.lit(0)) for k in range(COLUMNS + 1)), F.lit(0)) - 1
+    found = above.select(*PAGE, F.bround(F.col("top") / 3).cast("long").alias("line"), i.alias("band"), "x0", "text").where(F.col("band").between(0, COLUMNS - 1))
+    some = F.sort_array(F.collect_list(F.struct("band", "x0", "text")))  # the words of one line
+    cell = lambda k: F.trim(F.array_join(F.filter(some, lambda x: x["band"] == k)["text"], " "))
+    # made in the aggregate itself, so that the conditions on lines don't each make them again
+    out = found.groupBy(*PAGE, "line").agg(F.array(*(cell(k) for k in range(COLUMNS))).alias("cells"))
     return out.where(~noise(F.col("cells")))
 
 
@@ -89,19 +97,21 @@ def records(found: DataFrame) -> DataFrame:
     section = F.regexp_extract(F.col("cells")[0], SECTION, 1)
     heading = F.regexp_extract(F.array_join("cells", " "), CHAPTER, 0)
     rows = found.select(*PAGE, "line", "cells", section.alias("number"), F.when((section == "") & (heading != ""), heading).alias("heading"))
-    within = Window.partitionBy(*PAGE).orderBy("line")
-    rows = rows.withColumns({"here": F.last("heading", True).over(within), "part": F.count("heading").over(within)})
-    # the start of a record is numbered in its page; what comes before a page's first record, or behind a chapter and before one, goes
-    rows = rows.withColumn("no", F.sum((F.col("number") != "").cast("int")).over(Window.partitionBy(*PAGE, "part").orderBy("line"))).where("no > 0 AND heading IS NULL")
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("line", "cells"))), lambda x: x["cells"])  # the lines of one record
-    column = lambda i: F.aggregate(pieces, F.lit(""), lambda a, c: joined(a, c[i]))
-    made = rows.groupBy(*PAGE, "part", "no").agg(F.max("number").alias("section"), F.first("here").alias("here"), F.array(*(column(i) for i in range(1, COLUMNS))).alias("cells"))
-    made = made.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("part", "no")))
+    # all windows are over a page's lines in one order, so they share a sort
+    within = Window.partitionBy(*PAGE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"here": F.last("heading", True).over(within), "part": F.count("heading").over(within), "starts": F.count(F.when(F.col("number") != "", 1)).over(within)})
+    # the start of a record is numbered in its part of the page; what comes before a page's first record, or behind a chapter and before one, goes
+    rows = rows.withColumn("no", F.col("starts") - F.coalesce(F.last(F.when(F.col("heading").isNotNull(), F.col("starts")), True).over(within), F.lit(0))).where("no > 0 AND heading IS NULL")
+    pieces = F.sort_array(F.collect_list(F.struct("line", "cells")))  # the lines of one record
+    made = rows.groupBy(*PAGE, "part", "no").agg(F.max("number").alias("section"), F.first("here").alias("here"), pieces.alias("pieces"))
+    column = lambda i: F.aggregate(F.col("pieces")["cells"], F.lit(""), lambda a, c: joined(a, c[i]))
+    made = made.select(*PAGE, "part", "no", "section", "here", F.array(*(column(i) for i in range(1, COLUMNS))).alias("cells"))
+    made = written(made.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("part", "no"))), "records")
     # a row for each page: its last heading, how many records it has
     headed = found.select(*PAGE, "line", F.when((section == "") & (heading != ""), heading).alias("heading")).groupBy(*PAGE).agg(F.max_by("heading", F.when(F.col("heading").isNotNull(), F.col("line"))).alias("last"))
     counted = _same(headed, made.groupBy(*PAGE).agg(F.count("*").alias("n")), PAGE, "left")
     before = Window.partitionBy("document").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    carried = counted.select(*PAGE, F.last("last", True).over(before).alias("above"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    carried = written(counted.select(*PAGE, F.last("last", True).over(before).alias("above"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")), "carried")
     out = _same(made, carried, PAGE)
     return out.select("document", (F.col("earlier") + F.col("place")).cast("long").alias("ord"), "page", "section", F.coalesce("here", "above").alias("chapter"), "cells")
 
@@ -115,32 +125,35 @@ def undittoed(rows: DataFrame, names: list[str]) -> DataFrame:
     """rows (document, page, ord, names) with dittos resolved over a document's pages: a ditto takes the last value before it that isn't one; where that is empty or
     there is none, the text of the first ditto since.
     """
-    is_ditto = {n: F.col(n).rlike(DITTO) for n in names}
-    page = Window.partitionBy(*PAGE)
-    so_far = page.orderBy("ord")
-    # in a page: the number of values so far, and where the last one is
-    rows = rows.withColumns({f"g_{n}": F.count(F.when(~is_ditto[n], 1)).over(so_far) for n in names} | {f"z_{n}": F.max(F.when(~is_ditto[n], F.col("ord"))).over(page) for n in names})
+    # all windows are over a page's rows in one order, so they share a sort
+    so_far = Window.partitionBy(*PAGE).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    is_ditto = {n: F.col(f"t_{n}") for n in names}
+    rows = rows.withColumns({f"t_{n}": F.col(n).rlike(DITTO) for n in names})
+    # in a page: the number of values so far
+    rows = rows.withColumns({f"g_{n}": F.count(F.when(~is_ditto[n], 1)).over(so_far) for n in names})
     # what a page leaves: its last value, and its first ditto after that
     left = [F.max_by(n, F.when(~is_ditto[n], F.col("ord"))).alias(f"v_{n}") for n in names]
-    left += [F.min_by(n, F.when(is_ditto[n] & (F.col("ord") > F.coalesce(f"z_{n}", F.lit(-1))), F.col("ord"))).alias(f"d_{n}") for n in names]
     left += [F.count(F.when(~is_ditto[n], 1)).alias(f"k_{n}") for n in names]
-    pages = rows.groupBy(*PAGE).agg(*left)
+    left += [F.min(F.when(is_ditto[n], F.struct((-F.col(f"g_{n}")).alias("g"), "ord", F.col(n).alias("text")))).alias(f"d_{n}") for n in names]
+    pages = rows.groupBy(*PAGE).agg(*left).withColumns({f"d_{n}": F.when(-F.col(f"d_{n}.g") == F.col(f"k_{n}"), F.col(f"d_{n}.text")) for n in names})
+    pages = written(pages, "pages")
     order = Window.partitionBy("document").orderBy("page")
     pages = pages.withColumns({f"e_{n}": F.count(F.when(F.col(f"k_{n}") > 0, 1)).over(order) for n in names})
     for n in names:  # pages since the one with the last value
         since = Window.partitionBy("document", f"e_{n}").orderBy("page")
         pages = pages.withColumns({f"b_{n}": F.last(F.when(F.col(f"k_{n}") > 0, F.coalesce(f"v_{n}", F.lit(""))), True).over(order), f"f_{n}": F.first(f"d_{n}", True).over(since)})
-    carried = pages.select(*PAGE, *(F.lag(f"{x}_{n}").over(order).alias(f"{x}_{n}") for n in names for x in "bf"))
+    carried = written(pages.select(*PAGE, *(F.lag(f"{x}_{n}").over(order).alias(f"{x}_{n}") for n in names for x in "bf")), "carried")
+    # the last value so far, and the first ditto since: the last one that has no other between the value and itself
+    opens = {n: is_ditto[n] & ~F.coalesce(F.lag(F.when(is_ditto[n], F.col(f"g_{n}"))).over(Window.partitionBy(*PAGE).orderBy("ord")) == F.col(f"g_{n}"), F.lit(False)) for n in names}
+    rows = rows.withColumns({f"o_{n}": opens[n] for n in names})
+    rows = rows.withColumns({f"l_{n}": F.last(F.when(~is_ditto[n], F.col(n)), True).over(so_far) for n in names} | {f"z_{n}": F.last(F.when(F.col(f"o_{n}"), F.col(n)), True).over(so_far) for n in names})
     rows = _same(rows, carried, PAGE)
     for n in names:
-        run = Window.partitionBy(*PAGE, f"g_{n}")
-        value = F.max(F.when(~is_ditto[n], F.col(n))).over(run)
-        first = F.min_by(n, F.when(is_ditto[n], F.col("ord"))).over(run)
-        leading = F.col(f"g_{n}") == 0
-        base = F.when(leading, F.col(f"b_{n}")).otherwise(value)
+        leading, first = F.col(f"g_{n}") == 0, F.col(f"z_{n}")
+        base = F.when(leading, F.col(f"b_{n}")).otherwise(F.col(f"l_{n}"))
         fallback = F.when(leading, F.coalesce(f"f_{n}", first)).otherwise(first)
         rows = rows.withColumn(f"r_{n}", F.when(~is_ditto[n], F.col(n)).when(F.coalesce(base, F.lit("")) != "", base).otherwise(fallback))
-    return rows.select(*(F.col(f"r_{c}").alias(c) if c in names else c for c in rows.columns if not any(c.startswith(f"{x}_") and c[2:] in names for x in "gzbfr")))
+    return rows.select(*(F.col(f"r_{c}").alias(c) if c in names else c for c in rows.columns if not any(c.startswith(f"{x}_") and c[2:] in names for x in "tgolzbfr")))
 
 
 def entries(found: DataFrame) -> DataFrame:
@@ -158,4 +171,4 @@ def corpus(found: DataFrame) -> DataFrame:
 
 def table(words: DataFrame, rects: DataFrame, lines_: DataFrame, pages: DataFrame) -> DataFrame:
     """The entries of all tables, from words to classified cells."""
-    return entries(records(lines(words, grid(words, rects), bottoms(lines_, pages))))
+    return entries(records(written(lines(words, grid(words, rects), bottoms(lines_, pages)), "lines")))

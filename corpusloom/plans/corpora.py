@@ -79,9 +79,9 @@ def q52_table_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words at their places, read as tables."""
     laid = spark.sql(LINES, orders=table(spark, sf_dir, "orders"))
     cells = laid.select(F.concat(F.lit("table "), "document").alias("document"), "page", (F.lit(30.0) + 9 * F.col("line")).alias("top"), F.posexplode(F.array(*(F.col(f"c{i}") for i in range(8)))).alias("cell", "t"))
-    words = cells.select("document", "page", "top", "cell", F.posexplode(F.filter(F.split("t", " "), lambda w: w != "")).alias("i", "text"))
+    words = cells.select("document", "page", "top", "cell", F.posexplode(F.array_remove(F.split("t", " "), "")).alias("i", "text"))
     words = words.select("document", "page", (20.0 + 50 * F.col("cell") + 5 * F.col("i")).alias("x0"), (22.0 + 50 * F.col("cell") + 5 * F.col("i")).alias("x1"), "top", "text")
-    sheets = words.select("document", "page").distinct()
+    sheets = cells.select("document", "page").distinct()  # each line has words
     rects = sheets.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("i")).select("document", "page", (50.0 * F.col("i") + 12).alias("x0"), (50.0 * F.col("i") + 13).alias("x1"), F.lit(0.0).alias("top"), F.lit(1e6).alias("bottom"))
     pages = sheets.select("document", "page", F.lit(420.0).alias("width"), F.lit(1e6).alias("height"))
     rules = rects.where("false")

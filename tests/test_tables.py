@@ -78,3 +78,13 @@ def test_no_table(spark):
     rects = spark.createDataFrame([], "document string, page long, x0 double, x1 double, top double, bottom double")
     pages = spark.createDataFrame([("t", 1, 1.0, 1.0)], "document string, page long, width double, height double")
     assert tables.table(words, rects, rects, pages).collect() == []
+
+
+def test_words_are_read_for_the_lines_once(spark):
+    """What is left to run after table() reads the records and rows for pages, not the words again; cells are the words in order."""
+    words = spark.createDataFrame([("t", 1, 10.0, 12.0, 30.0, "7."), ("t", 1, 66.0, 70.0, 30.0, "b"), ("t", 1, 60.0, 64.0, 30.0, "a"), ("t", 1, 110.0, 114.0, 30.0, "Ditto"), ("t", 1, 360.0, 364.0, 33.0, "court")], "document string, page long, x0 double, x1 double, top double, text string")
+    rects = spark.createDataFrame([("t", 1, 50.0 * i, 50.0 * i + 1, 0.0, 100.0) for i in range(1, 8)], "document string, page long, x0 double, x1 double, top double, bottom double")
+    pages = spark.createDataFrame([("t", 1, 400.0, 500.0)], "document string, page long, width double, height double")
+    found = tables.table(words, rects, rects.where("false"), pages)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 3
+    assert [(r.ord, r.section, r.offence, r.cognizable_text, r.triable_by) for r in found.collect()] == [(1, "7", "a b", "Ditto", "court")]

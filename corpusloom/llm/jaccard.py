@@ -16,7 +16,8 @@ Candidates share a signature. A bucket's leader is the node that shares most sig
 pair with it, which is seen while the sorted bucket streams by. Pairs are verified in rounds, and nodes that are connected already are no pairs any more: first each
 node with the leader it shares most signatures with, then all members of a bucket with its leader, then, in buckets of three or more
 that still aren't connected, with 8 more members, 120 more and so on, 16 times as many each round. So no link that could join two components is
-lost, while the copies of one text don't meet pair by pair. Texts travel for pairs only that sizes and parities leave.
+lost, while the copies of one text don't meet pair by pair. Texts travel for pairs only that sizes and parities leave. A folded parity of FOLDS longs says nothing of
+sets much larger than its bits, so that large texts with a passage in common would all be pairs; members of these buckets carry one of FINE longs as well, if their sets have more than LARGE shingles.
 
 Cases: null texts and texts without words have no shingles and are linked with nothing. Texts shorter than a
 shingle are one shingle. Repeated rows and ids get a row each; a component is named by its smallest id, which for rows of
@@ -43,6 +44,7 @@ WORDS = 4
 PERCENT = 85
 BAND_RATIO = 1.5
 FOLDS = 8  # longs of a folded parity
+FINE, LARGE = 64, 384  # longs of a finer one, and the shingles above which a set has one
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -265,17 +267,20 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def folded(shingles: np.ndarray) -> np.ndarray:
-    """The parity of FOLDS * 64 buckets, as that many longs."""
-    odd = np.bincount((mix(shingles ^ _ODD[6]) & np.uint64(FOLDS * 64 - 1)).astype(np.int64), minlength=FOLDS * 64) & 1
+def folded(shingles: np.ndarray, longs: int = FOLDS) -> np.ndarray:
+    """The parity of longs * 64 buckets, as that many longs."""
+    odd = np.bincount((mix(shingles ^ _ODD[6]) & np.uint64(longs * 64 - 1)).astype(np.int64), minlength=longs * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _may_link(percent: int) -> F.Column:
     """Whether sizes and folded parities of a pair leave a link; folded ones differ in no more bits than there are shingles apart."""
     n, m = F.col("n_a"), F.col("n")
-    differ = sum((F.bit_count(F.col("folded_a")[i].bitwiseXOR(F.col("folded")[i])) for i in range(FOLDS)), F.lit(0))
-    return (n * 100 >= percent * m) & (m * 100 >= percent * n) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+    differ = lambda x, y, longs: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(longs)), F.lit(0))
+    few = lambda bits: bits * (100 + percent) <= (100 - percent) * (n + m)
+    # the finer ones are null unless both sets are large
+    fine = F.when(F.col("fine_a").isNull() | F.col("fine").isNull(), True).otherwise(few(differ("fine_a", "fine", FINE)))
+    return (n * 100 >= percent * m) & (m * 100 >= percent * n) & few(differ("folded_a", "folded", FOLDS)) & fine
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -345,7 +350,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     # a bucket's leader is the node that shares most signatures: of the copies of a text it is the one nearest to all
     rows_ = groups.select("signature", "node").unionByName(groups.where("place = 1").select("signature", F.col("leader").alias("node")))
     weights = materialise(rows_.groupBy("node").agg(F.count("*").alias("weight")), "weights")
-    facts = texts.select("node", "text").join(weights.select("node"), "node", "left_semi").mapInArrow(lambda x: _sets(x, words), "node long, n long, parity binary, folded array<long>, text binary")
+    facts = texts.select("node", "text").join(weights.select("node"), "node", "left_semi").mapInArrow(lambda x: _sets(x, words), "node long, n long, parity binary, folded array<long>, fine array<long>, text binary")
     facts = materialise(facts, "candidates")
     dealt = rows_.join(weights, "node").join(facts.select("node", "n", "folded"), "node").repartition(partitions, "signature").sortWithinPartitions("signature", F.desc("weight"), F.desc("node"))
     led = dealt.select("signature", "node", "n", "folded").mapInArrow(lambda x: _led(x, percent), "signature long, place long, leader long, node long, n long, folded array<long>, near boolean")
@@ -366,12 +371,13 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     some = led.select("signature", "place", "leader", "node", "n", "folded")
     open_ = _labelled(_labelled(some, found, "leader"), found, "node")
     apart = open_.groupBy("signature").agg(F.max("place").alias("most"), F.bool_or(F.col("of_leader") != F.col("of_node")).alias("apart")).where("apart AND most > 1").select("signature")
-    open_ = materialise(some.drop("leader").join(apart, "signature", "left_semi"), "apart")
+    fine = facts.where(F.col("fine").isNotNull()).select("node", "fine")
+    open_ = materialise(some.drop("leader").join(apart, "signature", "left_semi").join(fine, "node", "left"), "apart")
     discard(led, pairs)
     begin, end = 1, 9
     while True:
         here = _labelled(open_, found, "node")
-        led = here.where((F.col("place") >= begin) & (F.col("place") < end)).select("signature", F.col("place").alias("from"), F.col("node").alias("a"), F.col("of_node").alias("of_a"), F.col("n").alias("n_a"), F.col("folded").alias("folded_a"))
+        led = here.where((F.col("place") >= begin) & (F.col("place") < end)).select("signature", F.col("place").alias("from"), F.col("node").alias("a"), F.col("of_node").alias("of_a"), F.col("n").alias("n_a"), F.col("folded").alias("folded_a"), F.col("fine").alias("fine_a"))
         both = led.join(here, "signature").where((F.col("place") > F.col("from")) & (F.col("of_a") != F.col("of_node")) & _may_link(percent))
         more = materialise(both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
         if not more.isEmpty():
@@ -405,7 +411,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     open_ = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         sets = [shingle_set(open_(t), words) for t in batch[1].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([folded(s) for s in sets], pa.list_(pa.int64())), batch[1]], ["node", "n", "parity", "folded", "text"])
+        yield pa.RecordBatch.from_arrays([batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([folded(s) for s in sets], pa.list_(pa.int64())), pa.array([folded(s, FINE) if len(s) > LARGE else None for s in sets], pa.list_(pa.int64())), batch[1]], ["node", "n", "parity", "folded", "fine", "text"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

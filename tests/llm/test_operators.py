@@ -9,7 +9,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, fingerprints, jaccard, licenses, mixing, packing, quality, queries, suffix_dedup, token_store, toxicity, warc
@@ -644,3 +646,17 @@ def test_trusted_rows_meet_by_a_merge_join(spark, docs, monkeypatch):
     monkeypatch.setattr(quality, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
     quality.quality(docs, docs.select("doc_id").limit(5))
     assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_large_texts_with_a_passage_in_common_are_no_pairs(spark):
+    """Parities tell large sets apart in the join of a bucket already, and never sets that are linked."""
+    random.seed(5)
+    word = lambda: "".join(random.choices("abcdefgh", k=7))
+    passage = [word() for _ in range(60)]
+    texts = [passage + [word() for _ in range(2000)] for _ in range(5)]
+    texts.append([*texts[0][:1900], *(word() for _ in range(160))])  # linked with the first
+    rows = [(i, zstandard.ZstdCompressor().compress(" ".join(t).encode())) for i, t in enumerate(texts)]
+    sets = next(jaccard._sets(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["node", "text"])]), 5))
+    facts = spark.createDataFrame(sets.drop_columns(["text", "parity"]).to_pylist(), "node long, n long, folded array<long>, fine array<long>")
+    pairs = facts.withColumnsRenamed({c: f"{c}_a" for c in facts.columns}).join(facts, F.col("node_a") < F.col("node")).where(jaccard._may_link(80))
+    assert [(r.node_a, r.node) for r in pairs.collect()] == [(0, 5)]

@@ -8,13 +8,19 @@ H + 1 + e units in all; by pigeonhole every linked pair matches somewhere even i
 trivially, on empty subsets. It takes the k1 and e of least cost per band, signatures written plus the
 rows to expect in the buckets of empty subsets. Documents with more than e trivial units write those as well.
 
+Most sets could do with fewer units than their band's: no partner makes their bound as large as H, and fewer than e units are trivial. So a set
+and any partner share 1 + spare signatures at least, with spare the units that neither needs. In any order of signatures the last one that two sets share is
+among neither's first spare, so each set may leave its first spare out. Half of them go before signatures are dealt, those of the smallest segments, the
+others once the sizes of buckets are known, those in the largest. (A set with fewer left out keeps its share in both steps, as both halves grow with spare.) Texts that
+have no more than a passage in common mostly share fewer than that. This isn't done where segments have neighbourhoods. Buckets of the same nodes are one.
+
 Hashes of shingles only choose candidates: two shingles with one hash make sets look more alike, never less, so no link is
 lost. Links are counted on the words themselves. Texts of equal word sequences, told by a 128-bit BLAKE2b, are one node before that, with a
 number of its own.
 
 Candidates share a signature. A bucket's leader is the node that shares most signatures with others; members that sizes and folded parities tell from their leader are no
 pair with it, which is seen while the sorted bucket streams by. Pairs are verified in rounds, and nodes that are connected already are no pairs any more: first each
-node with the leader it shares most signatures with, then all members of a bucket with its leader, then, in buckets of three or more
+node with the leader that it has in most buckets, then all members of a bucket with its leader, then, in buckets of three or more
 that still aren't connected, with 8 more members, 120 more and so on, 16 times as many each round. So no link that could join two components is
 lost, while the copies of one text don't meet pair by pair. Texts travel for pairs only that sizes and parities leave. A folded parity of FOLDS longs says nothing of
 sets much larger than its bits, so that large texts with a passage in common would all be pairs; members of these buckets carry one of FINE longs as well, if their sets have more than LARGE shingles.
@@ -35,7 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_long, discard, fresh, materialise, mix, prefix_hashes, release, span_hashes, text_bytes
@@ -44,7 +50,7 @@ WORDS = 4
 PERCENT = 85
 BAND_RATIO = 1.5
 FOLDS = 8  # longs of a folded parity
-FINE, LARGE = 64, 384  # longs of a finer one, and the shingles above which a set has one
+FINE, LARGE = 64, 768  # longs of a finer one, and the shingles above which a set has one
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -138,15 +144,18 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
     return best[1]
 
 
-def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set under the schemes of its band and of all larger ones that a partner may lie in."""
+def signatures(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set under the schemes of its band and of all larger ones that a partner may lie in; how many of its band's signatures the set can still spare.
+
+    The lowest byte of a signature is its band.
+    """
     n = len(shingles)
     ranges = bands(percent)
     own = next(i for i, (low, high) in enumerate(ranges) if n <= high) if n else 0
     last = own
     while n * 100 >= percent * ranges[last + 1][0]:
         last += 1
-    out = [np.zeros(0, dtype=np.uint64)]
+    out, spares = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
     for band in range(own, last + 1):
         k1, k0, e = allocation(band, percent)
         m = k1 + k0
@@ -155,23 +164,44 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         salt = np.uint64((band + 1) * int(_ODD[2]) % (1 << 64))
         segment = (mix(shingles ^ salt) >> np.uint64(20)) % np.uint64(m)
         value = mix(shingles + salt)
-        order = np.argsort(segment, kind="stable")
+        order = np.argsort(segment.astype(np.uint16) if m <= 1 << 16 else segment, kind="stable")
         segment, value = segment[order], value[order]
         first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         size = np.diff(np.append(first, n)).astype(np.uint64)
         total, which = np.add.reduceat(value, first), segment[first]
         sign = lambda s, c, w, salt=salt: mix(mix(s * _ODD[3] + c) + w * _ODD[4] + salt)
-        out.append(sign(total, size, which))
+        found = [sign(total, size, which)]
         near = which < np.uint64(k1)
         missing = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
         trivial = 2 * int((near & (size < 2)).sum() + (missing < k1).sum()) + int((missing >= k1).sum())
         if k1:
             at = np.repeat(np.arange(len(first)), size.astype(np.int64))
             drop = near[at] & ((size[at] > 1) | (trivial > e))
-            out.append(sign((total[at] - value)[drop], (size[at] - np.uint64(1))[drop], which[at][drop]))
+            found.append(sign((total[at] - value)[drop], (size[at] - np.uint64(1))[drop], which[at][drop]))
         if trivial > e:
-            out.append(sign(np.zeros(len(missing), dtype=np.uint64), np.uint64(0), missing))
-    return np.unique(np.concatenate(out) >> np.uint64(8))  # 56 bits: equal ones only make candidates
+            found.append(sign(np.zeros(len(missing), dtype=np.uint64), np.uint64(0), missing))
+            size = np.concatenate([size, np.zeros(len(missing), dtype=np.uint64)])
+        found, spare = np.concatenate(found) >> np.uint64(8), 0  # 56 bits: equal ones only make candidates
+        if k1:
+            found = np.unique(found)
+        else:
+            spare = spare_units(n, m, trivial, band, percent)
+            gone = spare // 2
+            if gone:
+                found = found[np.argpartition(np.minimum(size, np.uint64(255)) << np.uint64(56) | found, gone)[gone:]]
+            spare -= gone
+        out.append(found << np.uint64(8) | np.uint64(band))
+        spares.append(np.full(len(found), spare, dtype=np.int32))
+    return np.concatenate(out), np.concatenate(spares)
+
+
+def spare_units(n: int, units: int, trivial: int, band: int, percent: int) -> int:
+    """By how much the units in which a set of n shingles agrees with any partner are more than one, under a scheme without neighbourhoods; trivial ones don't count up to the scheme's e."""
+    high = bands(percent)[band][1]
+    if units == 1:  # the whole set
+        return 0
+    bound = (100 - percent) * (n + min(high, n * 100 // percent)) // (100 + percent)
+    return units - 1 - bound - min(trivial, allocation(band, percent)[2])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -194,34 +224,31 @@ def _keyed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """A node and its signatures."""
+    """A node, its signatures, and how many of a band's it can spare."""
     open_ = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for begin in range(0, batch.num_rows, 100):
             part = batch.slice(begin, 100)
-            found = [as_long(signatures(shingle_set(open_(text), words), percent)) for text in part[1].to_pylist()]
-            nodes = np.repeat(part[0].to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found))], ["node", "signature"])
+            found = [signatures(shingle_set(open_(text), words), percent) for text in part[1].to_pylist()]
+            nodes = np.repeat(part[0].to_numpy(), [len(x) for x, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(as_long(np.concatenate([x for x, _ in found]))), pa.array(np.concatenate([x for _, x in found]))], ["node", "signature", "spare"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (signature, node), each once. Members of buckets of two or more: signature, place (from 0), leader (the first), node.
-
-    Of a bucket only its last node, its leader and its size so far are held, however large it is.
-    """
-    last_signature, last_node, leader, size = None, 0, 0, 0
+    """Rows (signature, node, spare) come sorted by signature. Those of buckets of two or more; one row is held."""
+    held, again = None, False  # the last row, and whether the one before is of its bucket
     for batch in batches:
-        signature, node = batch[0].to_numpy(), batch[1].to_numpy()
-        n = len(node)
-        if not n:
+        if not batch.num_rows:
             continue
-        new = np.concatenate([[signature[0] != last_signature], signature[1:] != signature[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        leaders = np.where(at >= 0, node[at], leader)
-        place = np.where(at >= 0, np.arange(n) - at, size + np.arange(n))
-        keep = place > 0
-        last_signature, last_node, leader, size = signature[-1], node[-1], leaders[-1], int(place[-1]) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(signature[keep]), pa.array(place[keep]), pa.array(leaders[keep]), pa.array(node[keep])], ["signature", "place", "leader", "node"])
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        signature = table[0].to_numpy()
+        same = signature[1:] == signature[:-1]
+        keep = np.concatenate([[again], same])
+        keep[:-1] |= same
+        held, again = table.slice(table.num_rows - 1), bool(keep[-1])
+        yield table.slice(0, table.num_rows - 1).filter(pa.array(keep[:-1]))
+    if again:
+        yield held
 
 
 def _led(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -279,7 +306,9 @@ def _may_link(percent: int) -> F.Column:
     differ = lambda x, y, longs: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(longs)), F.lit(0))
     few = lambda bits: bits * (100 + percent) <= (100 - percent) * (n + m)
     # the finer ones are null unless both sets are large
-    fine = F.when(F.col("fine_a").isNull() | F.col("fine").isNull(), True).otherwise(few(differ("fine_a", "fine", FINE)))
+    # by array functions: FINE terms would make a method that the JVM doesn't compile
+    bits = F.aggregate(F.zip_with("fine_a", "fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    fine = F.when(F.col("fine_a").isNull() | F.col("fine").isNull(), True).otherwise(few(bits))
     return (n * 100 >= percent * m) & (m * 100 >= percent * n) & few(differ("folded_a", "folded", FOLDS)) & fine
 
 
@@ -334,6 +363,22 @@ def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return rows.join(labels, name, "left").withColumn(f"of_{name}", F.coalesce(f"of_{name}", name))
 
 
+def _buckets(groups: DataFrame) -> DataFrame:
+    """signature, node, times of the buckets that are left of groups (signature, node, spare): each set leaves those in its largest buckets out that it can spare, and of buckets of the same nodes, of which there are times, one stays."""
+    # sizes and nodes' sums are written, so that Spark knows how large they are, and can split a very common signature's rows in the joins
+    sizes = materialise(groups.groupBy("signature").agg(F.count("*").alias("size")), "sizes")
+    order = Window.partitionBy("node", F.col("signature").bitwiseAND(255)).orderBy(F.desc("size"), "signature")  # a set's signatures in one band
+    kept = groups.join(sizes, "signature").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("spare"))
+    kept = materialise(kept.select("signature", "node"), "kept")
+    discard(groups, sizes)
+    told = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"nodes_{i}") for i in range(2)]  # 128 bits
+    sets = kept.groupBy("signature").agg(F.count("*").alias("size"), *told).where("size > 1")
+    sets = materialise(sets.groupBy("size", "nodes_0", "nodes_1").agg(F.min("signature").alias("signature"), F.count("*").alias("times")), "sets")
+    rows = materialise(kept.join(sets.select("signature", "times"), "signature"), "buckets")
+    discard(kept, sets)
+    return rows
+
+
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, n_shingles, key (of the sequence of words) of each row of docs (doc_id, text); key and component of each sequence."""
     spark = docs.sparkSession
@@ -343,19 +388,19 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     first = keyed.where("text is not null").groupBy("key").agg(F.first("text").alias("text"))
     texts = materialise(first.withColumn("node", F.monotonically_increasing_id()), "texts")  # its numbers are fixed once it is written
     discard(keyed)
-    signed = texts.select("node", "text").mapInArrow(lambda x: _signed(x, words, percent), "node long, signature long").select("signature", "node")
-    groups = signed.repartition(partitions, "signature").sortWithinPartitions("signature", "node").mapInArrow(_groups, "signature long, place long, leader long, node long")
+    signed = texts.select("node", "text").mapInArrow(lambda x: _signed(x, words, percent), "node long, signature long, spare int").select("signature", "node", "spare")
+    groups = signed.repartition(partitions, "signature").sortWithinPartitions("signature").mapInArrow(_groups, "signature long, node long, spare int")
     groups = materialise(groups, "signatures")
     release(spark)
+    rows_ = _buckets(groups)
     # a bucket's leader is the node that shares most signatures: of the copies of a text it is the one nearest to all
-    rows_ = groups.select("signature", "node").unionByName(groups.where("place = 1").select("signature", F.col("leader").alias("node")))
-    weights = materialise(rows_.groupBy("node").agg(F.count("*").alias("weight")), "weights")
+    weights = materialise(rows_.groupBy("node").agg(F.sum("times").alias("weight")), "weights")
     facts = texts.select("node", "text").join(weights.select("node"), "node", "left_semi").mapInArrow(lambda x: _sets(x, words), "node long, n long, parity binary, folded array<long>, fine array<long>, text binary")
     facts = materialise(facts, "candidates")
-    dealt = rows_.join(weights, "node").join(facts.select("node", "n", "folded"), "node").repartition(partitions, "signature").sortWithinPartitions("signature", F.desc("weight"), F.desc("node"))
+    dealt = rows_.select("signature", "node").join(weights, "node").join(facts.select("node", "n", "folded"), "node").repartition(partitions, "signature").sortWithinPartitions("signature", F.desc("weight"), F.desc("node"))
     led = dealt.select("signature", "node", "n", "folded").mapInArrow(lambda x: _led(x, percent), "signature long, place long, leader long, node long, n long, folded array<long>, near boolean")
     led = materialise(led, "led")
-    discard(groups, weights)
+    discard(rows_, weights)
     pairs = materialise(led.where("near").groupBy("leader", "node").agg(F.count("*").alias("n")), "pairs")
     best = pairs.groupBy("node").agg(F.max_by("leader", F.struct("n", F.col("leader") * -1)).alias("leader"))
     links = verify(best.select(F.col("leader").alias("a"), F.col("node").alias("b")), facts, words, percent)

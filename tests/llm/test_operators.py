@@ -660,3 +660,46 @@ def test_large_texts_with_a_passage_in_common_are_no_pairs(spark):
     facts = spark.createDataFrame(sets.drop_columns(["text", "parity"]).to_pylist(), "node long, n long, folded array<long>, fine array<long>")
     pairs = facts.withColumnsRenamed({c: f"{c}_a" for c in facts.columns}).join(facts, F.col("node_a") < F.col("node")).where(jaccard._may_link(80))
     assert [(r.node_a, r.node) for r in pairs.collect()] == [(0, 5)]
+
+
+def test_a_passage_in_common_makes_no_buckets(spark, monkeypatch):
+    """Sets leave out the signatures that they can spare, so texts that have a passage in common don't meet in its buckets; linked ones still do."""
+    random.seed(6)
+    word = lambda: "".join(random.choices("abcdefgh", k=7))
+    passage = [word() for _ in range(60)]
+    texts = [passage + [word() for _ in range(300)] for _ in range(60)]
+    texts.append([*texts[0][:330], *(word() for _ in range(30))])  # linked with the first
+    rows, keep = {}, jaccard.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows[name] = rows.get(name, 0) + (out.count() if name in ("led", "apart") else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = jaccard.jaccard_components(docs, words=5, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 if i == 60 else i for i in range(61)}
+    assert rows["led"] + rows["apart"] < 60
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_sets_at_the_bound_share_a_signature(percent):
+    """Whatever each of two linked sets spares, a signature is left that both have, also after the second half by any one order."""
+    draw = np.random.default_rng(percent)
+    for n in [*range(12, 60, 3), *range(60, 1500, 97)]:
+        for m in {n, (n + n * 100 // percent) // 2, n * 100 // percent}:
+            common_ = -(-percent * (n + m) // (100 + percent))  # the fewest that link
+            if common_ > n:
+                continue
+            pool = draw.integers(1, 1 << 62, n + m - common_, dtype=np.uint64)
+            left = []
+            for part in (pool[:n], pool[n - common_ :]):
+                signs, spare = jaccard.signatures(part, percent)
+                kept = set()
+                for band in np.unique(signs & np.uint64(255)):
+                    mine = (signs & np.uint64(255)) == band
+                    order = np.argsort(common.mix(signs[mine]))
+                    kept |= set(signs[mine][order][spare[mine][0] :].tolist())
+                left.append(kept)
+            assert left[0] & left[1]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_bytes
-from .tokens import encoder
+from .tokens import encoder, gathered
 
 CAPACITY = 2048
 END_ID = 1
@@ -88,14 +88,19 @@ def tokenised(docs: DataFrame, id_column: str, text_column: str, end_id: int, ca
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
-        for batch in batches:
-            n, crcs, kept = [], [], []
-            for ids in words.encode(batch[1].to_pylist()):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                n.append(len(ids))
-                crcs.append([zlib.crc32(ids[i : i + capacity].tobytes()) for i in range(0, len(ids), capacity)])
-                kept.append(ids.view(np.int32) if with_ids else None)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "doc_tokens", "crcs", "ids"])
+        for some in gathered(batches, 1):
+            flat, until = words.encode_flat(some[1])
+            for at in range(0, some.num_rows, 250):
+                batch = some.slice(at, 250)
+                n, crcs, kept = [], [], []
+                ends = until[at : at + 250].tolist()
+                for start, end in zip([until[at - 1] if at else 0, *ends], ends, strict=False):
+                    ids = np.append(flat[start:end], np.uint32(end_id)).astype("<u4")
+                    n.append(len(ids))
+                    crcs.append([zlib.crc32(ids[i : i + capacity].tobytes()) for i in range(0, len(ids), capacity)])
+                    kept.append(ids.view(np.int32) if with_ids else None)
+                yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "doc_tokens", "crcs", "ids"])
+        words.rest()
 
     return docs.select(docs[id_column].cast("long"), text_bytes(text_column)).mapInArrow(rows, _TOKENS)
 

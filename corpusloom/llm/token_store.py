@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, scratch, text_bytes
-from .tokens import encoder
+from .tokens import encoder, gathered
 
 END_ID = 2
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 2048
@@ -46,10 +46,11 @@ def cuts(flat: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     if len(flat) >= WINDOW:
         with np.errstate(over="ignore"):
             terms = mix(flat.astype(np.uint64) + np.uint64(1))
-            rolling = np.zeros(len(flat) - WINDOW + 1, dtype=np.uint64)
-            for k in range(WINDOW):
-                rolling = rolling * _BASE + terms[k : len(flat) - WINDOW + 1 + k]
-            marks = np.flatnonzero(mix(rolling) % np.uint64(MEAN) == 0) + WINDOW
+            width, base, rolling = 1, _BASE, terms  # WINDOW and MEAN are powers of two
+            while width < WINDOW:
+                rolling = rolling[:-width] * base + rolling[width:]
+                width, base = 2 * width, base * base
+            marks = np.flatnonzero(mix(rolling) & np.uint64(MEAN - 1) == 0) + WINDOW
     first, last_ = np.searchsorted(marks, bounds[:-1] + LEAST), np.searchsorted(marks, bounds[1:])
     out = []
     for start, n, i, j in zip(bounds[:-1].tolist(), np.diff(bounds).tolist(), first.tolist(), last_.tolist(), strict=True):
@@ -107,20 +108,24 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def _staged(batches: Iterator[pa.RecordBatch], end_id: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
     words = encoder(vocabulary)
-    for batch in batches:
-        flat, ends = words.encode_flat(batch[1].to_pylist())
-        flat = np.insert(flat, ends, np.uint32(end_id))
-        bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int64)
-        addresses, lengths, roots, blobs = [], [], [], []
-        for start, stops in zip(bounds.tolist(), cuts(flat, bounds), strict=False):
-            mine = [blob(flat[start + a : start + b]) for a, b in zip([0, *stops], stops, strict=False)]
-            blobs.append(mine)
-            addresses.append([hashlib.sha256(x).digest() for x in mine])
-            lengths.append([b - a for a, b in zip([0, *stops], stops, strict=False)])
-            roots.append(merkle(addresses[-1]))
-        columns = (np.diff(bounds), addresses, lengths, roots, blobs)
-        kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "addresses", "lengths", "root", "blobs"])
+    for some in gathered(batches, 1):
+        all_, until = words.encode_flat(some[1])
+        until = np.concatenate([[0], until])
+        for at in range(0, some.num_rows, 250):
+            batch, ends = some.slice(at, 250), until[at : at + 251]
+            flat = np.insert(all_[ends[0] : ends[-1]], ends[1:] - ends[0], np.uint32(end_id))
+            bounds = ends - ends[0] + np.arange(len(ends))
+            addresses, lengths, roots, blobs = [], [], [], []
+            for start, stops in zip(bounds.tolist(), cuts(flat, bounds), strict=False):
+                mine = [blob(flat[start + a : start + b]) for a, b in zip([0, *stops], stops, strict=False)]
+                blobs.append(mine)
+                addresses.append([hashlib.sha256(x).digest() for x in mine])
+                lengths.append([b - a for a, b in zip([0, *stops], stops, strict=False)])
+                roots.append(merkle(addresses[-1]))
+            columns = (np.diff(bounds), addresses, lengths, roots, blobs)
+            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "addresses", "lengths", "root", "blobs"])
+    words.rest()
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -293,6 +293,22 @@ def test_word_encoder():
         tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_word_encoder_specials_and_rest():
+    """A special token is told by its case; a worker keeps few pieces after a task."""
+    import pyarrow as pa
+    import public_tokenizers
+    from corpusloom.llm import token_store, tokens
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|ENDOFTEXT|> B", "x<|endoftext|>y É", "", " \n", "<|", "it's 12,5 'Re", "word" * 200]
+    assert [x.tolist() for x in tokens.encoder().encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    words = ("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words).encode()])], ["doc_id", "text"])
+    assert sum(b.num_rows for b in token_store._staged(iter([batch]), 2, None)) == 1
+    assert len(tokens.encoder().known) <= tokens.MOST_IDLE
+
+
 def test_fingerprints(docs, plain):
     order = sorted(plain, key=lambda x: x[0])
     found = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}

@@ -83,26 +83,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return slots, sequence
 
 
+def _windowed(batches: Iterator[pa.RecordBatch], end_id: int, capacity: int, vocabulary: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    words = encoder(vocabulary)
+    for some in gathered(batches, 1):
+        flat, until = words.encode_flat(some[1])
+        for at in range(0, some.num_rows, 250):
+            batch = some.slice(at, 250)
+            n, crcs, kept = [], [], []
+            ends = until[at : at + 250].tolist()
+            for start, end in zip([until[at - 1] if at else 0, *ends], ends, strict=False):
+                ids = np.append(flat[start:end], np.uint32(end_id)).astype("<u4")
+                n.append(len(ids))
+                crcs.append([zlib.crc32(ids[i : i + capacity].tobytes()) for i in range(0, len(ids), capacity)])
+                kept.append(ids.view(np.int32) if with_ids else None)
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "doc_tokens", "crcs", "ids"])
+    words.rest()
+
+
 def tokenised(docs: DataFrame, id_column: str, text_column: str, end_id: int, capacity: int, vocabulary: str | None, with_ids: bool) -> DataFrame:
     """Each document's number of ids and the crc32 of each window of them; the ids too if asked for."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(vocabulary)
-        for some in gathered(batches, 1):
-            flat, until = words.encode_flat(some[1])
-            for at in range(0, some.num_rows, 250):
-                batch = some.slice(at, 250)
-                n, crcs, kept = [], [], []
-                ends = until[at : at + 250].tolist()
-                for start, end in zip([until[at - 1] if at else 0, *ends], ends, strict=False):
-                    ids = np.append(flat[start:end], np.uint32(end_id)).astype("<u4")
-                    n.append(len(ids))
-                    crcs.append([zlib.crc32(ids[i : i + capacity].tobytes()) for i in range(0, len(ids), capacity)])
-                    kept.append(ids.view(np.int32) if with_ids else None)
-                yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "doc_tokens", "crcs", "ids"])
-        words.rest()
-
-    return docs.select(docs[id_column].cast("long"), text_bytes(text_column)).mapInArrow(rows, _TOKENS)
+    return docs.select(docs[id_column].cast("long"), text_bytes(text_column)).mapInArrow(lambda b: _windowed(b, end_id, capacity, vocabulary, with_ids), _TOKENS)
 
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:

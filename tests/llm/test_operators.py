@@ -305,8 +305,9 @@ def test_word_encoder_specials_and_rest():
     assert [x.tolist() for x in tokens.encoder().encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     words = ("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words).encode()])], ["doc_id", "text"])
-    assert sum(b.num_rows for b in token_store._staged(iter([batch]), 2, None)) == 1
-    assert len(tokens.encoder().known) <= tokens.MOST_IDLE
+    for task in (token_store._staged(iter([batch]), 2, None), packing._windowed(iter([batch]), 1, 2048, None, False)):
+        assert sum(b.num_rows for b in task) == 1
+        assert len(tokens.encoder().known) <= tokens.MOST_IDLE
 
 
 def test_fingerprints(docs, plain):

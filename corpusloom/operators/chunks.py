@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.sources.scratch import names
+from corpusloom.sources.scratch import names, written
 
 SIZE, STEP, GAP = 1000, 850, 2
 RUN = 4096
@@ -33,8 +33,9 @@ LINES = {"triable_by": "Triable by: ", "punishment": "Punishment under the Penal
 
 
 def stripped(text: Column) -> Column:
-    """A text without the blanks at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """A text without the blanks at its ends. Most have none, which the first and the last character tell without a search of the whole text."""
+    ends = F.concat(F.substr(text, F.lit(1), F.lit(1)), F.substr(text, F.lit(-1), F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def _sections(sections: DataFrame, act: str, order: str, text: str) -> DataFrame:
@@ -59,13 +60,13 @@ def spans(sections: DataFrame, act: str, order: str, text: str) -> DataFrame:
     return _spans(_sections(sections, act, order, text)).withColumnsRenamed({"act": act, "ord": order})
 
 
-def windows(sections: DataFrame, act: str, order: str, text: str, size: int = SIZE, step: int = STEP) -> DataFrame:
+def windows(sections: DataFrame, act: str, order: str, text: str, size: int = SIZE, step: int = STEP, placed: DataFrame | None = None) -> DataFrame:
     """act, i, begin, length and piece of the windows over each act's joined text; blank ones are left out but counted.
 
-    Every section gives its part of the windows that meet it, so that no act's text is put together anywhere.
+    Every section gives its part of the windows that meet it, so that no act's text is put together anywhere. placed: what _spans gives, if it is there already.
     """
     rows = _sections(sections, act, order, text)
-    placed = _spans(rows).withColumnsRenamed({"act": "of", "ord": "at"})
+    placed = (_spans(rows) if placed is None else placed).withColumnsRenamed({"act": "of", "ord": "at"})
     both = rows.join(placed, F.col("act").eqNullSafe(F.col("of")) & (F.col("ord") == F.col("at")))
     last = F.col("end") == F.col("total")
     body = F.when(last, F.col("body")).otherwise(F.concat("body", F.lit("\n" * GAP)))
@@ -80,9 +81,9 @@ def windows(sections: DataFrame, act: str, order: str, text: str, size: int = SI
     return found.where(~F.col("piece").rlike(_BLANK)).select(F.col("act").alias(act), "i", "begin", F.length("piece").cast("long").alias("length"), "piece")
 
 
-def owners(sections: DataFrame, act: str, order: str, text: str, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """act, i, owner, end_owner, crosses: the sections that hold a window's ends. A position between sections belongs to the act's last one."""
-    placed = _spans(_sections(sections, act, order, text))
+def owners(sections: DataFrame, act: str, order: str, text: str, size: int = SIZE, step: int = STEP, placed: DataFrame | None = None) -> DataFrame:
+    """act, i, owner, end_owner, crosses: the sections that hold a window's ends. A position between sections belongs to the act's last one. placed: what _spans gives, if it is there already."""
+    placed = _spans(_sections(sections, act, order, text)) if placed is None else placed
     last = placed.groupBy("act").agg(F.max("ord").alias("last_section"), F.max("total").alias("total"))
     listed = last.select("act", "last_section", "total", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(step).cast("long"))).alias("i", "begin"))
     listed = listed.withColumn("stop", F.least(F.col("begin") + size, "total") - 1)
@@ -153,7 +154,8 @@ def _note(rows: DataFrame) -> Column:
 
 def fixed_chunks(sections: DataFrame) -> DataFrame:
     """Fixed windows over each act's sections (act_id, ord, number, text, marginal_notes, part, chapter), under the section that holds their first character."""
-    found = windows(sections, "act_id", "ord", "text").join(owners(sections, "act_id", "ord", "text"), ["act_id", "i"])
+    placed = written(_spans(_sections(sections, "act_id", "ord", "text")), "spans")  # without texts; four steps read it
+    found = windows(sections, "act_id", "ord", "text", placed=placed).join(owners(sections, "act_id", "ord", "text", placed=placed), ["act_id", "i"])
     facts = sections.select(F.col("act_id").alias("of"), F.col("ord").alias("owner"), "number", _note(sections).alias("note"), "part", "chapter")
     rows = found.join(facts.withColumnRenamed("owner", "at"), (F.col("act_id") == F.col("of")) & (F.col("owner") == F.col("at")))
     document = document_code(F.col("act_id"))

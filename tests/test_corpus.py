@@ -119,6 +119,17 @@ def test_gate_and_facts(spark):
     assert replies[1].r.refused and replies[1].r.answer == "why" and replies[0].r.citations == []
 
 
+def test_texts_are_stripped_once(spark):
+    """Blanks at the ends go as by the pattern alone; the sections' texts are read for spans, windows and facts, no more."""
+    texts = [None, "", " ", "a", " a b", "a\r\n", "\u3000a \u00a0", "\u2028x\u2028\u2028", "x\x1f", "\x85\ty\n\n", "\U0001f600 ", "\n\n"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(chunks.stripped(F.col("t")).alias("x"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("y")).collect()
+    assert [r.x for r in found] == [r.y for r in found]
+    rows = spark.createDataFrame([(75, i, str(i), f" section {i} ", ["n"], "p", "c") for i in range(3)], "act_id long, ord long, number string, text string, marginal_notes array<string>, part string, chapter string")
+    made = chunks.fixed_chunks(rows)
+    assert made.count() == 1
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+
+
 def test_chunks(spark):
     rows = [(1, 1, "a" * 900), (1, 2, "  "), (1, 3, None), (1, 5000, "b" * 900), (2, 1, "c" * 10)]
     found = chunks.windows(spark.createDataFrame(rows, "act long, ord long, text string"), "act", "ord", "text").orderBy("act", "i").collect()

@@ -46,7 +46,9 @@ def scored(answers: DataFrame, citations: DataFrame, gold: DataFrame) -> DataFra
     A citation is correct if its identifier is a target, or its bare number is a target's. Answers without gold are left out.
     """
     bare = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"^[^:]*:", ""))
-    both = citations.join(gold.select("qid", "targets"), "qid").join(answers.where("error IS NULL").select("qid"), "qid", "left_semi")
+    # merged by qid: a row for each question is a few bytes in a file and many times that in a broadcast
+    gold = gold.hint("merge")
+    both = citations.join(gold.select("qid", "targets"), "qid").join(answers.where("error IS NULL").select("qid").hint("merge"), "qid", "left_semi")
     right = F.array_contains("targets", F.concat("document", F.lit(":"), "number")) | F.array_contains(bare(F.col("targets")), F.col("number"))
     verdict = lambda v: F.count_if(F.col("checked") & (F.col("verdict") == v))
     sums = both.groupBy("qid").agg(
@@ -67,7 +69,7 @@ def provenance(answers: DataFrame, citations: DataFrame, gold: DataFrame, source
     cited = citations.withColumns({"number": T.section_number(F.col("section")), "document": T.source_code(F.col("source"))}).join(bodies, ["document", "number"], "left")
     cited = cited.groupBy("qid").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("ord", "section", "source", "quote", "body_hash")))), 256).alias("cited"))  # an answer's citations
     said, gold_said = F.struct(*(c for c in sorted(answers.columns) if c != "qid")).alias("said"), F.struct(*(c for c in sorted(gold.columns) if c != "qid")).alias("gold")
-    rows = answers.select("qid", said).join(gold.select("qid", gold_said), "qid").join(cited, "qid", "left")
+    rows = answers.select("qid", said).join(gold.select("qid", gold_said).hint("merge"), "qid").join(cited, "qid", "left")
     return rows.select("qid", F.sha2(F.to_json(F.struct("said", "gold", "cited", F.lit(SCORER).alias("scorer"))), 256).alias("provenance"))
 
 
@@ -77,7 +79,7 @@ def rescored(stored: DataFrame | None, answers: DataFrame, citations: DataFrame,
     An answer keeps its stored score if it, its gold, the bodies that it cites and the scorer are as they were; one with a failed quotation, whose verdict
     follows from all sources, also needs these as they were. Gold without an answer is missing. Nothing is written but tables on the way.
     """
-    now = provenance(answers, citations, gold, sources)
+    now = written(provenance(answers, citations, gold, sources), "provenance").hint("merge")  # as in scored()
     whole = index.digest(sources.withColumn("h", F.sha2(F.to_json(F.struct("body", "note")), 256)).withColumn("of", F.concat_ws(":", "document", "number")).withColumn("all", F.lit(0)), ["all"], "of", "h").first()
     corpus = whole["digest"] if whole else ""
     if stored is None:
@@ -87,12 +89,12 @@ def rescored(stored: DataFrame | None, answers: DataFrame, citations: DataFrame,
         same = stored.where(~failed | (F.col("corpus") == corpus))
         kept = same.join(now, ["qid", "provenance"], "left_semi").withColumn("corpus", F.lit(corpus))
         todo = now.join(kept.select("qid"), "qid", "left_anti")
-    todo = written(todo, "to_score")
+    todo = written(todo, "to_score").hint("merge")
     fresh = lambda df: df.join(todo.select("qid"), "qid", "left_semi")
     new = scored(fresh(answers), verified(fresh(citations), sources), gold).join(todo, "qid").withColumn("corpus", F.lit(corpus))
     rows = written(new if kept is None else new.unionByName(kept), "scores")
     total, n = rows.count(), todo.count()
-    return rows, {"scored": n, "kept": total - n, "missing": gold.join(answers.select("qid"), "qid", "left_anti").count()}
+    return rows, {"scored": n, "kept": total - n, "missing": gold.join(answers.select("qid").hint("merge"), "qid", "left_anti").count()}
 
 
 #: What a summary says of the run itself, which a new scoring keeps.

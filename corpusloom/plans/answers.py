@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluate, gate, quotes, reports, state
 from corpusloom.plans.catalogue import CANON, RECALL, _top, query, table
-from corpusloom.sources.scratch import written
+from corpusloom.sources.scratch import bucketed, dropped
 
 REPLY = """CASE WHEN event_id % 5 = 0 THEN ' no braces ' WHEN event_id % 5 = 1 THEN 'x {"answer": broken} y' ELSE 'Sure: {"answer": " a' || event_id || ' ", "citations": [{"section": " ' || event_id % 90 || '", "quote": "q"}, "12(a)", {"section": " "}], "refused": ' || CASE WHEN event_id % 5 = 2 THEN 'true' ELSE 'false' END || '} bye' END"""
 
@@ -106,7 +106,7 @@ def q35_failure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    docs = written(table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c")), "canonical")
+    docs = bucketed(table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c")), "canonical", "doc_id")
     heads = docs.select("doc_id", F.substring("c", 1, 170).alias("c"))
     # the next document of a block of ids, and of the first of the blocks behind, without one window over all
     block = F.floor(F.col("doc_id") / 4096)
@@ -115,7 +115,9 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = firsts.withColumn("before", F.lag("block").over(Window.partitionBy(F.lit(0)).orderBy("block")))  # a row for each block
     rows = inner.withColumn("block", block).join(firsts.select(F.col("before").alias("block"), "head"), "block", "left").withColumn("later", F.coalesce("later", "head", F.lit("")))
     asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("item_id"), F.expr(FAILED.format(sub="substr", later="substr(later, 11, 80)").replace("//", " div ")).alias("quote"), F.col("doc_id").alias("cited"))
-    return quotes.explained(asked, docs, ready=True)
+    found = quotes.explained(asked, docs, ready=True)
+    dropped(docs)
+    return found
 
 
 @query()

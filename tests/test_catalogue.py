@@ -192,3 +192,21 @@ def test_first_holders(spark, monkeypatch):
     found = quotes.first_holders(spark.createDataFrame(asked, "key long, parts array<string>"), spark.createDataFrame(texts, "doc_id long, c string"))
     assert sorted(tuple(r) for r in found.collect()) == [(k, 10) for k in range(20)] + [(20, 40), (21, 10)]
     assert sum(t.count() for name, t in tables if name == "pairs") <= 22 + 2 * 32
+
+
+def test_pairs_are_not_broadcast(spark):
+    """Pairs of a few KB in files are MB of rows, as they repeat their parts; they stay out of the driver, whatever their files' size."""
+    one, two = (" ".join(f"{w}{i}" for i in range(250)) for w in ("word", "term"))
+    texts = [(i, f"{two} {i} {one}") for i in range(300)] + [(300, f"{one} {two}")]
+    asked = [(k, [one, two]) for k in range(12)] + [(12, [two, one])]
+    most = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(most, 2 << 20)
+    try:
+        found = quotes.first_holders(spark.createDataFrame(asked, "key long, parts array<string>"), spark.createDataFrame(texts, "doc_id long, c string"))
+        assert sorted(tuple(r) for r in found.collect()) == [(k, 300) for k in range(12)] + [(12, 0)]
+        failed = [(k, f"{one} ... {two}", 0) for k in range(12)]
+        verdicts = quotes.explained(spark.createDataFrame(failed, "item_id long, quote string, cited long"), spark.createDataFrame(texts, "doc_id long, c string"))
+        assert {(r.verdict, r.source) for r in verdicts.collect()} == {("recomposed", None)}
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("sources_")]
+    finally:
+        spark.conf.unset(most)
